@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.attach import attach
 from ..plans.gram import dot, moments, row_moments, solve
@@ -34,7 +35,7 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     """
     p, d, q = (int(model.params.get(name, 1)) for name in "pdq")
     spec = replace(panel.spec, tiebreak=(*panel.spec.tiebreak, "range_id"))
-    train = Panel.of(ranges.rows(panel, "train"), spec)
+    train = Panel.of(ranges.rows(panel, "train"), spec, panel.task_rows)
     message = f"Not enough training data for ARIMA({p},{d},{q})"
     keys, y = spec.keys, F.col(spec.target)
 
@@ -144,7 +145,7 @@ def powers_applied(step: np.ndarray, state: np.ndarray, h: np.ndarray) -> np.nda
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _forecast(
     coef: pd.Series, intercept: pd.Series, state: pd.Series, h: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series
 ) -> pd.Series:

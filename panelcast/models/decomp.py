@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_days
 from ..operators.features import drop_incomplete
-from ..plans.gram import dot, row_moments, symmetric
+from ..plans.gram import FIT, dot, row_moments, symmetric
 from ..plans.ordered import Panel, add_lags, add_position
 from ..spec import ModelSpec, parse_lags
 from .base import Fitted, Ranges, as_forecast, fitted, importance_rows
@@ -169,7 +169,7 @@ def posterior_mode(n: int, mean: np.ndarray, products: np.ndarray) -> tuple[np.n
     return coef, float(mean[-1] - coef @ mean[:-1])
 
 
-@F.pandas_udf("struct<coef: array<double>, intercept: double>")
+@F.pandas_udf(FIT)
 def _mode(n: pd.Series, mean: pd.Series, products: pd.Series) -> pd.DataFrame:
     rows = zip(n, map(np.asarray, mean), map(np.asarray, products))
     return pd.DataFrame([posterior_mode(*row) for row in rows], columns=["coef", "intercept"])

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+DOUBLES = T.ArrayType(T.DoubleType())
+FIT = T.StructType([T.StructField("coef", DOUBLES), T.StructField("intercept", T.DoubleType())])
+MOMENTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("mean", DOUBLES), T.StructField("products", DOUBLES)])
+
 # Up to this many columns the products are built-in aggregates; beyond, generated code grows too long
 # and partial products are taken batch by batch.
 BUILT_IN_COLUMNS = 12
@@ -52,7 +56,7 @@ def row_moments(df: DataFrame, keys: tuple[str, ...], row: Column, width: int) -
     task is still no burden for one of them.
     """
     upper = np.triu_indices(width)
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("cells", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("cells", DOUBLES)])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
@@ -88,7 +92,7 @@ def row_moments(df: DataFrame, keys: tuple[str, ...], row: Column, width: int) -
     return summed.select(*keys, _centred("_s", F.lit(width)).alias("_m")).select(*keys, "_m.*")
 
 
-@F.pandas_udf("struct<n: long, mean: array<double>, products: array<double>>")
+@F.pandas_udf(MOMENTS)
 def _centred(sums: pd.Series, width: pd.Series) -> pd.DataFrame:
     def one(s: np.ndarray, w: int) -> tuple:
         mean = s[1 : 1 + w] / s[0]
@@ -149,7 +153,7 @@ def regression(n: int, mean: np.ndarray, products: np.ndarray, constant: bool) -
     return coef, float(mean[-1] - coef @ mean[:-1]) if constant else 0.0
 
 
-@F.pandas_udf("struct<coef: array<double>, intercept: double>")
+@F.pandas_udf(FIT)
 def solve(n: pd.Series, mean: pd.Series, products: pd.Series, constant: pd.Series) -> pd.DataFrame:
     """``regression`` on the rows of ``moments``."""
     rows = zip(n, map(np.asarray, mean), map(np.asarray, products), constant)

@@ -32,7 +32,8 @@ def rows_per_task(spark: SparkSession) -> int:
 class Panel:
     """Rows with their series description and the measured sizes that choose the plans.
 
-    ``ready`` names lag columns that are already there, so that several models share one ordering pass.
+    ``task_rows`` is how many rows of a series one task may hold. ``ready`` names lag columns that are
+    already there, so that several models share one ordering pass.
     """
 
     df: DataFrame
@@ -40,14 +41,16 @@ class Panel:
     rows: int
     series: int
     longest: int
+    task_rows: int
     ready: frozenset[str] = frozenset()
 
     @classmethod
-    def of(cls, df: DataFrame, spec: SeriesSpec) -> Panel:
+    def of(cls, df: DataFrame, spec: SeriesSpec, task_rows: int | None = None) -> Panel:
         """Measure with one job that reads the key columns only."""
         sizes = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"))
         total = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("series"), F.max("n").alias("longest")).first()
-        return cls(df, spec, total["rows"] or 0, total["series"], total["longest"] or 0)
+        limit = task_rows or rows_per_task(df.sparkSession)
+        return cls(df, spec, total["rows"] or 0, total["series"], total["longest"] or 0, limit)
 
     def on(self, df: DataFrame, spec: SeriesSpec | None = None) -> Panel:
         """The same panel over a frame with no more rows per series than before."""
@@ -55,7 +58,7 @@ class Panel:
 
     @property
     def fits_tasks(self) -> bool:
-        return self.longest <= rows_per_task(self.df.sparkSession)
+        return self.longest <= self.task_rows
 
     def attach(self, per_series: DataFrame) -> DataFrame:
         return self.attach_to(self.df, per_series)
@@ -82,7 +85,7 @@ def add_lags(panel: Panel, lags: dict[str, tuple[str, int]]) -> DataFrame:
         return df.select("*", *[F.lag(column, k).over(window).alias(name) for name, (column, k) in back.items()])
 
     reach = max(k for _, k in back.values())
-    size = max(rows_per_task(df.sparkSession), reach)
+    size = max(panel.task_rows, reach)
     block, last_rows = F.floor(F.col("_place") / size), F.col("_place") % size >= size - reach
     blocks = _placed(panel.on(df)).select(
         "*",
@@ -108,8 +111,7 @@ def add_position(panel: Panel, name: str) -> DataFrame:
 def _placed(panel: Panel) -> DataFrame:
     """Add ``_place``, the row's 0-based position in the order (series, date, tiebreak) of the whole table."""
     df, order = panel.df, [*panel.spec.keys, *panel.spec.order]
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-panel.rows // rows_per_task(spark)))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-panel.rows // panel.task_rows))
     # The written copy keeps partition ids and places fixed, whatever is recomputed later.
     ranged = cut(
         df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())

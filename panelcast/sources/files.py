@@ -12,11 +12,19 @@ from ..functions.dates import iso_text
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header row; blank lines are skipped. Without a schema one more pass finds the types."""
-    reader = spark.read.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
-    # Dates stay text here: their order of day and month is found over all rows when cleaning.
-    reader = reader.option("inferSchema", schema is None).option("prefersDate", False)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """CSV with a header row; blank lines are skipped. Without a schema one more pass finds the types.
+
+    Found dates and timestamps stay text: their order of day and month is settled over all rows when
+    cleaning, and they never pass through the session's time zone.
+    """
+    reader = spark.read.option("header", True)
+    if schema is None:
+        found = reader.option("inferSchema", True).csv(path).schema
+        texts = (T.DateType, T.TimestampType, T.TimestampNTZType)
+        schema = T.StructType(
+            [T.StructField(f.name, T.StringType() if isinstance(f.dataType, texts) else f.dataType) for f in found]
+        )
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
