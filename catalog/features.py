@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import features as feature_operators
 from panelcast.operators.features import RESIDUAL, add_residual_target, build_features, drop_incomplete, scaling
 from panelcast.operators.ranges import in_ranges
-from panelcast.plans.ordered import Panel, add_lags
+from panelcast.plans.ordered import add_lags
 from panelcast.spec import Derived, Exogenous, FeatureConfig, Temporal
 
 from .panels import (
@@ -22,6 +22,7 @@ from .panels import (
     daily_panel,
     hourly_panel,
     round_all,
+    split_panel,
     stream,
 )
 from .registry import query
@@ -56,14 +57,14 @@ def target_lags(spark: SparkSession, sf: str) -> DataFrame:
   LAG(value, 30) OVER (ORDER BY ts, event_id) AS lag_30 FROM events""")
 def target_lags_halo(spark: SparkSession, sf: str) -> DataFrame:
     """All events as one series, in blocks over many tasks."""
-    panel = Panel.of(stream(spark, sf), STREAM_SPEC, task_rows=2_000)
+    panel = split_panel(stream(spark, sf), STREAM_SPEC)
     return add_lags(panel, {"lag_1": ("value", 1), "lag_30": ("value", 30)}).select("event_id", "ts", "lag_1", "lag_30")
 
 
 @query("""SELECT user_id, event_id, LAG(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lag_3 FROM events""")
 def target_lags_halo_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Many series, some longer than a task may hold."""
-    panel = Panel.of(stream(spark, sf), USER_SPEC, task_rows=50)
+    panel = split_panel(stream(spark, sf), USER_SPEC)
     return add_lags(panel, {"lag_3": ("value", 3)}).select("user_id", "event_id", "lag_3")
 
 

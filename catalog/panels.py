@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,12 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
 
 
+def split_panel(df: DataFrame, spec: SeriesSpec) -> Panel:
+    """A panel whose longest series is too long for a task, at any size of the tables."""
+    panel = Panel.of(df, spec)
+    return replace(panel, task_rows=max(panel.longest // 4, 1))
+
+
 # --- output -------------------------------------------------------------------------------------
 
 

@@ -24,6 +24,7 @@ from .panels import (
     hourly_panel,
     round_all,
     ship,
+    split_panel,
     stream,
     table,
 )
@@ -83,7 +84,7 @@ def frequency_users(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_frequency_sql('events', '', 'ts')} SELECT {_OUT} FROM freq")
 def frequency_long_series(spark: SparkSession, sf: str) -> DataFrame:
     """All events as one series, spread over many tasks."""
-    return _shown(Panel.of(stream(spark, sf), STREAM_SPEC, task_rows=2_000))
+    return _shown(split_panel(stream(spark, sf), STREAM_SPEC))
 
 
 @query(f"WITH {SHIP}, {_frequency_sql('ship', 'l_returnflag', 'ds')} SELECT l_returnflag, frequency, gaps FROM freq")

@@ -12,6 +12,22 @@ DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d")
 MONTH_FIRST_FORMATS = ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "d/M/yyyy")
 AUTO = "auto"
 
+# Patterns of a year, a month and a day. Text is matched before it is converted, since a
+# failed conversion costs far more than a failed match.
+YEAR, MONTH, DAY = r"(\d{4})", r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+FORMAT_PATTERNS = {
+    "d/M/yyyy": (f"^{DAY}/{MONTH}/{YEAR}$", "$3-$2-$1"),
+    "d-M-yyyy": (f"^{DAY}-{MONTH}-{YEAR}$", "$3-$2-$1"),
+    "d.M.yyyy": (rf"^{DAY}\.{MONTH}\.{YEAR}$", "$3-$2-$1"),
+    "yyyy-M-d": (f"^{YEAR}-{MONTH}-{DAY}$", "$1-$2-$3"),
+    "M/d/yyyy": (f"^{MONTH}/{DAY}/{YEAR}$", "$3-$1-$2"),
+    "M-d-yyyy": (f"^{MONTH}-{DAY}-{YEAR}$", "$3-$1-$2"),
+}
+AUTO_DAY_FIRST = f"^{DAY}[/-]{MONTH}[/-]{YEAR}[ T]" + r"(\d{1,2}:\d{2})"
+AUTO_YEAR_FIRST = f"^{YEAR}/{MONTH}/{DAY}"
+AUTO_TEXT = f"^{YEAR}-{MONTH}-{DAY}" + r"($|[ T]\d{1,2}:)"
+BLANKS = " \t\n\r\f\v"
+
 
 def moment(value: datetime) -> Column:
     """A zone-free timestamp literal."""
@@ -19,7 +35,7 @@ def moment(value: datetime) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(BLANKS))
 
 
 def parse_date(c: Column, fmt: str) -> Column:
@@ -28,12 +44,13 @@ def parse_date(c: Column, fmt: str) -> Column:
     Dates go through DATE, never through the session's time zone. The automatic form reads ISO text and,
     with a time of day, year-first or day-first text with slashes or dashes.
     """
-    if fmt != AUTO:
-        return F.try_to_date(stripped(c), fmt).cast("timestamp_ntz")
     text = stripped(c)
-    text = F.regexp_replace(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})[ T](\d{1,2}:\d{2})", "$3-$2-$1 $4")
-    text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}($|[ T]\d{1,2}:)"), text.try_cast("timestamp_ntz"))
+    if fmt != AUTO:
+        pattern, iso = FORMAT_PATTERNS[fmt]
+        return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("date")).cast("timestamp_ntz")
+    text = F.regexp_replace(text, AUTO_DAY_FIRST, "$3-$2-$1 $4")
+    text = F.regexp_replace(text, AUTO_YEAR_FIRST, "$1-$2-$3")
+    return F.when(text.rlike(AUTO_TEXT), text.try_cast("timestamp_ntz"))
 
 
 def cycle(part: Column, period: int) -> tuple[Column, Column]:

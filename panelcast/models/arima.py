@@ -9,7 +9,6 @@ the end of training, so every row is forecast by itself, in any partition.
 from __future__ import annotations
 
 from dataclasses import replace
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -19,9 +18,10 @@ from pyspark.sql import types as T
 
 from ..plans.attach import attach
 from ..plans.gram import dot, moments, row_moments, solve
-from ..plans.ordered import Panel, add_lags, add_position
+from ..plans.lineage import cut
+from ..plans.ordered import Panel, add_past, add_position
 from ..spec import ModelSpec
-from .base import Fitted, Ranges, as_forecast, fitted
+from .base import Fitted, Ranges, as_forecast, fitted, kept
 
 LONGEST_AR = 20
 
@@ -42,33 +42,33 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     sizes = train.df.groupBy(*keys).agg(F.count(y).alias("_n"), F.avg(y).alias("_centre"))
     enough = sizes.filter(F.col("_n") >= p + d + q + 5)
     rows = train.attach(enough).filter(F.col("_n").isNotNull()).withColumn("_y", y - F.col("_centre"))
-    train = train.on(rows.select(*keys, *spec.order, spec.target, "_y", "_n", "_centre"))
-
-    # One ordering pass gives every lag of the differenced target, as sums of lags of the target.
-    long_ar = 0 if q == 0 else max(p + q + 1, LONGEST_AR)
-    reach = max(p, long_ar)
-    lagged = add_lags(train, {f"_y_{k}": ("_y", k) for k in range(reach + d + 1)})
-    w = {i: _difference(i, d) for i in range(reach + 1)}
-    frame = lagged.withColumns({f"_w_{i}": w[i] for i in range(reach + 1)})
-    if q:
-        frame = _with_residuals(train.on(frame), p, q, d)
-
-    inputs = [*[f"_w_{i}" for i in range(1, p + 1)], *[f"_e_{j}" for j in range(1, q + 1)]]
-    complete = frame.dropna(subset=[*inputs, "_w_0"])
-    sums = moments(complete, keys, [*inputs, "_w_0"]).filter(F.col("n") > 0)
-    fits = sums.withColumn("_fit", solve("n", "mean", "products", F.lit(d == 0))).select(*keys, "_fit.*")
-
-    # The last training row holds the whole state: w and e with their lags, and the levels undone by differencing.
-    state = F.array(
-        *[F.coalesce(F.col(f"_w_{i}"), F.lit(0.0)) for i in range(max(p, 1))],
-        *[F.coalesce(F.col(f"_e_{j}"), F.lit(0.0)) for j in range(q)],
-        *[_difference(0, order) for order in range(d)],
-    )
-    ends = frame.groupBy(*keys).agg(
-        F.max_by(F.struct(state.alias("state"), F.col("_centre").alias("centre")), F.struct(*spec.order)).alias("_end")
-    )
-    ends = ends.select(*keys, "_end.state", "_end.centre")
-    fits = fitted(train.attach_to(fits, ends), message)
+    train = train.on(rows.select(*keys, *spec.order, "_y", "_n", "_centre"))
+
+    # One ordering pass gives the recent values of each row, and with them all lags of the differences.
+    longest = max(p + q + 1, LONGEST_AR) if q else 0
+    recent = add_past(train, "_recent", "_y", max(p, longest) + d)
+    levels = [F.col("_recent")]
+    for _ in range(d):
+        levels.append(_differences(levels[-1]))
+    with kept(recent.withColumn("_w", levels[-1])) as frame:
+        if q:
+            frame = _with_residuals(train.on(frame), p, q, d, longest)
+        lags = {f"_w_{i}": F.get("_w", F.lit(i)) for i in range(p + 1)}
+        errors = {f"_e_{j}": F.get("_e", F.lit(j)) for j in range(1, q + 1)}
+        inputs = [*[f"_w_{i}" for i in range(1, p + 1)], *errors]
+        complete = frame.withColumns(lags | errors).dropna(subset=[*inputs, "_w_0"])
+        sums = moments(complete, keys, [*inputs, "_w_0"]).filter(F.col("n") > 0)
+        fits = sums.withColumn("_fit", solve("n", "mean", "products", F.lit(d == 0))).select(*keys, "_fit.*")
+
+        # The last training row holds the whole state: w and e with their lags, and the levels undone by differencing.
+        state = F.array(
+            *[_or_zero("_w", i) for i in range(max(p, 1))],
+            *[_or_zero("_e", j) for j in range(q)],
+            *[level[0] for level in levels[:d]],
+        )
+        last = F.struct(state.alias("state"), F.col("_centre").alias("centre"))
+        ends = frame.groupBy(*keys).agg(F.max_by(last, F.struct(*spec.order)).alias("_end"))
+        fits = fitted(train.attach_to(fits, ends.select(*keys, "_end.state", "_end.centre")), message)
 
     steps = replace(panel, series=panel.series * ranges.most, spec=replace(panel.spec, keys=(*keys, "range_id")))
     predict = add_position(steps.on(ranges.rows(panel, "predict")), "_step")
@@ -78,28 +78,30 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     return Fitted(model, as_forecast(scored, panel, model, ahead + F.col("centre")), skipped=skipped)
 
 
-def _difference(i: int, order: int) -> Column:
-    """The target differenced ``order`` times, i rows back."""
-    terms = [F.lit(float((-1) ** j * comb(order, j))) * F.col(f"_y_{i + j}") for j in range(order + 1)]
-    return sum(terms[1:], terms[0])
+def _differences(values: Column) -> Column:
+    """Each value of a newest-first array minus the one before it in time."""
+    n = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), lambda now, before: now - before)
 
 
-def _with_residuals(train: Panel, p: int, q: int, d: int) -> DataFrame:
-    """Add ``_e_0`` to ``_e_q``, residuals of an autoregression whose length grows with the series."""
+def _or_zero(array: str, i: int) -> Column:
+    return F.coalesce(F.get(array, F.lit(i)), F.lit(0.0))
+
+
+def _with_residuals(train: Panel, p: int, q: int, d: int, longest: int) -> DataFrame:
+    """Add ``_e``: this and q earlier residuals of an autoregression whose length grows with the series."""
     keys = train.spec.keys
     grown = F.least(F.lit(LONGEST_AR), F.round(10 * F.log10("_n")), F.floor(F.col("_n") / 4))
-    length = F.greatest(F.lit(p + q + 1), grown)
-    longest = max(p + q + 1, LONGEST_AR)
-    # Lags beyond the series' own length are constant 0 and get no weight.
-    past = [F.when(F.lit(i) <= length, F.col(f"_w_{i}")).otherwise(0.0) for i in range(1, longest + 1)]
-    row = F.array(*past, F.col("_w_0"))
-    known = train.df.withColumn("_row", row)
-    full = ~F.exists("_row", lambda x: x.isNull())
-    sums = row_moments(known.filter(full), keys, F.col("_row"), longest + 1).filter(F.col("n") > 0)
-    fits = sums.withColumn("_ar", solve("n", "mean", "products", F.lit(d == 0))).select(*keys, "_ar")
-    error = F.col("_w_0") - F.col("_ar.intercept") - dot(F.slice("_row", 1, longest), F.col("_ar.coef"))
-    left = train.on(train.on(known).attach(fits).withColumn("_e", F.when(full, error)).drop("_row", "_ar"))
-    return add_lags(left, {f"_e_{j}": ("_e", j) for j in range(q + 1)})
+    length = F.greatest(F.lit(p + q + 1), grown).cast("int")
+    # Lags beyond the series' own length are 0 and get no weight.
+    past = F.concat(F.slice("_w", 2, length), F.array_repeat(F.lit(0.0), F.lit(longest) - length))
+    full = F.size("_w") > length
+    known = train.df.withColumn("_row", F.when(full, F.concat(past, F.slice("_w", 1, 1))))
+    sums = row_moments(known.filter(F.col("_row").isNotNull()), keys, F.col("_row"), longest + 1).filter(F.col("n") > 0)
+    fits = cut(sums.withColumn("_ar", solve("n", "mean", "products", F.lit(d == 0))).select(*keys, "_ar"))
+    error = F.get("_row", F.lit(longest)) - F.col("_ar.intercept") - dot(F.slice("_row", 1, longest), F.col("_ar.coef"))
+    left = train.attach_to(known, fits).withColumn("_error", error).drop("_row", "_ar")
+    return add_past(train.on(left), "_e", "_error", q).drop("_error")
 
 
 def transition(coef: np.ndarray, constant: float, p: int, d: int, q: int) -> np.ndarray:

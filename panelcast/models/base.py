@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,6 +77,16 @@ def fitted(fits: DataFrame, message: str) -> DataFrame:
     return kept
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep rows that several passes of a fit read."""
+    rows = df.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def importance_rows(fits: DataFrame, keys: tuple[str, ...], model: ModelSpec, names: list[str], values: str) -> DataFrame:
     """One row per fit and feature, largest first within a fit, ties in feature order."""
     listed = F.array(*[F.lit(name) for name in names])

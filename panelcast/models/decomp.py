@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.dates import epoch_days
 from ..operators.features import drop_incomplete
 from ..plans.gram import FIT, dot, row_moments, symmetric
+from ..plans.lineage import cut
 from ..plans.ordered import Panel, add_lags, add_position
 from ..spec import ModelSpec, parse_lags
-from .base import Fitted, Ranges, as_forecast, fitted, importance_rows
+from .base import Fitted, Ranges, as_forecast, fitted, importance_rows, kept
 
 # Fixed values of the published model: number of trend changes and the share of rows they lie in, prior
 # scales of changes, slope and other terms, and per season its period in days and number of waves.
@@ -49,29 +50,30 @@ def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
 
     lagged = panel.on(add_lags(panel, {f"target_lag_{k}": (spec.target, k) for k in lags}))
     columns = [*keys, *spec.order, spec.target, *names, "range_id"]
-    train = drop_incomplete(ranges.rows(lagged, "train"), names).select(*dict.fromkeys(columns))
-    scales = fitted(_scales(train, panel, names), "No training data after filtering by date ranges")
-    sequence = panel.on(panel.attach_to(train, scales), replace(spec, tiebreak=(*spec.tiebreak, "range_id")))
-    scales = panel.attach_to(scales, _change_points(sequence))
-    scales = fitted(scales.withColumn("_hinges", F.coalesce("_hinges", F.array().cast("array<double>"))), "")
-
-    terms = _terms(F.col(spec.date), seasons, names)
-    rows = panel.attach_to(train, scales)
-    y = F.col(spec.target) / F.col("_scale")
-    if mode == "additive":
-        fits = _solve(rows, keys, F.concat(_trend(spec.date), terms, F.array(y)), _width(seasons, names))
-    else:
-        fits = _solve(rows, keys, F.concat(_trend(spec.date), F.array(y)), CHANGES + 2)
-        for _ in range(ROUNDS):
-            by_trend = panel.attach_to(rows, fits).withColumn("_g", _trend_value(spec.date))
-            scaled = F.transform(terms, lambda x: x * F.col("_g"))
-            fits = _solve(by_trend, keys, F.concat(_trend(spec.date), scaled, F.array(y)), _width(seasons, names))
-    fits = fitted(panel.attach_to(fits, scales), "No training data after filtering by date ranges")
+    complete = drop_incomplete(ranges.rows(lagged, "train"), names).select(*dict.fromkeys(columns))
+    terms, width = _terms(F.col(spec.date), seasons, names), _width(seasons, names)
+    message = "No training data after filtering by date ranges"
+    with kept(complete) as train:
+        scales = fitted(_scales(train, panel, names), message)
+        sequence = panel.on(panel.attach_to(train, scales), replace(spec, tiebreak=(*spec.tiebreak, "range_id")))
+        scales = panel.attach_to(scales, _change_points(sequence))
+        scales = cut(scales.withColumn("_hinges", F.coalesce("_hinges", F.array().cast("array<double>"))))
+        rows = panel.attach_to(train, scales)
+        y = F.col(spec.target) / F.col("_scale")
+        if mode == "additive":
+            fits = _solve(rows, keys, F.concat(_trend(spec.date), terms, F.array(y)), width)
+        else:
+            fits = cut(_solve(rows, keys, F.concat(_trend(spec.date), F.array(y)), CHANGES + 2))
+            for _ in range(ROUNDS):
+                by_trend = panel.attach_to(rows, fits).withColumn("_g", _trend_value(spec.date))
+                scaled = F.transform(terms, lambda x: x * F.col("_g"))
+                fits = cut(_solve(by_trend, keys, F.concat(_trend(spec.date), scaled, F.array(y)), width))
+        fits = fitted(panel.attach_to(fits, scales), message)
 
     predict = drop_incomplete(ranges.rows(lagged, "predict"), names)
     scored = panel.attach_to(predict, fits).filter(F.col("coef").isNotNull())
     trend = _trend_value(spec.date)
-    rest = dot(terms, F.slice("coef", CHANGES + 2, _width(seasons, names) - CHANGES - 2))
+    rest = dot(terms, F.slice("coef", CHANGES + 2, width - CHANGES - 2))
     value = trend + rest if mode == "additive" else trend * (1 + rest)
     importance = None
     if names:

@@ -12,7 +12,7 @@ from ..operators.features import drop_incomplete, training_features
 from ..plans.lineage import shared_dir
 from ..plans.ordered import Panel
 from ..spec import FeatureConfig, ModelSpec
-from .base import Fitted, Ranges, as_forecast
+from .base import Fitted, Ranges, as_forecast, kept
 
 SEED = 42
 
@@ -31,13 +31,11 @@ def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
 
     # Boosting passes over the training rows once per level and tree, so they are kept.
     complete = drop_incomplete(ranges.rows(features.panel, "train"), [*names, target])
-    train = complete.select(*spec.keys, spec.date, target, *names).persist()
-    try:
-        if train.isEmpty():
+    train = complete.select(*spec.keys, spec.date, target, *names)
+    with kept(train) as rows:
+        if rows.isEmpty():
             raise ValueError("Not enough data after creating features")
-        booster = boost(train, names, target, params)
-    finally:
-        train.unpersist()
+        booster = boost(rows, names, target, params)
 
     predict = drop_incomplete(ranges.rows(features.panel, "predict"), names)
     scored = booster.transform(_assemble(predict, names))

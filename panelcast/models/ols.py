@@ -12,7 +12,7 @@ from ..plans.attach import attach
 from ..plans.gram import BUILT_IN_COLUMNS, dot, moments, solve
 from ..plans.ordered import Panel
 from ..spec import FeatureConfig, ModelSpec
-from .base import Fitted, Ranges, as_forecast, fitted, importance_rows
+from .base import Fitted, Ranges, as_forecast, fitted, importance_rows, kept
 
 
 def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
@@ -32,13 +32,14 @@ def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
 
     # A wide set of features is brought to one scale before its products are summed.
     scaled = standardized or len(names) + 1 > BUILT_IN_COLUMNS
+    message = "Not enough data after creating features"
     if scaled:
-        constants = scaling(train, names, keys)
-        train = standardise(train, constants, names, keys, fits)
-    solved = coefficients(train, keys, names, target)
-    if scaled:
-        solved = unscaled(attach(solved, constants, keys, fits), names)
-    solved = fitted(solved, "Not enough data after creating features")
+        with kept(train.select(*keys, *names, target)) as rows:
+            constants = fitted(scaling(rows, names, keys).filter(F.col(f"_std_{names[0]}").isNotNull()), message)
+            solved = coefficients(standardise(rows, constants, names, keys, fits), keys, names, target)
+            solved = fitted(unscaled(attach(solved, constants, keys, fits), names), message)
+    else:
+        solved = fitted(coefficients(train, keys, names, target), message)
 
     predict = drop_incomplete(ranges.rows(features.panel, "predict"), names)
     scored = attach(predict, solved.select(*keys, "coef", "intercept"), keys, fits).filter(F.col("coef").isNotNull())

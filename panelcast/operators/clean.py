@@ -158,20 +158,27 @@ def plan_cleaning(df: DataFrame, spec: SeriesSpec) -> Cleaning:
     cleaned, plain = _target(target, text_target), _plain(target, text_target)
     failed = (target.isNotNull() & cleaned.isNull()) if text_target else F.lit(False)
 
-    aggregates = []
-    for fmt in FORMATS if date_is_text else ("typed",):
-        dated = (parse_date(date, fmt) if date_is_text else date).isNotNull()
-        aggregates.append(
-            F.struct(
-                F.count_if(dated).alias("dated"),
-                F.count_if(dated & failed).alias("failed"),
-                F.count_if(dated & cleaned.isNotNull()).alias("cleaned"),
-                F.count_if(dated & plain.isNotNull()).alias("plain"),
-            ).alias(fmt)
-        )
-    first, second = date_parts(date)
-    order = date_order(F.max(first), F.max(second)) if date_is_text else F.lit(None).cast("string")
-    row = df.agg(order.alias("order"), *aggregates).first()
+    # Each text is read once per row, into flags; the aggregate then only counts.
+    formats = FORMATS if date_is_text else ("typed",)
+    first, second = date_parts(date) if date_is_text else (F.lit(None), F.lit(None))
+    flags = df.select(
+        first.cast("int").alias("_first"),
+        second.cast("int").alias("_second"),
+        failed.alias("_failed"),
+        cleaned.isNotNull().alias("_cleaned"),
+        plain.isNotNull().alias("_plain"),
+        *[(parse_date(date, fmt) if date_is_text else date).isNotNull().alias(fmt) for fmt in formats],
+    )
+    counts = [
+        F.struct(
+            F.count_if(F.col(f"`{fmt}`")).alias("dated"),
+            F.count_if(F.col(f"`{fmt}`") & F.col("_failed")).alias("failed"),
+            F.count_if(F.col(f"`{fmt}`") & F.col("_cleaned")).alias("cleaned"),
+            F.count_if(F.col(f"`{fmt}`") & F.col("_plain")).alias("plain"),
+        ).alias(fmt)
+        for fmt in formats
+    ]
+    row = flags.agg(date_order(F.max("_first"), F.max("_second")).alias("order"), *counts).first()
     fmt = best_format(row["order"], {f: row[f]["dated"] for f in FORMATS}, spec.date) if date_is_text else None
     counts = row[fmt or "typed"]
     strip = text_target and counts["failed"] == 0

@@ -9,9 +9,10 @@ of consecutive places, each block also holding the last rows of the block before
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
@@ -75,26 +76,40 @@ def add_lags(panel: Panel, lags: dict[str, tuple[str, int]]) -> DataFrame:
     """
     there = panel.ready & set(panel.df.columns)
     lags = {name: lag for name, lag in lags.items() if name not in there}
-    keys, now = panel.spec.keys, {name: column for name, (column, k) in lags.items() if k == 0}
+    now = {name: F.col(column) for name, (column, k) in lags.items() if k == 0}
     back = {name: lag for name, lag in lags.items() if lag[1] > 0}
-    df = panel.df.select("*", *[F.col(column).alias(name) for name, column in now.items()])
+    panel = panel.on(panel.df.select("*", *[c.alias(name) for name, c in now.items()]))
     if not back:
-        return df
+        return panel.df
+    reach = max(k for _, k in back.values())
+    return _look_back(panel, reach, lambda w: {name: F.lag(column, k).over(w) for name, (column, k) in back.items()})
+
+
+def add_past(panel: Panel, name: str, column: str, reach: int) -> DataFrame:
+    """Add an array of the column's values in this row and up to ``reach`` rows before, newest first, without nulls."""
+
+    def newest_first(w: WindowSpec) -> dict[str, Column]:
+        return {name: F.reverse(F.collect_list(column).over(w.rowsBetween(-reach, 0)))}
+
+    return _look_back(panel, reach, newest_first)
+
+
+def _look_back(panel: Panel, reach: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Add window columns that need no more than ``reach`` rows before their own."""
+    keys = panel.spec.keys
     if panel.fits_tasks:
         window = Window.partitionBy(*keys).orderBy(*panel.spec.order)
-        return df.select("*", *[F.lag(column, k).over(window).alias(name) for name, (column, k) in back.items()])
-
-    reach = max(k for _, k in back.values())
+        return panel.df.select("*", *[c.alias(name) for name, c in columns(window).items()])
     size = max(panel.task_rows, reach)
     block, last_rows = F.floor(F.col("_place") / size), F.col("_place") % size >= size - reach
-    blocks = _placed(panel.on(df)).select(
+    blocks = _placed(panel).select(
         "*",
         block.alias("_own"),
         F.explode(F.when(last_rows, F.array(block, block + 1)).otherwise(F.array(block))).alias("_block"),
     )
     window = Window.partitionBy("_block", *keys).orderBy("_place")
-    lagged = blocks.select("*", *[F.lag(column, k).over(window).alias(name) for name, (column, k) in back.items()])
-    return lagged.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_place")
+    looked = blocks.select("*", *[c.alias(name) for name, c in columns(window).items()])
+    return looked.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_place")
 
 
 def add_position(panel: Panel, name: str) -> DataFrame:
