@@ -64,7 +64,7 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
         state = F.array(
             *[_or_zero("_w", i) for i in range(max(p, 1))],
             *[_or_zero("_e", j) for j in range(q)],
-            *[level[0] for level in levels[:d]],
+            *[F.get(level, F.lit(0)) for level in levels[:d]],
         )
         last = F.struct(state.alias("state"), F.col("_centre").alias("centre"))
         ends = frame.groupBy(*keys).agg(F.max_by(last, F.struct(*spec.order)).alias("_end"))

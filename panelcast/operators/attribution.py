@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,19 +118,19 @@ def tree_attributions(rows: DataFrame, model: GBTRegressionModel, names: list[st
     shared = rows.sparkSession.sparkContext.broadcast([tuple(leaf) for leaf in leaves])
     schema = T.StructType([*[rows.schema[k] for k in keep], T.StructField("_phi", T.ArrayType(T.DoubleType()))])
 
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
+            x = np.column_stack([batch.column(f"_x_{i}").to_numpy(zero_copy_only=False) for i in range(len(names))])
             phi = np.zeros(x.shape)
             if len(x):
                 for leaf in map(Leaf._make, shared.value):
                     phi[:, leaf.features] += leaf_attributions(leaf, x)
-            out = batch[list(keep)].copy()
-            out["_phi"] = list(phi)
-            yield out
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * len(names)
+            columns = [*[batch.column(k) for k in keep], pa.ListArray.from_arrays(offsets, phi.reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_phi"])
 
-    inputs = rows.select(*keep, *[F.col(name).cast("double").alias(name) for name in names if name not in keep])
-    wide = inputs.mapInPandas(attribute, schema)
+    inputs = rows.select(*keep, *[F.col(name).cast("double").alias(f"_x_{i}") for i, name in enumerate(names)])
+    wide = inputs.mapInArrow(attribute, schema)
     return wide.select(*keep, *[F.col("_phi")[i].alias(name) for i, name in enumerate(names)], F.lit(base).alias("base"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_micros, iso_text
+from ..plans.lineage import cut
 from ..plans.ordered import Panel, add_lags, add_position
 from ..spec import SeriesSpec
 from .clean import type_label
@@ -62,7 +63,7 @@ def frequency(panel: Panel) -> DataFrame:
     keys = panel.spec.keys
     steps = date_steps(panel)
     if not panel.fits_tasks:
-        steps = steps.persist()
+        steps = cut(steps)
     medians = median_step(panel, steps)
     median = F.col("median_step")
     expected = _by_median(median, lambda row: _expected_step(median, *row[3:]), "double")

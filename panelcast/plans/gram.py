@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ MOMENTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("mean",
 # Up to this many columns the products are built-in aggregates; beyond, generated code grows too long
 # and partial products are taken batch by batch.
 BUILT_IN_COLUMNS = 12
+# Groups of tasks whose matrices of one fit are added before the final sum.
+SALTS = 64
 # Partial matrices a task holds before it passes them on.
 HELD_PARTIALS = 2_000
 # Eigenvalues of the scaled matrix below this share of the largest count as zero.
@@ -52,43 +55,42 @@ def row_moments(df: DataFrame, keys: tuple[str, ...], row: Column, width: int) -
     """As ``moments`` for columns given as one array of ``width`` doubles per row.
 
     Each task sums the products of its batches per fit, so what is shuffled is one small matrix per fit
-    and task. The matrices are added cell by cell with map-side sums, so a fit that has rows in every
-    task is still no burden for one of them.
+    and task.
     """
     upper = np.triu_indices(width)
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("cells", DOUBLES)])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[pa.RecordBatch, np.ndarray]] = {}
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame(list(held), columns=list(keys), index=range(len(held)))
-            out["cells"] = list(held.values())
+        def flush() -> pa.RecordBatch:
+            fits, cells = zip(*held.values())
             held.clear()
-            return out
+            columns = [pa.concat_arrays([fit.column(k) for fit in fits]) for k in keys]
+            offsets = np.arange(len(cells) + 1, dtype=np.int32) * len(cells[0])
+            columns.append(pa.ListArray.from_arrays(offsets, np.concatenate(cells)))
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, "cells"])
 
         for batch in batches:
-            if batch.empty:
+            if batch.num_rows == 0:
                 continue
-            z = np.stack(batch["_row"].to_numpy())
-            for key, rows in _groups(batch, keys):
+            z = batch.column("_row").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for label, rows in _groups(batch.column("_fit")):
                 part = z[rows]
                 cells = np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part)[upper]])
-                held[key] = held[key] + cells if key in held else cells
+                fit, before = held.get(label, (None, 0.0))
+                held[label] = (fit or batch.select(list(keys)).slice(rows[0], 1), before + cells)
             if len(held) > HELD_PARTIALS:
                 yield flush()
         if held:
             yield flush()
 
-    summed = (
-        df.select(*keys, row.alias("_row"))
-        .mapInPandas(partial, schema)
-        .select(*keys, F.posexplode("cells").alias("_at", "_v"))
-        .groupBy(*keys, "_at")
-        .agg(F.sum("_v").alias("_v"))
-        .groupBy(*keys)
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_s"))
-    )
+    label = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    # A fit with rows in every task has one matrix per task: they are added in two rounds, each over few.
+    salted = df.select(*keys, label.alias("_fit"), row.alias("_row")).mapInArrow(partial, schema)
+    salted = salted.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    halfway = salted.groupBy(*keys, "_salt").agg(_sum_of_arrays("cells").alias("cells"))
+    summed = halfway.groupBy(*keys).agg(_sum_of_arrays("cells").alias("_s"))
     return summed.select(*keys, _centred("_s", F.lit(width)).alias("_m")).select(*keys, "_m.*")
 
 
@@ -100,18 +102,24 @@ def _centred(sums: pd.Series, width: pd.Series) -> pd.DataFrame:
 
     # A global sum over no rows has no cells.
     none = (0, np.empty(0), np.empty(0))
-    rows = [one(s, w) if len(s) else none for s, w in zip(sums, width)]
+    rows = [none if s is None else one(s, w) for s, w in zip(sums, width)]
     return pd.DataFrame(rows, columns=["n", "mean", "products"])
 
 
-def _groups(batch: pd.DataFrame, keys: tuple[str, ...]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Row numbers of each key in a batch."""
-    if not keys:
-        if len(batch):
-            yield (), np.arange(len(batch))
-        return
-    for key, rows in batch.groupby(list(keys), dropna=False, sort=False).indices.items():
-        yield (key if isinstance(key, tuple) else (key,)), rows
+def _sum_of_arrays(name: str) -> Column:
+    arrays = F.collect_list(name)
+    rest = F.slice(arrays, 2, F.greatest(F.size(arrays) - 1, F.lit(0)))
+    return F.aggregate(rest, F.get(arrays, F.lit(0)), lambda total, x: F.zip_with(total, x, lambda a, b: a + b))
+
+
+def _groups(labels: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """Row numbers of each label."""
+    coded = labels.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    edges = np.flatnonzero(np.diff(codes[order])) + 1
+    for rows in np.split(order, edges):
+        yield coded.dictionary[int(codes[rows[0]])].as_py(), rows
 
 
 def symmetric(products: np.ndarray, width: int) -> np.ndarray:
