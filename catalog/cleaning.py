@@ -13,8 +13,8 @@ from panelcast.operators.clean import (
     coerce_columns,
     format_counts,
     plan_cleaning,
-    role_profile,
 )
+from panelcast.operators.clean import role_profile as profile_roles
 from panelcast.plans.lineage import new_path
 from panelcast.sources.files import preview as first_rows
 from panelcast.sources.files import read_csv, read_records, with_date_cell
@@ -52,9 +52,9 @@ def record_scan(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT 'status', 2, false, COUNT(*), CAST(0 AS BIGINT), COUNT(TRY_CAST(status AS DOUBLE)) FROM t
   UNION ALL SELECT 'price_text', 3, false, COUNT(*), CAST(0 AS BIGINT), COUNT(TRY_CAST(price_text AS DOUBLE)) FROM t
   UNION ALL SELECT 'price', 4, false, COUNT(*), CAST(0 AS BIGINT), COUNT(price) FROM t""")
-def role_profile_orders(spark: SparkSession, sf: str) -> DataFrame:
+def role_profile(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return role_profile(
+    return profile_roles(
         table(spark, sf, "orders").select(
             "o_orderkey",
             F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"),
@@ -96,15 +96,11 @@ SQL_FORMATS = {
 
 
 def _order_sql(form: str) -> str:
-    part = f"TRY_CAST(split_part(strftime(o_orderdate, '{TEXT_FORMS[form][1]}'), '{SEPARATORS[form]}', {{}}) AS INT)"
-    first, second = part.format(1), part.format(2)
-    return (
-        f"SELECT '{form}' AS form, CASE WHEN MAX({first}) > 12 THEN 'DMY' ELSE 'MDY' END AS date_order,"
-        f" MAX({second}) AS greatest_second FROM orders"
-    )
+    first = f"TRY_CAST(split_part(strftime(o_orderdate, '{TEXT_FORMS[form][1]}'), '{SEPARATORS[form]}', 1) AS INT)"
+    return f"SELECT '{form}' AS form, CASE WHEN MAX({first}) > 12 THEN 'DMY' ELSE 'MDY' END AS date_order FROM orders"
 
 
-@query(" UNION ALL ".join(_order_sql(form).split(", MAX(")[0] + " FROM orders" for form in TEXT_FORMS))
+@query(" UNION ALL ".join(map(_order_sql, TEXT_FORMS)))
 def date_order(spark: SparkSession, sf: str) -> DataFrame:
     """Order of day and month for four text forms of the same dates."""
     orders, found = table(spark, sf, "orders"), None

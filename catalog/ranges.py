@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelcast.models.base import FixedRanges
+from panelcast.models.lag import fit_lag
 from panelcast.operators import ranges
 from panelcast.operators.profile import default_split
-from panelcast.spec import DateRange
+from panelcast.spec import DateRange, ModelSpec
 
 from .panels import DAILY, DAILY_SPEC, DAILY_W, PREDICT_SQL, daily, daily_panel, table
 from .panels import PREDICT as PREDICT_RANGE
@@ -38,10 +40,6 @@ def range_union(spark: SparkSession, sf: str) -> DataFrame:
   SELECT o_orderpriority, range_id, ds, lag_1 AS prediction, y AS actual FROM u WHERE lag_1 IS NOT NULL""")
 def range_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """Lags are made before ranges, and each range is scored in turn."""
-    from panelcast.models.base import FixedRanges
-    from panelcast.models.lag import fit_lag
-    from panelcast.spec import ModelSpec
-
     chosen = FixedRanges([PREDICT_RANGE], [PREDICT_RANGE, DateRange("2001-01-01", "2001-03-31")])
     fit = fit_lag(daily_panel(spark, sf), chosen, ModelSpec("lag", "LAG", "Lag"))
     return fit.forecast.drop("model_id", "model_name")

@@ -16,16 +16,19 @@ AUTO = "auto"
 # failed conversion costs far more than a failed match.
 YEAR, MONTH, DAY = r"(\d{4})", r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
 FORMAT_PATTERNS = {
-    "d/M/yyyy": (f"^{DAY}/{MONTH}/{YEAR}$", "$3-$2-$1"),
-    "d-M-yyyy": (f"^{DAY}-{MONTH}-{YEAR}$", "$3-$2-$1"),
-    "d.M.yyyy": (rf"^{DAY}\.{MONTH}\.{YEAR}$", "$3-$2-$1"),
-    "yyyy-M-d": (f"^{YEAR}-{MONTH}-{DAY}$", "$1-$2-$3"),
-    "M/d/yyyy": (f"^{MONTH}/{DAY}/{YEAR}$", "$3-$1-$2"),
-    "M-d-yyyy": (f"^{MONTH}-{DAY}-{YEAR}$", "$3-$1-$2"),
+    "d/M/yyyy": f"^{DAY}/{MONTH}/{YEAR}$",
+    "d-M-yyyy": f"^{DAY}-{MONTH}-{YEAR}$",
+    "d.M.yyyy": rf"^{DAY}\.{MONTH}\.{YEAR}$",
+    "yyyy-M-d": f"^{YEAR}-{MONTH}-{DAY}$",
+    "M/d/yyyy": f"^{MONTH}/{DAY}/{YEAR}$",
+    "M-d-yyyy": f"^{MONTH}-{DAY}-{YEAR}$",
 }
-AUTO_DAY_FIRST = f"^{DAY}[/-]{MONTH}[/-]{YEAR}[ T]" + r"(\d{1,2}:\d{2})"
-AUTO_YEAR_FIRST = f"^{YEAR}/{MONTH}/{DAY}"
-AUTO_TEXT = f"^{YEAR}-{MONTH}-{DAY}" + r"($|[ T]\d{1,2}:)"
+# What the automatic form reads, and how each text becomes ISO text.
+AUTO_PATTERNS = (
+    (f"^{YEAR}-{MONTH}-{DAY}" + r"($|[ T]\d{1,2}:.*$)", None),
+    (f"^{YEAR}/{MONTH}/{DAY}" + r"($|[ T]\d{1,2}:.*$)", "$1-$2-$3$4"),
+    (f"^{DAY}[/-]{MONTH}[/-]{YEAR}" + r"([ T]\d{1,2}:.*)$", "$3-$2-$1$4"),
+)
 BLANKS = " \t\n\r\f\v"
 
 
@@ -46,11 +49,9 @@ def parse_date(c: Column, fmt: str) -> Column:
     """
     text = stripped(c)
     if fmt != AUTO:
-        pattern, iso = FORMAT_PATTERNS[fmt]
-        return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("date")).cast("timestamp_ntz")
-    text = F.regexp_replace(text, AUTO_DAY_FIRST, "$3-$2-$1 $4")
-    text = F.regexp_replace(text, AUTO_YEAR_FIRST, "$1-$2-$3")
-    return F.when(text.rlike(AUTO_TEXT), text.try_cast("timestamp_ntz"))
+        return F.when(text.rlike(FORMAT_PATTERNS[fmt]), F.try_to_date(text, fmt)).cast("timestamp_ntz")
+    iso = [(pattern, F.regexp_replace(text, pattern, form) if form else text) for pattern, form in AUTO_PATTERNS]
+    return F.coalesce(*[F.when(text.rlike(pattern), t.try_cast("timestamp_ntz")) for pattern, t in iso])
 
 
 def cycle(part: Column, period: int) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import AUTO, DAY_FIRST_FORMATS, MONTH_FIRST_FORMATS, parse_date, stripped
-from ..functions.numbers import number, without_marks
+from ..functions.numbers import marked_number, number
 from ..spec import SeriesSpec
 
 FORMATS = tuple(dict.fromkeys((*DAY_FIRST_FORMATS, *MONTH_FIRST_FORMATS, AUTO)))
@@ -186,7 +186,7 @@ def plan_cleaning(df: DataFrame, spec: SeriesSpec) -> Cleaning:
 
 
 def _target(c: Column, text: bool) -> Column:
-    return number(without_marks(c)) if text else c.cast("double")
+    return marked_number(c) if text else c.cast("double")
 
 
 def _plain(c: Column, text: bool) -> Column:

@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.analyse import analyse
 from panelcast.models.base import FixedRanges, SeriesRanges
 from panelcast.operators import profile
 from panelcast.operators.features import RESIDUAL, build_features, training_features
 from panelcast.operators.ranges import in_range, in_ranges
 from panelcast.plans.ordered import Panel
-from panelcast.spec import DateRange, Derived, Exogenous, FeatureConfig, ModelSpec, SeriesSpec, Temporal, parse_lags
+from panelcast.spec import DateRange, Derived, Exogenous, FeatureConfig, SeriesSpec, Temporal, parse_lags
 
 MONTH = SeriesSpec("date", "value")
 
@@ -75,11 +76,10 @@ def test_month_profile(month):
 )
 @pytest.mark.parametrize("task_rows", [100, 2])
 def test_frequencies(spark, hours, code, gaps, task_rows):
-    rows = [(f"k{h}", i, float(i)) for h in range(1) for i in range(len(hours))]
     df = spark.createDataFrame([(int(h * 3.6e9), 1.0) for h in hours], "us long, y double")
     df = df.select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("us") / 1e6)).alias("ds"), "y")
     row = profile.frequency(Panel.of(df, SeriesSpec("ds", "y"), task_rows)).first()
-    assert rows and (row["frequency"], row["gaps"]) == (code, gaps)
+    assert (row["frequency"], row["gaps"]) == (code, gaps)
 
 
 def test_empty_table(spark):
@@ -157,4 +157,19 @@ def test_series_ranges_equal_fixed_ones(spark):
     for kind in ("train", "predict"):
         rows = [sorted(r.rows(panel, kind).select(F.coalesce("key", F.lit("-")), "y").collect()) for r in (fixed, table)]
         assert rows[0] == rows[1] and len(rows[0]) > 0
-    assert ModelSpec("a", "LAG", "A").params == {}
+
+
+def test_analysis_of_a_raw_table(spark):
+    raw = data.month(spark).select(
+        F.date_format("date", "MM/dd/yyyy").alias("date"),
+        F.when(F.col("value") == 105, None).otherwise(F.concat(F.lit("$"), F.col("value").cast("int").cast("string"))).alias("value"),
+        "marketing_spend",
+    )
+    found = analyse(raw, MONTH)
+    stats = found.stats.first()
+    assert (stats["total_rows"], stats["missing_values_target"], stats["frequency"]) == (30, 1, "D")
+    assert found.points.count() == 29 and found.points.orderBy("date").first()["date"] == "2023-01-01T00:00:00"
+    column = found.columns.first()
+    assert (column["name"], column["dtype"], column["missing_count"]) == ("marketing_spend", "numeric", 0)
+    assert column["sample_values"] == ["500.0", "450.0", "480.0", "520.0", "600.0"]
+    assert {r["kind"] for r in found.ranges.collect()} == {"train", "predict"}
