@@ -44,9 +44,9 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     rows = train.attach(enough).filter(F.col("_n").isNotNull()).withColumn("_y", y - F.col("_centre"))
     train = train.on(rows.select(*keys, *spec.order, "_y", "_n", "_centre"))
 
-    # One ordering pass gives the recent values of each row, and with them all lags of the differences.
+    # One ordering pass gives the recent values of each row, and with them all lags of differences and residuals.
     longest = max(p + q + 1, LONGEST_AR) if q else 0
-    recent = add_past(train, "_recent", "_y", max(p, longest) + d)
+    recent = add_past(train, "_recent", "_y", max(p, longest + q) + d)
     levels = [F.col("_recent")]
     for _ in range(d):
         levels.append(_differences(levels[-1]))
@@ -89,19 +89,24 @@ def _or_zero(array: str, i: int) -> Column:
 
 
 def _with_residuals(train: Panel, p: int, q: int, d: int, longest: int) -> DataFrame:
-    """Add ``_e``: this and q earlier residuals of an autoregression whose length grows with the series."""
+    """Add ``_e``: this and q earlier residuals of an autoregression whose length grows with the series.
+
+    A row's recent values reach far enough back for all of them, so no second ordering is needed.
+    """
     keys = train.spec.keys
     grown = F.least(F.lit(LONGEST_AR), F.round(10 * F.log10("_n")), F.floor(F.col("_n") / 4))
     length = F.greatest(F.lit(p + q + 1), grown).cast("int")
     # Lags beyond the series' own length are 0 and get no weight.
     past = F.concat(F.slice("_w", 2, length), F.array_repeat(F.lit(0.0), F.lit(longest) - length))
-    full = F.size("_w") > length
-    known = train.df.withColumn("_row", F.when(full, F.concat(past, F.slice("_w", 1, 1))))
-    sums = row_moments(known.filter(F.col("_row").isNotNull()), keys, F.col("_row"), longest + 1).filter(F.col("n") > 0)
+    full = train.df.filter(F.size("_w") > length)
+    sums = row_moments(full, keys, F.concat(past, F.slice("_w", 1, 1)), longest + 1).filter(F.col("n") > 0)
     fits = cut(sums.withColumn("_ar", solve("n", "mean", "products", F.lit(d == 0))).select(*keys, "_ar"))
-    error = F.get("_row", F.lit(longest)) - F.col("_ar.intercept") - dot(F.slice("_row", 1, longest), F.col("_ar.coef"))
-    left = train.attach_to(known, fits).withColumn("_error", error).drop("_row", "_ar")
-    return add_past(train.on(left), "_e", "_error", q).drop("_error")
+
+    def residual(j: int) -> Column:
+        explained = dot(F.slice("_w", j + 2, length), F.slice("_ar.coef", 1, length))
+        return F.when(F.size("_w") > length + j, F.get("_w", F.lit(j)) - F.col("_ar.intercept") - explained)
+
+    return train.attach(fits).withColumn("_e", F.array(*[residual(j) for j in range(q + 1)])).drop("_ar")
 
 
 def transition(coef: np.ndarray, constant: float, p: int, d: int, q: int) -> np.ndarray:

@@ -29,7 +29,8 @@ CHANGE_SCALE, SLOPE_SCALE, TERM_SCALE = 0.05, 5.0, 10.0
 SEASONS = {"yearly": (365.25, 10), "weekly": (7.0, 3), "daily": (1.0, 4)}
 
 ROUNDS = 2
-SOLVER_STEPS = 40
+SOLVER_STEPS = 100
+SOLVER_TOLERANCE = 1e-6
 
 
 def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
@@ -163,11 +164,15 @@ def posterior_mode(n: int, mean: np.ndarray, products: np.ndarray) -> tuple[np.n
     changes = slice(1, 1 + CHANGES)
     penalty, noise = 1 / scale**2, max(total / n, 1e-12)
     penalty[changes] = 1 / CHANGE_SCALE**2
+    coef = np.zeros(len(gram))
     for _ in range(SOLVER_STEPS):
+        before = coef
         coef = np.linalg.solve(gram + noise * np.diag(penalty) + 1e-12 * np.eye(len(gram)), cross)
         left = total - 2 * coef @ cross + coef @ gram @ coef
         noise = max(left / n, 1e-12)
         penalty[changes] = 1 / (CHANGE_SCALE * np.maximum(np.abs(coef[changes]), 1e-8))
+        if np.abs(coef - before).max() < SOLVER_TOLERANCE:
+            break
     return coef, float(mean[-1] - coef @ mean[:-1])
 
 
