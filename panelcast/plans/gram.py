@@ -152,20 +152,41 @@ def least_squares(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return out
 
 
-def regression(n: int, mean: np.ndarray, products: np.ndarray, constant: bool) -> tuple[np.ndarray, float]:
-    """Regression of the last column on the others, with or without a constant."""
-    g = symmetric(products, len(mean))
+def regressions(
+    n: np.ndarray, mean: np.ndarray, products: np.ndarray, constant: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``moments``, the regression of the last column on the others, with or without a constant.
+
+    Fits of full rank are solved together; ``least_squares`` takes the others one by one.
+    """
+    width = mean.shape[1]
+    g = np.zeros((len(n), width, width))
+    rows, columns = np.triu_indices(width)
+    g[:, rows, columns] = g[:, columns, rows] = products
     if not constant:
-        g = g + n * np.outer(mean, mean)
-    coef = least_squares(g[:-1, :-1], g[:-1, -1])
-    return coef, float(mean[-1] - coef @ mean[:-1]) if constant else 0.0
+        g += n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    gram, cross = g[:, :-1, :-1], g[:, :-1, -1]
+    coef = np.zeros(cross.shape)
+    if width > 1:
+        length = np.sqrt(np.einsum("bii->bi", gram))
+        unit = np.where(length > 0, length, 1.0)
+        values, vectors = np.linalg.eigh(gram / (unit[:, :, None] * unit[:, None, :]))
+        full = (length > 0).all(axis=1) & (values[:, 0] > RANK_TOLERANCE * values[:, -1])
+        along = np.einsum("bij,bi->bj", vectors, cross / unit) / np.where(values != 0, values, 1.0)
+        coef = np.einsum("bij,bj->bi", vectors, along) / unit
+        for i in np.flatnonzero(~full):
+            coef[i] = least_squares(gram[i], cross[i])
+    intercept = mean[:, -1] - (coef * mean[:, :-1]).sum(axis=1) if constant else np.zeros(len(n))
+    return coef, intercept
 
 
 @F.pandas_udf(FIT)
 def solve(n: pd.Series, mean: pd.Series, products: pd.Series, constant: pd.Series) -> pd.DataFrame:
-    """``regression`` on the rows of ``moments``."""
-    rows = zip(n, map(np.asarray, mean), map(np.asarray, products), constant)
-    return pd.DataFrame([regression(*row) for row in rows], columns=["coef", "intercept"])
+    """``regressions`` on the rows of ``moments``."""
+    if n.empty:
+        return pd.DataFrame({"coef": [], "intercept": []})
+    coef, intercept = regressions(n.to_numpy(), np.stack(mean), np.stack(products), bool(constant.iloc[0]))
+    return pd.DataFrame({"coef": list(coef), "intercept": intercept})
 
 
 def dot(row: Column, coef: Column) -> Column:

@@ -20,7 +20,7 @@ from panelcast.models.lag import fit_lag
 from panelcast.models.ols import fit_ols
 from panelcast.operators import attribution
 from panelcast.operators.evaluate import metrics, top_importance
-from panelcast.plans.gram import least_squares, moments, row_moments
+from panelcast.plans.gram import least_squares, moments, regressions, row_moments
 from panelcast.plans.ordered import Panel
 from panelcast.run import run_models, train_models
 from panelcast.sources.files import write_forecast_csv
@@ -131,6 +131,24 @@ def test_least_squares_of_dependent_columns():
     assert np.allclose(least_squares(xc.T @ xc, xc.T @ yc), np.linalg.lstsq(xc, yc, rcond=None)[0], rtol=1e-6)
 
 
+@pytest.mark.parametrize("constant", [True, False])
+def test_fits_together_equal_fits_alone(constant):
+    """Full rank, dependent, constant and single columns in one batch."""
+    rng = np.random.default_rng(1)
+    tables = [rng.normal(size=(30, 4)) * [1, 1e5, 1, 3] + [5, 0, 1, 0] for _ in range(5)]
+    tables[1][:, 1] = 2 * tables[1][:, 0]
+    tables[2][:, 2] = 7.0
+    mean = np.stack([t.mean(0) for t in tables])
+    products = np.stack([((t - t.mean(0)).T @ (t - t.mean(0)))[np.triu_indices(4)] for t in tables])
+    coef, intercept = regressions(np.full(5, 30), mean, products, constant)
+    for i, t in enumerate(tables):
+        x = t[:, :3] - t[:, :3].mean(0) if constant else t[:, :3]
+        want = np.linalg.lstsq(x, t[:, 3] - (t[:, 3].mean() if constant else 0), rcond=None)[0]
+        assert np.allclose(coef[i], want, rtol=1e-6, atol=1e-12)
+        assert intercept[i] == pytest.approx(t[:, 3].mean() - want @ t[:, :3].mean(0) if constant else 0.0)
+    assert regressions(np.array([3]), np.array([[2.0]]), np.array([[1.0]]), constant)[0].shape == (1, 0)
+
+
 def test_moments_by_aggregates_and_by_batches(panel):
     by_aggregate = moments(panel.df, ("key",), ["y", "x"]).orderBy("key").collect()
     by_batch = row_moments(panel.df, ("key",), F.array("y", "x"), 2).orderBy("key").collect()
