@@ -193,7 +193,7 @@ def standardise(spark: SparkSession, sf: str) -> DataFrame:
     features = build_features(daily_panel(spark, sf), config)
     panel, keys, names = features.panel, features.panel.spec.keys, features.names
     train = drop_incomplete(in_ranges(panel.df, "ds", [TRAIN]), names)
-    scaled = feature_operators.standardise(panel.df, scaling(train, names, keys), names, keys, panel.series)
+    scaled = feature_operators.standardise(panel, panel.df, scaling(train, names, keys), names, keys)
     return round_all(scaled.select("o_orderpriority", "ds", *names), names)
 
 

@@ -101,7 +101,7 @@ def ols_importance(spark: SparkSession, sf: str) -> DataFrame:
 # --- ARIMA, decomposition, boosted trees --------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {DAILY}, d AS (SELECT *, y - LAG(y) OVER {DAILY_W} AS w FROM daily WHERE {TRAIN_SQL}),
+@query(f"""WITH {DAILY}, d AS (SELECT *, y - LAG(y) OVER {DAILY_W} AS w FROM daily WHERE {TRAIN_SQL}),
   e AS (SELECT *, LAG(w) OVER {DAILY_W} AS w1, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY ds DESC) AS back FROM d),
   fit AS (SELECT o_orderpriority, SUM(w * w1) / SUM(w1 * w1) AS phi FROM e WHERE w1 IS NOT NULL GROUP BY 1),
   state AS (SELECT o_orderpriority, y AS level, w FROM e WHERE back = 1),

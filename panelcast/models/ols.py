@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import drop_incomplete, scaling, standardise, training_features
-from ..plans.attach import attach
 from ..plans.gram import BUILT_IN_COLUMNS, dot, moments, solve
 from ..plans.ordered import Panel
 from ..spec import FeatureConfig, ModelSpec
@@ -25,7 +24,7 @@ def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     config = FeatureConfig.from_params(params, [1, 7])
     mode, residual_lag = params.get("target_mode", "raw"), int(params.get("residual_lag", 1))
     standardized = bool(params.get("standardize", False))
-    keys, fits = fit_scope(panel, params)
+    keys = fit_keys(panel, params)
     features, target = training_features(panel, config, mode, residual_lag)
     names = features.names
     train = drop_incomplete(ranges.rows(features.panel, "train"), [*names, target])
@@ -36,13 +35,13 @@ def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     if scaled:
         with kept(train.select(*keys, *names, target)) as rows:
             constants = fitted(scaling(rows, names, keys).filter(F.col(f"_std_{names[0]}").isNotNull()), message)
-            solved = coefficients(standardise(rows, constants, names, keys, fits), keys, names, target)
-            solved = fitted(unscaled(attach(solved, constants, keys, fits), names), message)
+            solved = coefficients(standardise(panel, rows, constants, names, keys), keys, names, target)
+            solved = fitted(unscaled(panel.attach_to(solved, constants, keys), names), message)
     else:
         solved = fitted(coefficients(train, keys, names, target), message)
 
     predict = drop_incomplete(ranges.rows(features.panel, "predict"), names)
-    scored = attach(predict, solved.select(*keys, "coef", "intercept"), keys, fits).filter(F.col("coef").isNotNull())
+    scored = panel.attach_to(predict, solved.select(*keys, "coef", "intercept"), keys).filter(F.col("coef").isNotNull())
     prediction = linear_score(names)
     if mode == "residual":
         prediction = prediction + F.col(f"target_lag_{residual_lag}")
@@ -74,9 +73,9 @@ def linear_score(names: list[str]) -> Column:
     return reduce(lambda total, at: total + F.col("coef")[at[0]] * F.col(at[1]), enumerate(names), F.col("intercept"))
 
 
-def fit_scope(panel: Panel, params: dict) -> tuple[tuple[str, ...], int]:
-    """Keys of a fit and the number of fits: one for all series, or one per series."""
+def fit_keys(panel: Panel, params: dict) -> tuple[str, ...]:
+    """Keys that tell fits apart: none for one fit of all series, those of the series for one each."""
     scope = params.get("fit_scope", "pooled")
     if scope not in ("pooled", "series"):
         raise ValueError(f"fit_scope is 'pooled' or 'series', not {scope!r}")
-    return (panel.spec.keys, panel.series) if scope == "series" else ((), 1)
+    return panel.spec.keys if scope == "series" else ()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import cycle, iso_weekday, minute_of_day
 from ..functions.numbers import over_magnitude
-from ..plans.attach import attach
 from ..plans.ordered import Panel, add_lags
 from ..spec import Derived, Exogenous, FeatureConfig, Temporal
 
@@ -166,10 +165,9 @@ def _deviation(name: str) -> Column:
     return F.when(std == 0, F.lit(1.0)).otherwise(std)
 
 
-def standardise(df: DataFrame, constants: DataFrame, names: list[str], keys: tuple[str, ...], fits: int) -> DataFrame:
-    """Replace features by their distance from the training mean in training deviations.
-
-    ``fits`` is the number of rows in ``constants``, one per fit.
-    """
+def standardise(
+    panel: Panel, df: DataFrame, constants: DataFrame, names: list[str], keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Replace features of the panel's rows by their distance from the training mean in training deviations."""
     scaled = {name: (F.col(name) - F.col(f"_mean_{name}")) / F.col(f"_std_{name}") for name in names}
-    return attach(df, constants, keys, fits).withColumns(scaled).select(*df.columns)
+    return panel.attach_to(df, constants, keys).withColumns(scaled).select(*df.columns)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ class Panel:
     rows: int
     series: int
     longest: int
+    null_keys: bool
     task_rows: int
     ready: frozenset[str] = frozenset()
 
@@ -49,9 +51,14 @@ class Panel:
     def of(cls, df: DataFrame, spec: SeriesSpec, task_rows: int | None = None) -> Panel:
         """Measure with one job that reads the key columns only."""
         sizes = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"))
-        total = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("series"), F.max("n").alias("longest")).first()
-        limit = task_rows or rows_per_task(df.sparkSession)
-        return cls(df, spec, total["rows"] or 0, total["series"], total["longest"] or 0, limit)
+        without_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in spec.keys], F.lit(False))
+        total = sizes.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.count(F.lit(1)).alias("series"),
+            F.coalesce(F.max("n"), F.lit(0)).alias("longest"),
+            F.coalesce(F.bool_or(without_key), F.lit(False)).alias("null_keys"),
+        ).first()
+        return cls(df, spec, *total, task_rows or rows_per_task(df.sparkSession))
 
     def on(self, df: DataFrame, spec: SeriesSpec | None = None) -> Panel:
         """The same panel over a frame with no more rows per series than before."""
@@ -64,9 +71,10 @@ class Panel:
     def attach(self, per_series: DataFrame) -> DataFrame:
         return self.attach_to(self.df, per_series)
 
-    def attach_to(self, df: DataFrame, per_series: DataFrame) -> DataFrame:
-        """Left join of rows of this panel with a table that has one row per series."""
-        return attach(df, per_series, self.spec.keys, self.series)
+    def attach_to(self, df: DataFrame, per_fit: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+        """Left join of rows of this panel with a table that has one row per series, or for no keys one row."""
+        keys = self.spec.keys if keys is None else keys
+        return attach(df, per_fit, keys, self.series, not self.fits_tasks, self.null_keys)
 
 
 def add_lags(panel: Panel, lags: dict[str, tuple[str, int]]) -> DataFrame:

@@ -80,9 +80,10 @@ def test_ready_lags_are_not_made_again(df):
 
 @pytest.mark.parametrize("keys", [(), ("key",)])
 @pytest.mark.parametrize("rows_known", [1, 10_000_000])
-def test_attach_joins_every_row_once(df, keys, rows_known):
+@pytest.mark.parametrize("salted", [True, False])
+def test_attach_joins_every_row_once(df, keys, rows_known, salted):
     sums = df.groupBy(*keys).agg(F.sum("tie").alias("total"))
-    got = attach(df, sums, keys, rows_known).select("tie", "key", "total").toPandas()
+    got = attach(df, sums, keys, rows_known, salted).select("tie", "key", "total").toPandas()
     want = df.toPandas().assign(total=lambda p: p.groupby(list(keys), dropna=False)["tie"].transform("sum") if keys else p["tie"].sum())
     merged = got.merge(want[["tie", "total"]], on="tie")
     assert len(got) == len(want) and (merged["total_x"] == merged["total_y"]).all()
@@ -94,3 +95,19 @@ def test_large_side_is_salted_and_small_side_broadcast(df):
     large = attach(df, sums, ("key",), 10_000_000)._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastHashJoin" in small
     assert "_salt" in large and "broadcast" not in large
+
+
+def test_rows_by_series_are_not_moved_again(spark, df):
+    """With many series and none of them large, rows after lags meet per-series results where they are."""
+    keyed = df.filter("key is not null")
+    panel = replace(Panel.of(keyed, KEYED), series=10_000_000)
+    assert not panel.null_keys and Panel.of(df, KEYED).null_keys
+    lagged = add_lags(panel, {"lag": ("y", 1)})
+    sums = keyed.groupBy("key").agg(F.sum("tie").alias("total"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = panel.attach_to(lagged, sums)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange for the lags and one for the sums, none for the join.
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
