@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -41,17 +42,26 @@ def stripped(c: Column) -> Column:
     return F.btrim(c.cast("string"), F.lit(BLANKS))
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column that it names several times, evaluated once per row also where it is not a plain column."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def parse_date(c: Column, fmt: str) -> Column:
     """Text to zone-free timestamp under one format, null where it does not match in full.
 
     Dates go through DATE, never through the session's time zone. The automatic form reads ISO text and,
     with a time of day, year-first or day-first text with slashes or dashes.
     """
-    text = stripped(c)
     if fmt != AUTO:
-        return F.when(text.rlike(FORMAT_PATTERNS[fmt]), F.try_to_date(text, fmt)).cast("timestamp_ntz")
-    iso = [(pattern, F.regexp_replace(text, pattern, form) if form else text) for pattern, form in AUTO_PATTERNS]
-    return F.coalesce(*[F.when(text.rlike(pattern), t.try_cast("timestamp_ntz")) for pattern, t in iso])
+        pattern = FORMAT_PATTERNS[fmt]
+        return once(stripped(c), lambda text: F.when(text.rlike(pattern), F.try_to_date(text, fmt))).cast("timestamp_ntz")
+
+    def read(text: Column) -> Column:
+        iso = [(pattern, F.regexp_replace(text, pattern, form) if form else text) for pattern, form in AUTO_PATTERNS]
+        return F.coalesce(*[F.when(text.rlike(pattern), t.try_cast("timestamp_ntz")) for pattern, t in iso])
+
+    return once(stripped(c), read)
 
 
 def cycle(part: Column, period: int) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import stripped
+from .dates import once, stripped
 
 # The characters a plain number has, and those of any number.
 PLAIN_CHARACTERS = "0123456789.-"
@@ -25,12 +25,18 @@ def number(c: Column) -> Column:
 
 def marked_number(c: Column) -> Column:
     """Text to double once a leading question mark and the first character that no number has are taken out."""
-    text = stripped(c)
-    text = F.when(text.startswith("?"), F.substr(text, F.lit(2))).otherwise(text)
-    # What is left of the text from its first character that no plain number has.
-    rest = F.ltrim(text, F.lit(PLAIN_CHARACTERS))
-    whole = F.left(text, F.length(text) - F.length(rest))
-    return F.when(rest == "", text.try_cast("double")).otherwise(number(F.concat(whole, F.substr(rest, F.lit(2)))))
+
+    def unmarked(text: Column) -> Column:
+        return F.when(text.startswith("?"), F.substr(text, F.lit(2))).otherwise(text)
+
+    def read(text: Column) -> Column:
+        # What is left of the text from its first character that no plain number has.
+        rest = F.ltrim(text, F.lit(PLAIN_CHARACTERS))
+        whole = F.left(text, F.length(text) - F.length(rest))
+        without = once(F.concat(whole, F.substr(rest, F.lit(2))), number)
+        return F.when(rest == "", text.try_cast("double")).otherwise(without)
+
+    return once(once(stripped(c), unmarked), read)
 
 
 def over_magnitude(a: Column, b: Column) -> Column:
