@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from . import bpe, idfiles, packing
+from . import bpe, idfiles, packing, quality
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,13 +36,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the quality rules."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), into="report")
+    report = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[f"report.{name}" for name in report])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_id_files": op4_id_files,
         "op6_bpe": op6_bpe,
+        "op7_quality": op7_quality,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op7_quality": quality.ORACLE}
