@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from . import bpe, idfiles, packing, quality
+from . import bpe, idfiles, packing, pii, quality
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+#: The key of the pseudonyms in these queries. In use it is a secret of whoever runs them.
+PII_KEY = "example key"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +35,12 @@ def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(spark, path, with_ids=False)
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced, and how much was replaced."""
+    done = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, into="found")
+    return done.select("doc_id", "text", F.size("found").cast("bigint").alias("n_replaced"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -47,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_id_files": op4_id_files,
+        "op5_pseudonyms": op5_pseudonyms,
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
     }
