@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from . import bpe, idfiles, packing, pii, quality
+from . import bpe, idfiles, jaccard, packing, pii, quality
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"report.{name}" for name in report])
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, and its links: five words, similarity 0.8."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pseudonyms": op5_pseudonyms,
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
     }
 
 
