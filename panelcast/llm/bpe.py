@@ -22,18 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import BOUNDARY, Memory, stands_alone, with_spaces
+from .encode import BOUNDARY, Memory, byte_letters, stands_alone, with_spaces
 
-#: The words that byte-level tokenizers take apart, and the bytes that stand for themselves in vocabularies.
+#: Fixed value: the words that byte-level tokenizers take apart.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a vocabulary file: itself if printed, else the next from 256 on."""
-    spare = iter(range(256, 512))
-    printed = set(PRINTED)
-    return [chr(byte if byte in printed else next(spare)) for byte in range(256)]
 
 
 class Codec:

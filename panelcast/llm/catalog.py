@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from . import bpe, idfiles, jaccard, lines, packing, pii, quality
+from . import bpe, idfiles, jaccard, lines, packing, passages, pii, quality
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, with four fifths of their words in place."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand on ten sources or more."""
     return lines.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
         "op8_ngram_jaccard": op8_ngram_jaccard,
+        "op9_passages": op9_passages,
         "op10_line_spread": op10_line_spread,
     }
 

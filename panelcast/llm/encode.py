@@ -22,6 +22,17 @@ LONGEST = 64
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Bytes that stand for themselves in byte-level vocabularies.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a vocabulary file: itself if printed, else the next from 256 on."""
+    spare = iter(range(256, 512))
+    printed = set(PRINTED)
+    return [chr(byte if byte in printed else next(spare)) for byte in range(256)]
+
+
 class Memory(dict):
     """Word -> ids as little-endian unsigned 32-bit numbers, or None where a word can't stand alone.
 
@@ -31,33 +42,36 @@ class Memory(dict):
 
     MARKS = frozenset(",.;:!?")
 
-    def __init__(self, encode, stands_alone):
+    def __init__(self, encode, stands_alone, letters=None):
         super().__init__()
         self.encode, self.stands_alone, self.older = encode, stands_alone, {}
+        self.letters = letters or encode
         self.line_break = encode("\n")
 
     def __missing__(self, word: str) -> bytes | None:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.parts(word)
+            letters = word[1:]
+            if letters.isalpha() and (word[0] == " " or word[0].isalpha()):
+                ids = self.letters(word)
+            else:
+                ids = self.parts(word)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
             self[word] = ids
         return ids
 
     def parts(self, word: str) -> bytes | None:
-        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
-            return self.encode(word)
+        if word[-1:] in self.MARKS and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return self[word[:-1]] + self[word[-1]]
         if not self.stands_alone(word):
             return None
         before, line, after = word.partition("\n")
         if line and after[:1].isalpha() and before and not before[-1].isspace():
             first, second = self[before], self[after]
             return None if first is None or second is None else first + self.line_break + second
-        if word[-1:] in self.MARKS and word[-2:-1].isalpha():
-            return self[word[:-1]] + self[word[-1]]
         return self.encode(word)
 
 
@@ -72,24 +86,25 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.letters = byte_letters()
         with open(path, encoding="utf-8") as file:
             self.kind = _kind(json.load(file))
         if self.kind == "spaced":
-            self.memory = Memory(self.word, stands_alone)
+            self.memory = Memory(self.whole, stands_alone, self.word)
         elif self.kind == "dropped":
-            self.memory = Memory(self.word, lambda word: True)
+            self.memory = Memory(self.whole, lambda word: True, self.word)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
     def word(self, word: str) -> bytes:
-        """Ids of one word. Plain letters need none of the rules around the library's model, which cost most of its time."""
-        letters = word[1:] if word[:1] == " " and self.kind == "spaced" else word
-        if not (letters.isascii() and letters.isalpha()):
+        """Ids of letters, perhaps after a space. Latin ones need none of the rules around the library's model, which cost most of its time."""
+        if max(word) > "\xff":
             return self.whole(word)
-        symbols = letters.lower() if self.kind == "dropped" else word.replace(" ", "\u0120")
-        return array("I", [token.id for token in self.model.tokenize(symbols)]).tobytes()
+        plain = word if self.kind == "spaced" else word.lower()
+        symbols = plain if word.isascii() else plain.encode().decode("latin-1")
+        return array("I", [token.id for token in self.model.tokenize(symbols.translate(self.letters))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
