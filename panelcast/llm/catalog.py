@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from . import bpe, idfiles, jaccard, lines, packing, passages, pii, quality
+from . import bpe, idfiles, jaccard, lines, packing, passages, pii, quality, vectors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
 
 
+def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9 or above."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as ids with their index, and read back from the files."""
     path = new_path(spark, "ids")
@@ -71,6 +76,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_embedding_dups": op2_embedding_dups,
         "op4_id_files": op4_id_files,
         "op5_pseudonyms": op5_pseudonyms,
         "op6_bpe": op6_bpe,
