@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from . import bpe, idfiles, jaccard, lines, packing, passages, pii, quality, vectors
+from . import bpe, idfiles, jaccard, lines, packing, passages, pii, quality, toxicity, vectors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,15 @@ def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model that has not seen the held-out fifth of the labels."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels.where(toxicity.remainder(F.col("doc_id")) != 0), "toxic")
+    scored = toxicity.score(documents, model, columns=["doc_id"])
+    held_out = toxicity.remainder(F.col("doc_id")) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as ids with their index, and read back from the files."""
     path = new_path(spark, "ids")
@@ -77,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_embedding_dups": op2_embedding_dups,
+        "op3_toxicity": op3_toxicity,
         "op4_id_files": op4_id_files,
         "op5_pseudonyms": op5_pseudonyms,
         "op6_bpe": op6_bpe,
