@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from .quality import SPACE, once
+from .quality import SPACE, named, numbered, once
 
 #: Deviations of a sketch within which a line is counted exactly.
 DEVIATIONS = 4
@@ -23,10 +23,10 @@ DEVIATIONS = 4
 
 def spread_lines(df: DataFrame, key: str, site: str, text: str) -> DataFrame:
     """(row, id, site, place, h, g): one row per line that is not blank; ``row`` tells rows of different key or text apart."""
-    named = df.select(
+    rows = df.select(
         F.col(key).alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), *_row(key, text), F.split(F.col(text), "\n").alias("lines")
     )
-    lines = named.select("r1", "r2", "id", "site", F.posexplode("lines").alias("place", "line")).withColumn("line", F.btrim("line", F.lit(SPACE)))
+    lines = rows.select("r1", "r2", "id", "site", F.posexplode("lines").alias("place", "line")).withColumn("line", F.btrim("line", F.lit(SPACE)))
     # Two hashes: together they don't meet by chance.
     return lines.where(F.length("line") > 0).select("r1", "r2", "id", "site", "place", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
@@ -72,14 +72,13 @@ def remove_boilerplate(
     lost = F.when(F.col("own"), F.array_remove("places", F.col("first"))).otherwise(F.col("places"))
     removed = places.select("r1", "r2", lost.alias("lost")).where(F.size("lost") > 0)
     removed = removed.groupBy("r1", "r2").agg(F.flatten(F.collect_list("lost")).alias("lost"))
-    packed = df.select(F.struct(*[F.col(f"`{name}`") for name in original]).alias("row"), *_row(key, text))
-    joined = packed.join(removed, ["r1", "r2"], "left")
-    joined = once(joined.select("row", "lost"), lines=F.when(F.col("lost").isNotNull(), F.split(F.col("row").getField(text), "\n")))
+    packed = df.select(*numbered(original), F.col(f"`{text}`").alias("text"), *_row(key, text))
+    joined = packed.join(removed, ["r1", "r2"], "left").drop("r1", "r2")
+    joined = once(joined, lines=F.when(F.col("lost").isNotNull(), F.split(F.col("text"), "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     kept = F.array_join(F.transform(left, lambda place: F.get("lines", place)), "\n")
-    new = F.when(F.col("lost").isNotNull(), kept).otherwise(F.col("row").getField(text))
-    columns = [new.alias(name) if name == text else F.col("row").getField(name).alias(name) for name in original]
-    return joined.select(*columns, F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias(into))
+    new = F.when(F.col("lost").isNotNull(), kept).otherwise(F.col("text"))
+    return joined.select(*named(original, **{text: new}), F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias(into))
 
 
 #: DuckDB SQL for the query: exact counts throughout.

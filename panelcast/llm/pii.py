@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import once
+from .quality import named, numbered, once
 
 #: Patterns (Java), in the order in which they are tried at a place.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -280,7 +280,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", into: str = "found
     original = [name for name in df.columns if name != into]
     content = F.col("_text")
     maybe = content.rlike(MAYBE)
-    df = df.select(F.struct(*[F.col(f"`{name}`") for name in original]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    df = df.select(*numbered(original), F.col(f"`{text}`").alias("_text"))
     df = once(df, _found=F.when(maybe, F.regexp_extract_all(content, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
     def made(found: Column) -> Column:
@@ -295,5 +295,4 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", into: str = "found
     df = once(df, _new=F.transform("_found", made))
     pieces = F.zip_with(F.split(content, ANY, -1), F.col("_new"), lambda piece, new: F.concat(piece, F.coalesce(new["value"], F.lit(""))))
     changed = F.when(F.exists("_new", lambda new: new["kind"].isNotNull()), F.array_join(pieces, "")).otherwise(content)
-    columns = [changed.alias(name) if name == text else F.col("_row").getField(name).alias(name) for name in original]
-    return df.select(*columns, F.filter("_new", lambda new: new["kind"].isNotNull()).alias(into))
+    return df.select(*named(original, **{text: changed}), F.filter("_new", lambda new: new["kind"].isNotNull()).alias(into))

@@ -68,6 +68,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(value)))
 
 
+def numbered(names: list[str]) -> list[Column]:
+    """Columns under numbers instead of names, so that nothing made on the way can clash with them."""
+    return [F.col(f"`{name}`").alias(f"_c{place}") for place, name in enumerate(names)]
+
+
+def named(names: list[str], **replaced: Column) -> list[Column]:
+    """The columns of ``numbered`` under their names again, some of them replaced."""
+    return [replaced.get(name, F.col(f"_c{place}")).alias(name) for place, name in enumerate(names)]
+
+
 def pairs(items: Column, step: int = 1) -> tuple[Column, Column]:
     """Items without the last ``step``, and without the first ``step``."""
     size = F.greatest(F.size(items) - step, F.lit(0))
@@ -155,18 +165,14 @@ def judge(df: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, rule
     column already named ``into`` is replaced; every other column and every row stays as it is.
     """
     original = [name for name in df.columns if name != into]
-    packed = df.select(F.struct(*[F.col(f"`{name}`") for name in original]).alias("_row"), F.col(f"`{text}`").alias("_q_text"))
-    counted = measured(packed, "_q_text").drop("_q_text")
-    counted = counted.select("_row", "_q.*")
-    ratios = {
-        name: F.when(F.col(below) > 0, F.lit(scale) * F.col(above) / F.col(below)) for name, (above, below, scale) in RATIOS.items()
-    }
+    packed = df.select(*numbered(original), F.col(f"`{text}`").alias("_q_text"))
+    kept = packed.columns[:-1]
+    counted = measured(packed, "_q_text").select(*kept, "_q.*")
+    ratios = {name: F.when(F.col(below) > 0, F.lit(scale) * F.col(above) / F.col(below)) for name, (above, below, scale) in RATIOS.items()}
     rated = counted.withColumns(ratios)
-    metrics = [name for name in rated.columns if name != "_row"]
-    judged = rated.select("_row", *metrics, *verdicts(base, rules))
-    report = F.struct(*[name for name in judged.columns if name != "_row"]).alias("_report")
-    names = [F.col("_row").getField(name).alias(name) for name in original]
-    return judged.select("_row", report).select(*names, F.col("_report").alias(into))
+    judged = rated.select("*", *verdicts(base, rules))
+    report = F.struct(*judged.columns[len(kept) :]).alias(into)
+    return judged.select(*named(original), report)
 
 
 #: DuckDB SQL for the query: the same counts and thresholds.
