@@ -17,7 +17,7 @@ from panelcast.operators.clean import (
 from panelcast.operators.clean import role_profile as profile_roles
 from panelcast.plans.lineage import new_path
 from panelcast.sources.files import preview as first_rows
-from panelcast.sources.files import read_csv, read_records, with_date_cell
+from panelcast.sources.files import CSV, read_csv, read_records, with_date_cell
 from panelcast.spec import SeriesSpec
 
 from .panels import DAILY, daily, table
@@ -35,6 +35,14 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return back.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")})
 
 
+@query("SELECT event_id, event_type, props FROM events")
+def csv_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """The events, whose JSON text is full of quotes and commas, written as CSV and read back."""
+    path = new_path(spark, "events-csv")
+    table(spark, sf, "events").select("event_id", "event_type", "props").write.options(**CSV).csv(path)
+    return read_csv(spark, path).withColumn("event_id", F.col("event_id").cast("long"))
+
+
 @query("""SELECT event_id, user_id, event_type, value, props,
          CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
               ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts FROM events""")

@@ -98,6 +98,25 @@ def ols_importance(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(fit.importance.drop("model_id"), ["importance"], 4)
 
 
+@query(f"""WITH {DAILY}, fit AS (SELECT ABS(regr_slope(y, n_orders)) AS b FROM daily WHERE {TRAIN_SQL})
+  SELECT 0 AS constants, 0 AS feature_pos, ROUND(b / 5, 4) AS importance FROM fit UNION ALL SELECT 0, 1, ROUND(b * 2 / 5, 4) FROM fit
+  UNION ALL SELECT 12, 0, ROUND(b / 5, 4) FROM fit UNION ALL SELECT 12, 1, ROUND(b * 2 / 5, 4) FROM fit""")
+def ols_wide_collinear(spark: SparkSession, sf: str) -> DataFrame:
+    """A feature and its double share the slope as the least norm has it, whether or not constants join them."""
+    panel = daily_panel(spark, sf)
+    names = [f"constant_{i}" for i in range(12)]
+    rows = panel.df.withColumns({"twin": 2 * F.col("n_orders"), **{name: F.lit(1.0) for name in names}})
+
+    def importance(constants: list[str]) -> DataFrame:
+        exogenous = [Exogenous(name, use_actual=True) for name in ["n_orders", "twin", *constants]]
+        params = {"feature_config": FeatureConfig(target_lags=[], exogenous=exogenous)}
+        fit = fit_ols(panel.on(rows), RANGES, ModelSpec("ols", "LINEAR_REGRESSION", "Linear", params))
+        few = fit.importance.filter(F.col("feature_pos") < 2)
+        return few.select(F.lit(len(constants)).alias("constants"), "feature_pos", "importance")
+
+    return round_all(importance([]).unionByName(importance(names)), ["importance"], 4)
+
+
 # --- ARIMA, decomposition, boosted trees --------------------------------------------------------
 
 

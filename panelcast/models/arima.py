@@ -20,17 +20,19 @@ from ..plans.gram import dot, moments, row_moments, solve
 from ..plans.lineage import cut
 from ..plans.ordered import Panel, add_past, add_position
 from ..spec import ModelSpec
-from .base import Fitted, Ranges, as_forecast, fitted, kept
+from .base import Fitted, Ranges, as_forecast, fitted, kept, unfitted
 
+#: Longest first-stage autoregression unless ``longest_ar`` says otherwise.
 LONGEST_AR = 20
 
 
 def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
-    """Params: ``p``, ``d``, ``q`` (1 each).
+    """Params: ``p``, ``d``, ``q`` (1 each), ``longest_ar`` (20): the most lags of the first regression, whose number
+    grows with the logarithm of the series' length.
 
     Training rows of all ranges form one sequence in date order. Every prediction range starts at step 1
-    after the end of training, whatever its dates. Series with too few training rows are left out and
-    listed; if none is left, it is an error.
+    after the end of training, whatever its dates. Series with too few training rows, or none that
+    has all its lags, are left out and listed; if none is left, it is an error.
     """
     p, d, q = (int(model.params.get(name, 1)) for name in "pdq")
     spec = replace(panel.spec, tiebreak=(*panel.spec.tiebreak, "range_id"))
@@ -44,14 +46,15 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     train = train.on(rows.select(*keys, *spec.order, "_y", "_n", "_centre"))
 
     # One ordering pass gives the recent values of each row, and with them all lags of differences and residuals.
-    longest = max(p + q + 1, LONGEST_AR) if q else 0
+    most = int(model.params.get("longest_ar", LONGEST_AR))
+    longest = max(p + q + 1, most) if q else 0
     recent = add_past(train, "_recent", "_y", max(p, longest + q) + d)
     levels = [F.col("_recent")]
     for _ in range(d):
         levels.append(_differences(levels[-1]))
     with kept(recent.withColumn("_w", levels[-1])) as frame:
         if q:
-            frame = _with_residuals(train.on(frame), p, q, d, longest)
+            frame = _with_residuals(train.on(frame), p, q, d, longest, most)
         lags = {f"_w_{i}": F.get("_w", F.lit(i)) for i in range(p + 1)}
         errors = {f"_e_{j}": F.get("_e", F.lit(j)) for j in range(1, q + 1)}
         inputs = [*[f"_w_{i}" for i in range(1, p + 1)], *errors]
@@ -73,7 +76,7 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     predict = add_position(steps.on(ranges.rows(panel, "predict")), "_step")
     scored = panel.attach_to(predict, fits).filter(F.col("coef").isNotNull())
     ahead = _forecast("coef", "intercept", "state", "_step", F.lit(p), F.lit(d), F.lit(q))
-    skipped = sizes.filter(F.col("_n") < p + d + q + 5).select(*keys, F.lit(message).alias("reason"))
+    skipped = unfitted(sizes, fits, keys, message) if keys else None
     return Fitted(model, as_forecast(scored, panel, model, ahead + F.col("centre")), skipped=skipped)
 
 
@@ -87,13 +90,13 @@ def _or_zero(array: str, i: int) -> Column:
     return F.coalesce(F.get(array, F.lit(i)), F.lit(0.0))
 
 
-def _with_residuals(train: Panel, p: int, q: int, d: int, longest: int) -> DataFrame:
+def _with_residuals(train: Panel, p: int, q: int, d: int, longest: int, most: int) -> DataFrame:
     """Add ``_e``: this and q earlier residuals of an autoregression whose length grows with the series.
 
     A row's recent values reach far enough back for all of them, so no second ordering is needed.
     """
     keys = train.spec.keys
-    grown = F.least(F.lit(LONGEST_AR), F.round(10 * F.log10("_n")), F.floor(F.col("_n") / 4))
+    grown = F.least(F.lit(most), F.round(10 * F.log10("_n")), F.floor(F.col("_n") / 4))
     length = F.greatest(F.lit(p + q + 1), grown).cast("int")
     # Lags beyond the series' own length are 0 and get no weight.
     past = F.concat(F.slice("_w", 2, length), F.array_repeat(F.lit(0.0), F.lit(longest) - length))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,13 @@ def fitted(fits: DataFrame, message: str) -> DataFrame:
     return kept
 
 
+def unfitted(series: DataFrame, fits: DataFrame, keys: tuple[str, ...], reason: str) -> DataFrame:
+    """Series without a fit, and why; null keys match each other."""
+    done = fits.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return series.join(done, match, "left_anti").select(*keys, F.lit(reason).alias("reason"))
+
+
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """Keep rows that several passes of a fit read."""

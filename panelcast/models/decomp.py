@@ -82,7 +82,8 @@ def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
         total = F.aggregate(sizes, F.lit(0.0), lambda a, b: a + b)
         shares = fits.withColumn("_share", F.transform(sizes, lambda s: F.try_divide(s, total)))
         importance = importance_rows(shares, keys, model, names, "_share")
-    return Fitted(model, as_forecast(scored, panel, model, value * F.col("_scale")), importance=importance)
+    skipped = unfitted(panel.df.select(*keys).distinct(), fits, keys, message) if keys else None
+    return Fitted(model, as_forecast(scored, panel, model, value * F.col("_scale")), importance=importance, skipped=skipped)
 
 
 def _scales(train: DataFrame, panel: Panel, names: list[str]) -> DataFrame:

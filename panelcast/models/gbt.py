@@ -19,7 +19,8 @@ SEED = 42
 
 def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     """Params: ``n_estimators`` (100), ``max_depth`` (6), ``learning_rate`` (0.1), ``feature_config`` or
-    ``lags`` ([1, 7, 14, 30]), ``target_mode`` (raw or residual), ``residual_lag`` (1).
+    ``lags`` ([1, 7, 14, 30]), ``target_mode`` (raw or residual), ``residual_lag`` (1),
+    ``max_bins`` (256): candidate split points per feature.
 
     Importances sum to 1. Attributions are those of the training rows.
     """
@@ -58,6 +59,7 @@ def boost(train: DataFrame, names: list[str], target: str, params: dict) -> GBTR
         labelCol="_label",
         maxIter=int(params.get("n_estimators", 100)),
         maxDepth=int(params.get("max_depth", 6)),
+        maxBins=int(params.get("max_bins", 256)),
         stepSize=float(params.get("learning_rate", 0.1)),
         lossType="squared",
         seed=SEED,

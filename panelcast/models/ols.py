@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import drop_incomplete, scaling, standardise, training_features
-from ..plans.gram import BUILT_IN_COLUMNS, dot, moments, solve
+from ..plans.gram import BUILT_IN_COLUMNS, dot, moments, solve, solve_scaled
 from ..plans.ordered import Panel
 from ..spec import FeatureConfig, ModelSpec
-from .base import Fitted, Ranges, as_forecast, fitted, importance_rows, kept
+from .base import Fitted, Ranges, as_forecast, fitted, importance_rows, kept, unfitted
 
 
 def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
@@ -29,16 +29,25 @@ def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     names = features.names
     train = drop_incomplete(ranges.rows(features.panel, "train"), [*names, target])
 
-    # A wide set of features is brought to one scale before its products are summed.
+    # A wide set of features is brought to one scale before its products are summed; unless standardised features
+    # are asked for, the products are then brought back, so that the fit does not depend on the width.
     scaled = standardized or len(names) + 1 > BUILT_IN_COLUMNS
     message = "Not enough data after creating features"
+    plain = solve("n", "mean", "products", F.lit(True))
     if scaled:
         with kept(train.select(*keys, *names, target)) as rows:
             constants = fitted(scaling(rows, names, keys).filter(F.col(f"_std_{names[0]}").isNotNull()), message)
-            solved = coefficients(standardise(panel, rows, constants, names, keys), keys, names, target)
-            solved = fitted(unscaled(panel.attach_to(solved, constants, keys), names), message)
+            sums = moments(standardise(panel, rows, constants, names, keys), keys, [*names, target])
+            sums = panel.attach_to(sums, constants, keys)
+            if standardized:
+                solved = unscaled(solved_from(sums, plain), names)
+            else:
+                scales = F.array(*[F.col(f"_std_{name}") for name in names], F.lit(1.0))
+                centres = F.array(*[F.col(f"_mean_{name}") for name in names], F.lit(0.0))
+                solved = solved_from(sums, solve_scaled("n", "mean", "products", scales, centres))
+            solved = fitted(solved.drop(*[c for c in solved.columns if c.startswith(("_mean_", "_std_"))]), message)
     else:
-        solved = fitted(coefficients(train, keys, names, target), message)
+        solved = fitted(solved_from(moments(train, keys, [*names, target]), plain), message)
 
     predict = drop_incomplete(ranges.rows(features.panel, "predict"), names)
     scored = panel.attach_to(predict, solved.select(*keys, "coef", "intercept"), keys).filter(F.col("coef").isNotNull())
@@ -50,14 +59,14 @@ def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
         model,
         as_forecast(scored, panel, model, prediction),
         importance=importance_rows(sizes, keys, model, names, "_size"),
+        skipped=unfitted(panel.df.select(*keys).distinct(), solved, keys, message) if keys else None,
     )
 
 
-def coefficients(train: DataFrame, keys: tuple[str, ...], names: list[str], target: str) -> DataFrame:
-    """Per fit: ``n``, ``coef`` in feature order and ``intercept``."""
-    sums = moments(train, keys, [*names, target]).filter(F.col("n") > 0)
-    fit = solve("n", "mean", "products", F.lit(True))
-    return sums.withColumn("_fit", fit).select(*keys, "n", "_fit.coef", "_fit.intercept")
+def solved_from(sums: DataFrame, fit: Column) -> DataFrame:
+    """``coef`` in feature order and ``intercept`` by ``fit``, in place of the sums of fits that have rows."""
+    solved = sums.filter(F.col("n") > 0).withColumn("_fit", fit)
+    return solved.select(*[c for c in sums.columns if c not in ("mean", "products")], "_fit.coef", "_fit.intercept")
 
 
 def unscaled(solved: DataFrame, names: list[str]) -> DataFrame:

@@ -45,11 +45,14 @@ def error_series(forecasts: DataFrame) -> DataFrame:
     return forecasts.withColumn("error", F.col("prediction") - F.col("actual"))
 
 
-def top_importance(importance: DataFrame, by: tuple[str, ...] = ("model_id",), top: int = 12) -> DataFrame:
+def top_importance(importance: DataFrame, by: tuple[str, ...] | None = None, top: int = 12) -> DataFrame:
     """The largest importances per model, their width against the model's largest, and how many are left out.
 
-    A model has as many rows as features, so a window per model stays small.
+    ``by`` tells fits apart; unless given it is the model and, for fits per series, the series' keys. A fit has as
+    many rows as features, so its window stays small.
     """
+    if by is None:
+        by = tuple(name for name in importance.columns if name not in ("feature_pos", "feature", "importance"))
     model = Window.partitionBy(*by)
     order = model.orderBy(F.desc("importance"), "feature_pos")
     listed = importance.select(

@@ -24,8 +24,8 @@ MOMENTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("mean",
 BUILT_IN_COLUMNS = 12
 # Groups of tasks whose matrices of one fit are added before the final sum.
 SALTS = 64
-# Partial matrices a task holds before it passes them on.
-HELD_PARTIALS = 2_000
+# Bytes of partial matrices a task holds before it passes them on.
+HELD_BYTES = 32 << 20
 # Eigenvalues of the scaled matrix below this share of the largest count as zero.
 RANK_TOLERANCE = 1e-12
 
@@ -80,8 +80,8 @@ def row_moments(df: DataFrame, keys: tuple[str, ...], row: Column, width: int) -
                 cells = np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part)[upper]])
                 fit, before = held.get(label, (None, 0.0))
                 held[label] = (fit or batch.select(list(keys)).slice(rows[0], 1), before + cells)
-            if len(held) > HELD_PARTIALS:
-                yield flush()
+                if len(held) * cells.nbytes > HELD_BYTES:
+                    yield flush()
         if held:
             yield flush()
 
@@ -189,6 +189,18 @@ def solve(n: pd.Series, mean: pd.Series, products: pd.Series, constant: pd.Serie
     return pd.DataFrame({"coef": list(coef), "intercept": intercept})
 
 
+@F.pandas_udf(FIT)
+def solve_scaled(n: pd.Series, mean: pd.Series, products: pd.Series, scale: pd.Series, centre: pd.Series) -> pd.DataFrame:
+    """As ``solve`` with a constant, for columns that were summed as (value - centre) / scale: coefficients are for the values."""
+    if n.empty:
+        return pd.DataFrame({"coef": [], "intercept": []})
+    size = np.stack(scale)
+    i, j = np.triu_indices(size.shape[1])
+    raw = np.stack(products) * size[:, i] * size[:, j]
+    coef, intercept = regressions(n.to_numpy(), np.stack(mean) * size + np.stack(centre), raw, True)
+    return pd.DataFrame({"coef": list(coef), "intercept": intercept})
+
+
 def dot(row: Column, coef: Column) -> Column:
     """Sum of products of two arrays."""
     return F.aggregate(F.zip_with(row, coef, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)

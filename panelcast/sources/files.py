@@ -11,20 +11,29 @@ from pyspark.sql import types as T
 from ..functions.dates import iso_text
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+#: Quotes within quoted fields are doubled, as RFC 4180 has it.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header row; blank lines are skipped. Without a schema one more pass finds the types.
 
     Found dates and timestamps stay text: their order of day and month is settled over all rows when
-    cleaning, and they never pass through the session's time zone.
+    cleaning, and they never pass through the session's time zone. A row with too few or too many fields,
+    or with a value that is not of its column's type, is an error. ``multi_line`` allows line breaks in
+    quoted fields; a file is then read by one task.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**CSV, mode="FAILFAST", multiLine=multi_line)
     if schema is None:
         found = reader.option("inferSchema", True).csv(path).schema
         texts = (T.DateType, T.TimestampType, T.TimestampNTZType)
         schema = T.StructType(
             [T.StructField(f.name, T.StringType() if isinstance(f.dataType, texts) else f.dataType) for f in found]
         )
-    return spark.read.option("header", True).schema(schema).csv(path)
+    # Rows are checked whole, also where few of their columns are wanted.
+    return reader.option("columnPruning", False).schema(schema).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -81,4 +90,4 @@ def forecast_table(forecasts: DataFrame, models: list[tuple[str, str]], date: st
 def write_forecast_csv(table: DataFrame, path: str, date: str, keys: tuple[str, ...] = ()) -> None:
     """Write a forecast table sorted by series and date, dates as ISO text, one header per file."""
     ordered = table.orderBy(*keys, date).withColumn(date, iso_text(F.col(date)))
-    ordered.write.mode("errorifexists").option("header", True).csv(path)
+    ordered.write.mode("errorifexists").options(**CSV).csv(path)

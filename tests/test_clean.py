@@ -134,6 +134,17 @@ def test_csv(spark, tmp_path):
     assert dict(typed.dtypes)["value"] == "decimal(10,2)"
 
 
+def test_quoted_csv(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('date,note,v\n2024-01-01,"a ""x"", b",1\n2024-01-02,"c, d",2\n')
+    assert [tuple(r) for r in read_csv(spark, str(path)).orderBy("v").collect()] == [("2024-01-01", 'a "x", b', 1), ("2024-01-02", "c, d", 2)]
+    path.write_text('date,note,v\n2024-01-01,"two\nlines",1\n')
+    assert read_csv(spark, str(path), multi_line=True).first()["note"] == "two\nlines"
+    path.write_text("date,note,v\n2024-01-01,a,1\n2024-01-02,b\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_csv(spark, str(path), "date string, note string, v int").select("date").collect()
+
+
 def test_records(spark, tmp_path):
     df = from_records(spark, [{"date": "2023-01-01", "value": 1}, {"date": "2023-01-02", "other": 2.5}])
     assert df.columns == ["date", "value", "other"] and df.count() == 2

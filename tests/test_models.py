@@ -232,6 +232,15 @@ def test_short_series_are_listed(spark, series):
     fit = arima.fit_arima(panel, RANGES, ModelSpec("m", "ARIMA", "M"))
     assert [(r["key"], r["reason"]) for r in fit.skipped.collect()] == [("tiny", "Not enough training data for ARIMA(1,1,1)")]
     assert fit.forecast.filter("key = 'tiny'").count() == 0
+    # Long enough by the count of rows, but none of them has all the lags of both regressions.
+    short = {**series, "tiny": np.arange(20.0)}
+    panel = Panel.of(spark.createDataFrame(data.panel_rows(short), data.SCHEMA), SPEC)
+    fit = arima.fit_arima(panel, RANGES, ModelSpec("m", "ARIMA", "M", {"p": 10, "d": 0, "q": 5}))
+    assert [r["key"] for r in fit.skipped.collect()] == ["tiny"]
+    short = {**series, "tiny": np.arange(3.0)}
+    panel = Panel.of(spark.createDataFrame(data.panel_rows(short), data.SCHEMA), SPEC)
+    fit = fit_ols(panel, RANGES, ModelSpec("m", "LINEAR_REGRESSION", "M", {"lags": [7], "fit_scope": "series"}))
+    assert [r["key"] for r in fit.skipped.collect()] == ["tiny"]
 
 
 def test_explosive_roots_are_reflected():
@@ -400,6 +409,12 @@ def test_metrics_by_hand(spark):
     assert out["flat"]["r2"] == 0 and out["none"]["mape"] == 0
 
 
+def test_top_importance_per_series(spark):
+    rows = [("m", key, i, f"f{i}", float(i)) for key in "ab" for i in range(3)]
+    frame = spark.createDataFrame(rows, "model_id string, key string, feature_pos int, feature string, importance double")
+    assert sorted((r["key"], r["rank"], r["more"]) for r in top_importance(frame, top=2).collect()) == [(k, i, 1) for k in "ab" for i in (1, 2)]
+
+
 def test_top_importance_ties_follow_feature_order(spark):
     rows = [("m", i, f"f{i}", 1.0 if i < 14 else 5.0) for i in range(15)]
     out = top_importance(spark.createDataFrame(rows, "model_id string, feature_pos int, feature string, importance double")).orderBy("rank").collect()
