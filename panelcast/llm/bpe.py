@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .encode import BOUNDARY, Memory, byte_letters, stands_alone, with_spaces
 
@@ -133,7 +134,7 @@ def _texts(column: pa.Array) -> Iterator[str]:
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Append the ids of each text as an array column; null texts count as empty. Other columns stay; one named ``into`` is replaced."""
     kept = df.drop(into)
-    schema = kept.schema.add(into, "array<bigint>", False)
+    schema = StructType([*kept.schema.fields, StructField(into, ArrayType(LongType()), False)])
 
     def run(batches):
         tool = codec(path)
@@ -147,7 +148,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Append the text of each array of ids; null arrays give an empty text. Other columns stay; one named ``into`` is replaced."""
     kept = df.drop(into)
-    schema = kept.schema.add(into, "string", False)
+    schema = StructType([*kept.schema.fields, StructField(into, StringType(), False)])
 
     def run(batches):
         tool = codec(path)

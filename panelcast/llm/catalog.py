@@ -7,7 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
 from . import bpe, idfiles, jaccard, lines, packing, passages, pii, quality, toxicity, vectors
