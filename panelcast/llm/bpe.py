@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .encode import BOUNDARY, Memory, byte_letters, stands_alone, with_spaces
+from .encode import Memory, byte_letters, safe_words, spaced_words, stands_alone
 
 #: Fixed value: the words that byte-level tokenizers take apart.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -93,9 +93,9 @@ class Codec:
 
     def _words(self, text: str) -> bytes:
         try:
-            return b"".join(map(self.memory.__getitem__, with_spaces(text.split(" "))))
+            return b"".join(map(self.memory.__getitem__, spaced_words(text)))
         except TypeError:  # white space beside a space: fewer places to cut
-            found = ((word, self.memory[word]) for word in with_spaces(BOUNDARY.split(text)))
+            found = ((word, self.memory[word]) for word in safe_words(text))
             return b"".join(self._plain(word) if ids is None else ids for word, ids in found)
 
     def encode(self, text: str) -> np.ndarray:

@@ -112,9 +112,9 @@ class Encoder:
             return b"".join(map(self.memory.__getitem__, text.split(" ")))
         if self.kind == "spaced":
             try:
-                return b"".join(map(self.memory.__getitem__, with_spaces(text.split(" "))))
+                return b"".join(map(self.memory.__getitem__, spaced_words(text)))
             except TypeError:  # white space beside a space: fewer places to cut
-                found = ((word, self.memory[word]) for word in with_spaces(BOUNDARY.split(text)))
+                found = ((word, self.memory[word]) for word in safe_words(text))
                 return b"".join(self.whole(word) if ids is None else ids for word, ids in found)
         return self.whole(text)
 
@@ -124,7 +124,17 @@ def stands_alone(word: str) -> bool:
     return not (word[-1:].isspace() or word[1:2].isspace() and word[:1] == " " or word[:1] != " " and word[:1].isspace())
 
 
-def with_spaces(parts: list[str]) -> list[str]:
+def spaced_words(text: str) -> list[str]:
+    """The text cut before every space; its words, joined, are the text."""
+    if "\0" in text:
+        parts = text.split(" ")
+        return parts[:1] + [" " + part for part in parts[1:]]
+    return text.replace(" ", "\0 ").split("\0")  # faster than putting the spaces back one by one
+
+
+def safe_words(text: str) -> list[str]:
+    """The text cut only before spaces that touch no other white space."""
+    parts = BOUNDARY.split(text)
     return parts[:1] + [" " + part for part in parts[1:]]
 
 
