@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.models.arima import fit_arima
-from panelcast.models.base import FixedRanges
+from panelcast.models.base import FixedRanges, Fitted
 from panelcast.models.decomp import fit_decomp
 from panelcast.models.gbt import fit_gbt
 from panelcast.models.lag import fit_lag
@@ -180,6 +180,37 @@ def attribution_rows(spark: SparkSession, sf: str) -> DataFrame:
     return fit_gbt(daily_panel(spark, sf), RANGES, GBT).attribution["rows"]
 
 
+_BUSY = f"""t AS (SELECT *, CASE WHEN n_orders > 1 THEN 1 ELSE 0 END AS busy FROM daily), train AS (SELECT * FROM t WHERE {TRAIN_SQL}),
+  fit AS (SELECT busy, AVG(y) AS prediction FROM train GROUP BY 1)"""
+
+
+def _stump(spark: SparkSession, sf: str) -> Fitted:
+    """One tree of one split, on whether a day has more than one order: the means of two groups."""
+    panel = daily_panel(spark, sf)
+    busy = panel.df.withColumn("busy", (F.col("n_orders") > 1).cast("int"))
+    features = FeatureConfig(target_lags=[], exogenous=[Exogenous("busy", use_actual=True)])
+    params = {"n_estimators": 1, "max_depth": 1, "feature_config": features}
+    return fit_gbt(panel.on(busy), RANGES, ModelSpec("stump", "XGBOOST", "Stump", params))
+
+
+@query(f"""WITH {DAILY}, {_BUSY} SELECT o_orderpriority, ds, ROUND(prediction, 4) AS prediction, y AS actual FROM t JOIN fit USING (busy) WHERE {PREDICT_SQL}""")
+def gbt_stump(spark: SparkSession, sf: str) -> DataFrame:
+    forecast = _stump(spark, sf).forecast
+    return round_all(forecast.select("o_orderpriority", "ds", "prediction", "actual"), ["prediction"], 4)
+
+
+@query("SELECT 'stump' AS model_id, 0 AS feature_pos, 'busy_actual' AS feature, CAST(1 AS DOUBLE) AS importance")
+def gbt_stump_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return _stump(spark, sf).importance
+
+
+@query(f"""WITH {DAILY}, {_BUSY}, base AS (SELECT AVG(y) AS base FROM train)
+  SELECT o_orderpriority, ds, ROUND(prediction - base, 4) AS busy_actual, ROUND(base, 4) AS base FROM train JOIN fit USING (busy), base""")
+def gbt_stump_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """The only feature accounts for all that sets a row apart from the mean."""
+    return round_all(_stump(spark, sf).attribution["rows"], ["busy_actual", "base"], 4)
+
+
 # --- many models --------------------------------------------------------------------------------
 
 
