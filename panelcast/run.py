@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ TRAINERS = {
     "ARIMA": fit_arima,
     "PROPHET": fit_decomp,
 }
+#: What the data or the parameters of one model can cause. Anything else, such as a lost cluster, stops the run.
+FAILURES = (ValueError, TypeError, ArithmeticError, AnalysisException, IllegalArgumentException)
 RESULT_SCHEMA = (
     "model_id string, model_name string, status string, message string, scope string, "
     "rmse double, mae double, mape double, r2 double, n long, seconds double"
@@ -100,7 +103,7 @@ def run_models(panel: Panel, models: list[ModelSpec], ranges: Ranges) -> Run:
                     values = [m[name] for name in METRICS]
                     rows.append((model.id, model.name, "ok", None, scope, *values, m["n"], seconds))
                 forecasts[model.id], fitted[model.id] = scored[0][1], fit
-            except Exception as error:  # one model's failure must not stop the others
+            except FAILURES as error:  # one model's failure must not stop the others
                 rows.append((model.id, model.name, "error", str(error), None))
     finally:
         shared.unpersist()

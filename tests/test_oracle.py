@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entries
+import catalog
 
 WITHOUT_SQL = {
     "arima_model", "attribution_rows", "decomp_importance", "decomp_model", "gbt_importance", "gbt_model",
@@ -17,24 +18,24 @@ def tables(sf):
     return oracle.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracles()))
 def test_equals_sql(spark, sf, tables, name):
-    got = entries.queries()[name](spark, sf).toPandas()
-    want = tables.execute(entries.oracle_sql()[name]).fetchdf()
+    got = catalog.queries()[name](spark, sf).toPandas()
+    want = tables.execute(catalog.oracles()[name]).fetchdf()
     assert len(want) > 0
     assert oracle.difference(got, want) is None
 
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_runs_without_sql(spark, sf, name):
-    got = entries.queries()[name](spark, sf).toPandas()
+    got = catalog.queries()[name](spark, sf).toPandas()
     assert len(got) > 0
     numbers = got.select_dtypes("number")
     assert numbers.notna().all().all()
 
 
 def test_every_other_query_has_sql():
-    assert set(entries.queries()) - set(entries.oracle_sql()) == WITHOUT_SQL
+    assert set(catalog.queries()) - set(catalog.oracles()) == WITHOUT_SQL
 
 
 def test_entry(spark):
