@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_path
-from . import bpe, idfiles, jaccard, lines, packing, passages, pii, quality, toxicity, vectors
+from . import bpe, idfiles, jaccard, lines, packing, passages, periods, pii, quality, toxicity, urls, vectors, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,9 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: The key of the pseudonyms in these queries. In use it is a secret of whoever runs them.
 PII_KEY = "example key"
 
+#: The rules of the URL query.
+URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,6 +84,29 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of them made periodic first, and digests of the runs and of the words that stay."""
+    made = periods.with_period(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    done = periods.collapse(made, into="found", digest=True).select("doc_id", "found.*")
+    done = done.withColumn("best", periods.highest("runs")).withColumn("n_runs", F.size("runs").cast("bigint"))
+    return done.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periods.listed("runs").cast("binary"), 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on their sixteen leading components, at unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs judged by the rules, and by trees that learnt from the URLs which the rules decide."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -93,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_passages": op9_passages,
         "op10_line_spread": op10_line_spread,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_whitening": op12_whitening,
+        "op13_url_filter": op13_url_filter,
     }
 
 
