@@ -111,7 +111,10 @@ class Codec:
         """Text of ids; bytes that are not UTF-8 become U+FFFD. Ids outside the vocabulary add nothing."""
         if not len(ids):
             return ""
-        return b"".join(map(self._table().__getitem__, ids.tolist())).decode("utf-8", "replace")
+        table = self._table()
+        if ids.min() < 0 or ids.max() >= len(table):
+            ids = ids[(ids >= 0) & (ids < len(table))]
+        return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
     def _table(self) -> list[bytes]:
         if not hasattr(self, "_strings"):
@@ -146,7 +149,8 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Append the text of each array of ids; null arrays give an empty text. Other columns stay; one named ``into`` is replaced."""
+    """Append the text of each array of ids; null arrays give an empty text, ids that are null, negative or outside the vocabulary
+    add nothing. Other columns stay; one named ``into`` is replaced."""
     kept = df.drop(into)
     schema = StructType([*kept.schema.fields, StructField(into, StringType(), False)])
 
@@ -154,7 +158,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
         tool = codec(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            texts = [tool.decode(np.asarray(value.values if value.is_valid else [], np.int64)) for value in column]
+            texts = [tool.decode(np.asarray(value.values.drop_null() if value.is_valid else [], np.int64)) for value in column]
             yield _appended(batch, into, pa.array(texts, pa.string()))
 
     return kept.mapInArrow(run, schema)

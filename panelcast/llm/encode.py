@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -36,8 +37,8 @@ def byte_letters() -> list[str]:
 class Memory(dict):
     """Word -> ids as little-endian unsigned 32-bit numbers, or None where a word can't stand alone.
 
-    A line break between words and a mark after a letter are always tokens of their own, so words are looked up
-    without them.
+    A line break between words, and a mark after what is a letter once normalised, are always tokens of their own, so words
+    are looked up without them. Only letters that every version of Unicode has always counted as such are taken for one.
     """
 
     MARKS = frozenset(",.;:!?")
@@ -65,7 +66,10 @@ class Memory(dict):
 
     def parts(self, word: str) -> bytes | None:
         if word[-1:] in self.MARKS and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
-            return self[word[:-1]] + self[word[-1]]
+            # The lower case of a capital I with a dot ends in a combining dot, which goes with the mark.
+            end = unicodedata.normalize("NFC", word[:-1]).lower()[-1]
+            if end < "\u0530" and end.isalpha():
+                return self[word[:-1]] + self[word[-1]]
         if not self.stands_alone(word):
             return None
         before, line, after = word.partition("\n")

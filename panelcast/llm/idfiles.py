@@ -8,8 +8,9 @@ another in ascending key order. ``*.idx`` maps each distinct key to its place:
 * per slot an unsigned 32-bit fingerprint of the key, and unsigned 64-bit first document and id offset in the shard;
 * per document, in order: signed 64-bit key, one byte that is 1 for a null key, and 64-bit end offset (ids).
 
-A key is hashed, its bucket's displacement gives its slot, and the fingerprint there must agree: constant time, and no
-keys are compared. ``manifest`` beside the shards is a Parquet table with one row per shard, written by Spark, so only
+A key is hashed, its bucket's displacement gives its slot, and the fingerprint there must agree, which turns away nearly all
+keys that are not there; the key stored with the document has the last word. All of these are read where they stand, so a
+lookup takes a few small reads however large the index. ``manifest`` beside the shards is a Parquet table with one row per shard, written by Spark, so only
 shards of tasks that succeeded count, however often an executor is lost.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -41,11 +43,30 @@ TRIES = 64
 MANIFEST = "shard bigint, file string, width bigint, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint"
 
 
+#: Bytes of a shard's source, as the table stores them, from which on there are more shards than shuffle partitions.
+SHARD_BYTES = 64 << 20
+#: Bytes of ids read at once when whole shards are read.
+READ_BYTES = 8 << 20
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path within it; a path without scheme is local."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
     return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without goes to the session's default file system, on the driver and the executors alike."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """What the optimizer takes the rows' size to be, from the files that hold them; nothing is read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def key_hashes(keys: list[int], salt: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b"%d" % key, salt) for key in keys), np.uint64, len(keys))
 
@@ -165,7 +186,11 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", tex
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     ordering = [F.col("key").asc_nulls_first(), F.col("tie")]
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    rows = rows.repartitionByRange(*ordering).sortWithinPartitions(*ordering).select("key", "text")
+    spark = df.sparkSession
+    path = qualified(spark, path)
+    shards = -(-stored_bytes(rows.select("key", "text")) // SHARD_BYTES)
+    more = [shards] if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    rows = rows.repartitionByRange(*more, *ordering).sortWithinPartitions(*ordering).select("key", "text")
 
     def run(batches):
         tool = encoder(tokenizer)
@@ -217,6 +242,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool
 
     Every key is looked up in its shard's index, and its ids are read where the index says they begin.
     """
+    path = qualified(spark, path)
     shards = manifest(spark, path)
     count = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").count()
     shards = shards.select("shard", "file", "base").repartitionByRange(max(1, count), "shard")
@@ -236,14 +262,17 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool
         lengths = np.diff(index.ends, prepend=np.uint64(0)).astype(np.int64).tolist()
         rows, held = [], 0
         offset, current = 0, None
+        buffer, begin = b"", 0
         for place, (name, missing, length) in enumerate(zip(index.keys.tolist(), index.missing.tolist(), lengths, strict=True)):
             if not missing and (place == 0 or name != current):
                 found = index.find(name)
                 if found is None or found[0] != place:
                     raise ValueError(f"Index and shard disagree about key {name}")
                 offset, current = found[1], name
-            data = payload.read_at(length * index.width, offset * index.width)
-            ids = np.frombuffer(data, f"<u{index.width}")
+            at, size = offset * index.width, length * index.width
+            if not begin <= at <= at + size <= begin + len(buffer):
+                begin, buffer = at, payload.read_at(max(size, READ_BYTES), at)
+            ids = np.frombuffer(buffer, f"<u{index.width}", length, at - begin)
             crc = zlib.crc32(ids.astype("<u4").tobytes())
             rows.append((None if missing else name, base + offset, length, crc, ids.astype(np.int64) if with_ids else None))
             offset += length
@@ -264,7 +293,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool
 
 
 class IdFiles:
-    """Access by key from one process, without Spark: a binary search among shards, then constant time."""
+    """Access by key from one process, without Spark: a binary search among shards, then a few small reads."""
 
     def __init__(self, path: str):
         import pyarrow.parquet as pq
@@ -272,31 +301,50 @@ class IdFiles:
         self.system, self.folder = opened(path)
         table = pq.read_table(f"{self.folder}/manifest", filesystem=self.system).sort_by("shard")
         self.shards = [row for row in table.to_pylist() if row["first_key"] is not None]
-        self.index = lru_cache(maxsize=8)(self._index)
+        self.last_keys = [row["last_key"] for row in self.shards]
+        self.header = lru_cache(maxsize=4096)(self._header)
 
-    def _index(self, file: str) -> Index:
-        with self.system.open_input_stream(f"{self.folder}/{file}.idx") as stream:
-            return Index.read(stream.read())
+    def _header(self, file: str) -> tuple[int, ...]:
+        with self.system.open_input_file(f"{self.folder}/{file}.idx") as stream:
+            data = stream.read_at(48, 0)
+        if data[:8] != MAGIC:
+            raise ValueError("Not an index file")
+        return tuple(np.frombuffer(data, "<u8", 5, 8).tolist())
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of each document with this key, in order; empty if there is none."""
-        from bisect import bisect_left
-
         found = []
-        first = bisect_left([shard["last_key"] for shard in self.shards], key)
-        for shard in self.shards[first:]:
+        for shard in self.shards[bisect_left(self.last_keys, key) :]:
             if shard["first_key"] > key:
                 break
-            index = self.index(shard["file"])
-            place = index.find(key)
-            if place is None or index.keys[place[0]] != key:
-                continue
-            document, offset = place
-            with self.system.open_input_file(f"{self.folder}/{shard['file']}.ids") as payload:
-                while document < len(index.keys) and index.keys[document] == key and not index.missing[document]:
-                    length = int(index.ends[document]) - offset
-                    found.append(np.frombuffer(payload.read_at(length * index.width, offset * index.width), f"<u{index.width}"))
-                    offset, document = offset + length, document + 1
+            found += self._in_shard(shard["file"], key)
+        return found
+
+    def _in_shard(self, file: str, key: int) -> list[np.ndarray]:
+        width, salt, docs, distinct, buckets = self.header(file)
+        places, at = [], 48
+        for size, count in ((8, buckets), (4, distinct), (8, distinct), (8, distinct), (8, docs), (1, docs), (8, docs)):
+            places.append(at)
+            at += size * count
+        moved_at, marks_at, documents_at, offsets_at, keys_at, missing_at, ends_at = places
+        found: list[np.ndarray] = []
+        with self.system.open_input_file(f"{self.folder}/{file}.idx") as index:
+
+            def number(start: int, place: int, kind: str) -> int:
+                size = np.dtype(kind).itemsize
+                return int(np.frombuffer(index.read_at(size, start + size * place), kind)[0])
+
+            hashed = key_hashes([key], salt)
+            moved = number(moved_at, int(hashed[0] % np.uint64(buckets)), "<i8")
+            slot = -1 - moved if moved < 0 else int(slot_of(hashed, moved, distinct)[0])
+            if number(marks_at, slot, "<u4") != fingerprints(hashed)[0]:
+                return found
+            document, offset = number(documents_at, slot, "<u8"), number(offsets_at, slot, "<u8")
+            with self.system.open_input_file(f"{self.folder}/{file}.ids") as payload:
+                while document < docs and number(keys_at, document, "<i8") == key and not number(missing_at, document, "u1"):
+                    end = number(ends_at, document, "<u8")
+                    found.append(np.frombuffer(payload.read_at((end - offset) * width, offset * width), f"<u{width}"))
+                    offset, document = end, document + 1
         return found
 
     def __getitem__(self, key: int) -> np.ndarray:
