@@ -63,8 +63,9 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """What the optimizer takes the rows' size to be, from the files that hold them; nothing is read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """What the optimizer takes the rows' size to be, from the files that hold them; nothing is read. 0 if it doesn't know."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def key_hashes(keys: list[int], salt: int) -> np.ndarray:
