@@ -31,6 +31,8 @@ from .words import mix
 
 #: Words of a tile between its first and last anchor, at least; longer octaves have one anchor a tile.
 TILE = 4096
+#: Words of tiles that a task solves.
+TASK_WORDS = 200_000
 #: Bytes of text whose words are looked at together; a longer text is looked at alone.
 SLICE = 4_000_000
 
@@ -304,7 +306,10 @@ def collapse(df: DataFrame, text: str = "text", least: int = 24, into: str = "pe
     schema = f"{_TILE}, kept {given.schema['kept'].dataType.simpleString()}"
     found = written(given.mapInArrow(_look(least, finish), schema), "period-tiles")
 
-    tiles = found.where(F.col("size").isNotNull()).select("row", "size", "start", "ids", "places").repartition("row", "size", "start")
+    tiles = found.where(F.col("size").isNotNull()).select("row", "size", "start", "ids", "places")
+    words = tiles.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    # Solving costs by the word, so the number of tasks follows from the words: small rows would else be put together.
+    tiles = tiles.repartition(max(1, -(-words // TASK_WORDS)), "row", "size", "start")
     parts = tiles.mapInArrow(_solved(first_octave(least)), "row bigint, period bigint, start bigint, stop bigint")
     runs = stitched(parts, least).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     open_ = found.where(F.col("text").isNotNull())
