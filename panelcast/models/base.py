@@ -44,7 +44,7 @@ class Fitted:
     """A model's tables: forecast, scored training rows, importances and attributions where it has any.
 
     ``no_rows`` is the error of a model whose ``train_scored`` turns out empty; ``skipped`` lists series
-    that could not be fitted, with the reason.
+    that could not be fitted, with the reason; ``fits`` says per series how an iterative fit ended.
     """
 
     model: ModelSpec
@@ -54,11 +54,15 @@ class Fitted:
     importance: DataFrame | None = None
     attribution: dict[str, DataFrame] | None = None
     skipped: DataFrame | None = None
+    fits: DataFrame | None = None
 
 
-def as_forecast(df: DataFrame, panel: Panel, model: ModelSpec, prediction: Column) -> DataFrame:
-    """model_id, model_name, range_id, series keys, date, prediction, actual."""
+def as_forecast(
+    df: DataFrame, panel: Panel, model: ModelSpec, prediction: Column, bounds: tuple[Column, Column] | None = None
+) -> DataFrame:
+    """model_id, model_name, range_id, series keys, date, prediction, actual, and with ``bounds`` lower and upper."""
     spec = panel.spec
+    more = [] if bounds is None else [bound.cast("double").alias(name) for name, bound in zip(("lower", "upper"), bounds)]
     return df.select(
         F.lit(model.id).alias("model_id"),
         F.lit(model.name).alias("model_name"),
@@ -67,6 +71,7 @@ def as_forecast(df: DataFrame, panel: Panel, model: ModelSpec, prediction: Colum
         spec.date,
         prediction.cast("double").alias("prediction"),
         F.col(spec.target).cast("double").alias("actual"),
+        *more,
     )
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import epoch_days
 from ..operators.features import drop_incomplete
@@ -21,6 +22,7 @@ from ..plans.lineage import cut
 from ..plans.ordered import Panel, add_lags, add_position
 from ..spec import ModelSpec, parse_lags
 from .base import Fitted, Ranges, as_forecast, fitted, importance_rows, kept, unfitted
+from .bounds import around, interval_of
 
 # Fixed values of the published model: number of trend changes and the share of rows they lie in, prior
 # scales of changes, slope and other terms, and per season its period in days and number of waves.
@@ -28,15 +30,17 @@ CHANGES, CHANGE_SHARE = 25, 0.8
 CHANGE_SCALE, SLOPE_SCALE, TERM_SCALE = 0.05, 5.0, 10.0
 SEASONS = {"yearly": (365.25, 10), "weekly": (7.0, 3), "daily": (1.0, 4)}
 
-ROUNDS = 2
-SOLVER_STEPS = 100
+ROUNDS, TOLERANCE = 20, 1e-4
+SOLVER_STEPS = 1000
 SOLVER_TOLERANCE = 1e-6
 
 
 def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     """Params: ``yearly_seasonality`` (True), ``weekly_seasonality`` (True), ``daily_seasonality`` (False),
     ``seasonality_mode`` (additive or multiplicative), ``use_lag_regressors`` (True), ``lag_regressors``
-    ([1, 7]).
+    ([1, 7]), ``interval`` (none): bounds from the noise alone, ``rounds`` (20) and ``tolerance`` (1e-4 of the largest target) of the
+    alternation of a multiplicative model. A series whose trend and terms no longer move leaves the alternation; ``Fitted.fits`` says which
+    series ``converged``, and after how many ``rounds``.
 
     Importance is the size of the standardised lag coefficients as shares of their sum.
     """
@@ -63,12 +67,10 @@ def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
         y = F.col(spec.target) / F.col("_scale")
         if mode == "additive":
             fits = _solve(rows, keys, F.concat(_trend(spec.date), terms, F.array(y)), width)
+            fits = fits.withColumns({"rounds": F.lit(1), "converged": F.col("solved")})
         else:
-            fits = cut(_solve(rows, keys, F.concat(_trend(spec.date), F.array(y)), CHANGES + 2))
-            for _ in range(ROUNDS):
-                by_trend = panel.attach_to(rows, fits).withColumn("_g", _trend_value(spec.date))
-                scaled = F.transform(terms, lambda x: x * F.col("_g"))
-                fits = cut(_solve(by_trend, keys, F.concat(_trend(spec.date), scaled, F.array(y)), width))
+            rounds, tolerance = int(params.get("rounds", ROUNDS)), float(params.get("tolerance", TOLERANCE))
+            fits = _alternated(panel, rows, terms, y, width, rounds, tolerance)
         fits = fitted(panel.attach_to(fits, scales), message)
 
     predict = drop_incomplete(ranges.rows(lagged, "predict"), names)
@@ -83,7 +85,33 @@ def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
         shares = fits.withColumn("_share", F.transform(sizes, lambda s: F.try_divide(s, total)))
         importance = importance_rows(shares, keys, model, names, "_share")
     skipped = unfitted(panel.df.select(*keys).distinct(), fits, keys, message) if keys else None
-    return Fitted(model, as_forecast(scored, panel, model, value * F.col("_scale")), importance=importance, skipped=skipped)
+    bounds = around(value * F.col("_scale"), F.sqrt("noise") * F.col("_scale"), interval_of(model))
+    forecast = as_forecast(scored, panel, model, value * F.col("_scale"), bounds)
+    return Fitted(model, forecast, importance=importance, skipped=skipped, fits=fits.select(*keys, "rounds", "converged"))
+
+
+def _alternated(panel: Panel, rows: DataFrame, terms: Column, y: Column, width: int, rounds: int, tolerance: float) -> DataFrame:
+    """Fits of a multiplicative model: the terms times the last round's trend are fitted beside a new trend, until nothing moves.
+
+    Series that have settled keep their coefficients and take no part in later rounds.
+    """
+    keys, date = panel.spec.keys, panel.spec.date
+    first = _solve(rows, keys, F.concat(_trend(date), F.array(y)), CHANGES + 2)
+    padded = F.concat("coef", F.array_repeat(F.lit(0.0), width - CHANGES - 2))
+    state = cut(first.withColumns({"coef": padded, "rounds": F.lit(0), "converged": F.lit(False)}))
+    for number in range(1, rounds + 1):
+        going = state.filter(~F.col("converged"))
+        if going.isEmpty():
+            break
+        by_trend = panel.attach_to(rows, going).filter(F.col("coef").isNotNull()).withColumn("_g", _trend_value(date))
+        scaled = F.transform(terms, lambda x: x * F.col("_g"))
+        fresh = _solve(by_trend, keys, F.concat(_trend(date), scaled, F.array(y)), width)
+        last = going.select(*keys, F.col("coef").alias("_last"), F.col("intercept").alias("_at"))
+        moved = F.array_max(F.zip_with("coef", "_last", lambda a, b: F.abs(a - b)))
+        settled = (F.greatest(moved, F.abs(F.col("intercept") - F.col("_at"))) <= tolerance) & F.col("solved")
+        fresh = panel.attach_to(fresh, last).withColumns({"rounds": F.lit(number), "converged": settled}).drop("_last", "_at")
+        state = cut(state.filter("converged").unionByName(fresh))
+    return state
 
 
 def _scales(train: DataFrame, panel: Panel, names: list[str]) -> DataFrame:
@@ -152,11 +180,20 @@ def _solve(rows: DataFrame, keys: tuple[str, ...], row: Column, width: int) -> D
     return sums.withColumn("_fit", _mode("n", "mean", "products")).select(*keys, "_fit.*")
 
 
+MODE = T.StructType([*FIT.fields, T.StructField("noise", T.DoubleType()), T.StructField("solved", T.BooleanType())])
+
+
 def posterior_mode(n: int, mean: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of ``solved_mode``."""
+    return solved_mode(n, mean, products)[:2]
+
+
+def solved_mode(n: int, mean: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, float, float, bool]:
     """Mode under normal priors, and double-exponential ones on trend changes, with free intercept.
 
     The double-exponential prior is met by a normal one whose scale follows the last estimate; the noise
-    follows from the residual sum of squares.
+    follows from the residual sum of squares. Coefficients, intercept, the noise's variance, and whether the steps came to rest
+    within ``SOLVER_STEPS``.
     """
     g = symmetric(products, len(mean))
     gram, cross, total = g[:-1, :-1], g[:-1, -1], g[-1, -1]
@@ -165,19 +202,20 @@ def posterior_mode(n: int, mean: np.ndarray, products: np.ndarray) -> tuple[np.n
     changes = slice(1, 1 + CHANGES)
     penalty, noise = 1 / scale**2, max(total / n, 1e-12)
     penalty[changes] = 1 / CHANGE_SCALE**2
-    coef = np.zeros(len(gram))
+    coef, solved = np.zeros(len(gram)), False
     for _ in range(SOLVER_STEPS):
         before = coef
         coef = np.linalg.solve(gram + noise * np.diag(penalty) + 1e-12 * np.eye(len(gram)), cross)
         left = total - 2 * coef @ cross + coef @ gram @ coef
         noise = max(left / n, 1e-12)
         penalty[changes] = 1 / (CHANGE_SCALE * np.maximum(np.abs(coef[changes]), 1e-8))
-        if np.abs(coef - before).max() < SOLVER_TOLERANCE:
+        solved = bool(np.abs(coef - before).max() < SOLVER_TOLERANCE)
+        if solved:
             break
-    return coef, float(mean[-1] - coef @ mean[:-1])
+    return coef, float(mean[-1] - coef @ mean[:-1]), float(noise), solved
 
 
-@F.pandas_udf(FIT)
+@F.pandas_udf(MODE)
 def _mode(n: pd.Series, mean: pd.Series, products: pd.Series) -> pd.DataFrame:
     rows = zip(n, map(np.asarray, mean), map(np.asarray, products))
-    return pd.DataFrame([posterior_mode(*row) for row in rows], columns=["coef", "intercept"])
+    return pd.DataFrame([solved_mode(*row) for row in rows], columns=["coef", "intercept", "noise", "solved"])

@@ -13,6 +13,7 @@ from ..plans.lineage import shared_dir
 from ..plans.ordered import Panel
 from ..spec import FeatureConfig, ModelSpec
 from .base import Fitted, Ranges, as_forecast, kept
+from .bounds import interval_of, residual_quantiles
 
 SEED = 42
 
@@ -20,12 +21,12 @@ SEED = 42
 def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     """Params: ``n_estimators`` (100), ``max_depth`` (6), ``learning_rate`` (0.1), ``feature_config`` or
     ``lags`` ([1, 7, 14, 30]), ``target_mode`` (raw or residual), ``residual_lag`` (1),
-    ``max_bins`` (256): candidate split points per feature.
+    ``max_bins`` (256): candidate split points per feature, ``interval`` (none): bounds from quantiles of the training residuals.
 
     Importances sum to 1. Attributions are those of the training rows.
     """
     params, spec = model.params, panel.spec
-    config = FeatureConfig.from_params(params, [1, 7, 14, 30])
+    config, level = FeatureConfig.from_params(params, [1, 7, 14, 30]), interval_of(model)
     mode, residual_lag = params.get("target_mode", "raw"), int(params.get("residual_lag", 1))
     features, target = training_features(panel, config, mode, residual_lag)
     names = features.names
@@ -43,10 +44,15 @@ def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     prediction = F.col("prediction")
     if mode == "residual":
         prediction = prediction + F.col(f"target_lag_{residual_lag}")
+    bounds = None
+    if level is not None:
+        residual = F.col(target) - F.col("prediction")
+        scored = panel.attach_to(scored, residual_quantiles(booster.transform(_assemble(train, names)), residual, level), ())
+        bounds = tuple(prediction + F.get("_bounds", F.lit(side)) for side in (0, 1))
     attributions = tree_attributions(train, booster, names, (*spec.keys, spec.date))
     return Fitted(
         model,
-        as_forecast(scored, panel, model, prediction),
+        as_forecast(scored, panel, model, prediction, bounds),
         importance=_importance(booster, model, names, panel.df),
         attribution=summarise_attributions(attributions, spec.date, config, names, features.source),
     )

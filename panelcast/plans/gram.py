@@ -86,9 +86,15 @@ def row_moments(df: DataFrame, keys: tuple[str, ...], row: Column, width: int) -
             yield flush()
 
     label = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    # A fit with rows in every task has one matrix per task: they are added in two rounds, each over few.
-    salted = df.select(*keys, label.alias("_fit"), row.alias("_row")).mapInArrow(partial, schema)
-    salted = salted.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return summed_moments(df.select(*keys, label.alias("_fit"), row.alias("_row")).mapInArrow(partial, schema), keys, width)
+
+
+def summed_moments(cells: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
+    """``moments`` from parts: ``cells`` of rows, sums and products (upper triangle) around 0.
+
+    A fit with rows in every task has one matrix per task: they are added in two rounds, each over few.
+    """
+    salted = cells.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     halfway = salted.groupBy(*keys, "_salt").agg(_sum_of_arrays("cells").alias("cells"))
     summed = halfway.groupBy(*keys).agg(_sum_of_arrays("cells").alias("_s"))
     return summed.select(*keys, _centred("_s", F.lit(width)).alias("_m")).select(*keys, "_m.*")
@@ -201,6 +207,26 @@ def solve_scaled(n: pd.Series, mean: pd.Series, products: pd.Series, scale: pd.S
     return pd.DataFrame({"coef": list(coef), "intercept": intercept})
 
 
+NOISY_FIT = T.StructType([*FIT.fields, T.StructField("noise", T.DoubleType())])
+
+
+@F.pandas_udf(NOISY_FIT)
+def solve_noise(n: pd.Series, mean: pd.Series, products: pd.Series, constant: pd.Series) -> pd.DataFrame:
+    """As ``solve``, with the variance of what is left, null where nothing is left to judge it by."""
+    if n.empty:
+        return pd.DataFrame({"coef": [], "intercept": [], "noise": []})
+    constant = bool(constant.iloc[0])
+    counts, means, rows = n.to_numpy(), np.stack(mean), np.stack(products)
+    coef, intercept = regressions(counts, means, rows, constant)
+    noise = []
+    for count, m, cells, c in zip(counts, means, rows, coef):
+        g = symmetric(cells, len(m)) + (0 if constant else count * np.outer(m, m))
+        free = count - len(c) - constant
+        left = g[-1, -1] - 2 * c @ g[:-1, -1] + c @ g[:-1, :-1] @ c
+        noise.append(max(left, 0.0) / free if free > 0 else None)
+    return pd.DataFrame({"coef": list(coef), "intercept": intercept, "noise": noise})
+
+
 def dot(row: Column, coef: Column) -> Column:
     """Sum of products of two arrays."""
     return F.aggregate(F.zip_with(row, coef, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)

@@ -159,8 +159,8 @@ def test_moments_by_aggregates_and_by_batches(panel):
 # --- ARIMA --------------------------------------------------------------------------------------
 
 
-def numpy_arima(y, p, d, q, steps):
-    """Two regressions, then one step after another."""
+def numpy_arima(y, p, d, q, steps, stages=3):
+    """The regressions, then one step after another."""
     n, centre = len(y), y.mean()
     w = np.diff(y - centre, n=d)
     constant = d == 0
@@ -179,6 +179,27 @@ def numpy_arima(y, p, d, q, steps):
         start = m + q
     beta, c = regress(w[start:], [w[start - i : len(w) - i] for i in range(1, p + 1)] + [e[start - j : len(w) - j] for j in range(1, q + 1)])
     ar, ma = beta[:p], beta[p:]
+    if q and stages > 2:
+        ma = arima.invertible(ma)
+
+        def followed(values, ma):
+            out = []
+            for value in values:
+                out.append(value - sum(t * out[-j] for j, t in enumerate(ma, 1) if j <= len(out)))
+            return np.array(out)
+
+        def residuals(ar, ma, c):
+            return followed(w[p:] - c - sum((a * w[p - i : len(w) - i] for i, a in enumerate(ar, 1)), np.zeros(len(w) - p)), ma)
+
+        def late(values, k):
+            return np.concatenate([np.zeros(k), values[: len(values) - k]])
+
+        now = residuals(ar, ma, c)
+        x, v = followed(w[p:], ma), followed(now, ma)
+        delta, shift = regress(now, [late(x, i) for i in range(1, p + 1)] + [late(v, j) for j in range(1, q + 1)])
+        if np.abs(np.roots(np.concatenate([[1.0], ma + delta[p:]]))).max() < 1:
+            ar, ma, c = ar + delta[:p], ma + delta[p:], c + shift * (1 + ma.sum())
+        e = np.concatenate([np.zeros(p), residuals(ar, ma, c)])
     ws, es = list(w), list(e)
     levels = [np.diff(y - centre, n=k)[-1] for k in range(d)]
     out = []
@@ -194,13 +215,16 @@ def numpy_arima(y, p, d, q, steps):
     return np.array(out)
 
 
+@pytest.mark.parametrize("stages", [2, 3])
 @pytest.mark.parametrize("order", [(1, 1, 1), (2, 0, 2), (1, 1, 0), (0, 1, 1), (2, 2, 1), (3, 0, 0)])
-def test_arima_equals_numpy(panel, series, order):
-    model = ModelSpec("m", "ARIMA", "M", dict(zip("pdq", order)))
+def test_arima_equals_numpy(panel, series, order, stages):
+    if stages == 2 and not order[2]:
+        pytest.skip("two stages are all there is without a moving average")
+    model = ModelSpec("m", "ARIMA", "M", {**dict(zip("pdq", order)), "stages": stages})
     got = predicted(arima.fit_arima(panel, RANGES, model))
     for key, values in series.items():
         train = values[:731]
-        want = numpy_arima(train, *order, 91)
+        want = numpy_arima(train, *order, 91, stages)
         part = got[got.key == (key or "-")]
         assert np.allclose(part[part.range_id == 0].prediction, want, rtol=1e-6)
         # Every range starts again after the end of training.
@@ -213,6 +237,35 @@ def test_arima_on_long_series(panel):
     assert np.allclose(short.prediction, long.prediction, rtol=1e-9)
 
 
+@pytest.mark.parametrize("order", [(0, 1, 1), (1, 0, 2)])
+def test_one_block_and_many(panel, order):
+    model = ModelSpec("m", "ARIMA", "M", {**dict(zip("pdq", order)), "interval": 0.8})
+    one, many = (predicted(arima.fit_arima(replace(panel, task_rows=k), RANGES, model)) for k in (10_000, 97))
+    assert np.allclose(one[["prediction", "lower", "upper"]], many[["prediction", "lower", "upper"]], rtol=1e-9)
+
+
+def test_refinement_comes_closer():
+    """Estimates of many short series lie nearer to the truth after the third regression."""
+    rng, apart = np.random.default_rng(11), {2: [], 3: []}
+    for _ in range(60):
+        e = rng.normal(size=251)
+        w = e[1:] + 0.75 * e[:-1]
+        for stages in apart:
+            # One step ahead of a moving average is theta times the last residual.
+            apart[stages].append(numpy_arima(w, 0, 0, 1, 1, stages)[0] - w.mean() - 0.75 * e[-1])
+    assert np.std(apart[3]) < np.std(apart[2])
+
+
+def test_variances_equal_steps():
+    step = arima.transition(np.array([0.5, -0.3, 0.4]), 0.2, 2, 1, 1)
+    impulse = np.array([1.0, 0.0, 1.0, 1.0, 0.0])
+    total, now = np.zeros((5, 5)), impulse
+    for h in range(1, 40):
+        total = total + np.outer(now, now)
+        now = step @ now
+        assert np.allclose(arima.variances(step, impulse, np.array([3, h]))[1], total)
+
+
 def test_arima_recovers_its_coefficients(spark):
     rng = np.random.default_rng(5)
     e, y = rng.normal(size=4000), np.zeros(4000)
@@ -400,6 +453,68 @@ def test_dense_calendars(spark):
 # --- comparison ---------------------------------------------------------------------------------
 
 
+def test_bounds_hold_their_share(spark):
+    """Of many series with known noise, about the stated share of later values lies within the bounds, whatever the model."""
+    rng, keyed = np.random.default_rng(17), {}
+    for number in range(60):
+        values = np.zeros(420)
+        for t in range(1, 420):
+            values[t] = 0.6 * values[t - 1] + rng.normal()
+        keyed[f"s{number}"] = values + 50
+    panel = Panel.of(spark.createDataFrame(data.panel_rows(keyed), data.SCHEMA).persist(), SPEC)
+    ranges = FixedRanges([DateRange("2020-01-01", "2020-12-31")], [DateRange("2021-01-01", "2021-02-10")])
+    scopes = {"fit_scope": "series"}
+    shares = {}
+    for model, fit, params in (
+        ("ols", fit_ols, {"lags": [1], **scopes}),
+        ("wide", fit_ols, {"lags": list(range(1, 15)), **scopes}),
+        ("standard", fit_ols, {"lags": [1, 7], "standardize": True, **scopes}),
+        ("arima", arima.fit_arima, {"p": 1, "d": 0, "q": 0}),
+        ("arma", arima.fit_arima, {"p": 1, "d": 0, "q": 1}),
+        ("lag", fit_lag, {}),
+        ("gbt", fit_gbt, {"n_estimators": 3, "max_depth": 2, "lags": [1]}),
+    ):
+        forecast = fit(panel, ranges, ModelSpec(model, model, model, {**params, "interval": 0.9})).forecast
+        inside = F.avg(F.col("actual").between(F.col("lower"), F.col("upper")).cast("double"))
+        shares[model] = forecast.agg(inside).first()[0]
+        assert forecast.filter("not (lower < prediction and prediction < upper)").isEmpty()
+    assert all(abs(share - 0.9) < 0.03 for share in shares.values()), shares
+
+
+def test_bounds_of_decomposition(panel):
+    model = ModelSpec("m", "PROPHET", "M", {"interval": 0.9, "yearly_seasonality": False})
+    forecast = decomp.fit_decomp(panel, RANGES, model).forecast
+    assert forecast.filter("not (lower < prediction and prediction < upper)").isEmpty()
+
+
+def test_interval_out_of_range(panel):
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        fit_lag(panel, RANGES, ModelSpec("m", "LAG", "M", {"interval": 95}))
+
+
+def test_regression_variance_equals_numpy(panel, series):
+    model = ModelSpec("m", "LINEAR_REGRESSION", "M", {"lags": [1, 7], "fit_scope": "series", "interval": 0.95})
+    got = predicted(fit_ols(panel, RANGES, model))
+    for key, values in series.items():
+        x = np.column_stack([np.ones(724), values[6:730], values[:724]])
+        beta, left = np.linalg.lstsq(x, values[7:731], rcond=None)[:2]
+        cov = np.linalg.inv(x.T @ x) * left[0] / (724 - 3)
+        part = got[(got.key == (key or "-")) & (got.range_id == 0)]
+        rows = np.column_stack([np.ones(91), values[729:820], values[723:814]])
+        sd = np.sqrt(left[0] / 721 + np.einsum("ij,jk,ik->i", rows, cov, rows))
+        assert np.allclose(part.upper - part.prediction, 1.959963985 * sd, rtol=1e-6)
+
+
+def test_alternation_leaves_settled_series(spark, panel):
+    """A series that follows its model settles; the limit of rounds is reported for those that don't."""
+    params = {"seasonality_mode": "multiplicative", "yearly_seasonality": False, "use_lag_regressors": False, "tolerance": 0.01, "rounds": 8}
+    ended = decomp.fit_decomp(panel, RANGES, ModelSpec("m", "PROPHET", "M", params)).fits.collect()
+    # The series around 5 changes its sign, so that no trend can be multiplied: it does not settle.
+    assert {row["key"]: (row["converged"], row["rounds"] < 8) for row in ended} == {"a": (True, True), "b": (True, True), None: (False, False)}
+    ended = decomp.fit_decomp(panel, RANGES, ModelSpec("m", "PROPHET", "M", {**params, "rounds": 1, "tolerance": 0.0})).fits.collect()
+    assert not any(row["converged"] for row in ended) and {row["rounds"] for row in ended} == {1}
+
+
 def test_metrics_by_hand(spark):
     rows = [("a", 0.0, 1.0), ("a", 2.0, 1.0), ("a", 4.0, 6.0), ("flat", 3.0, 4.0), ("flat", 3.0, 2.0), ("none", 0.0, 1.0)]
     out = {r["g"]: r for r in metrics(spark.createDataFrame(rows, "g string, actual double, prediction double"), ("g",)).collect()}
