@@ -153,8 +153,6 @@ GBT = ModelSpec(
     "XGBOOST",
     "Boosted trees",
     {
-        "n_estimators": 5,
-        "max_depth": 4,
         "feature_config": FeatureConfig(
             target_lags=[1, 7],
             temporal=Temporal(month=True, day_of_week=True),
@@ -180,6 +178,20 @@ def attribution_rows(spark: SparkSession, sf: str) -> DataFrame:
     return fit_gbt(daily_panel(spark, sf), RANGES, GBT).attribution["rows"]
 
 
+@query(f"""WITH {DAILY}, t AS (SELECT o_orderpriority, ds, y, LAG(y, 7) OVER {DAILY_W} AS l7, LAG(n_orders, 1) OVER {DAILY_W} AS n1 FROM daily)
+  SELECT o_orderpriority, COUNT(*) AS n, CAST(0 AS BIGINT) AS n_apart FROM t WHERE {TRAIN_SQL} AND l7 IS NOT NULL AND n1 IS NOT NULL GROUP BY 1""")
+def attribution_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows per series, and how many of them have a base and attributions that don't add up to the prediction of 100 trees of depth 6."""
+    fit = fit_gbt(daily_panel(spark, sf), FixedRanges([TRAIN], [TRAIN]), GBT)
+    rows, features = fit.attribution["rows"], [row["feature"] for row in fit.importance.collect()]
+    total = F.col("base")
+    for name in features:
+        total = total + F.col(name)
+    both = rows.select("o_orderpriority", "ds", total.alias("total")).join(fit.forecast, ["o_orderpriority", "ds"])
+    apart = F.abs(F.col("total") - F.col("prediction")) > 1e-6 * F.greatest(F.abs("prediction"), F.lit(1.0))
+    return both.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(apart).alias("n_apart"))
+
+
 _BUSY = f"""t AS (SELECT *, CASE WHEN n_orders > 1 THEN 1 ELSE 0 END AS busy FROM daily), train AS (SELECT * FROM t WHERE {TRAIN_SQL}),
   fit AS (SELECT busy, AVG(y) AS prediction FROM train GROUP BY 1)"""
 

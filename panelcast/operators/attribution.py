@@ -107,6 +107,87 @@ def leaf_attributions(leaf: Leaf, x: np.ndarray) -> np.ndarray:
     return out[which.reshape(-1)]
 
 
+#: Features on a leaf's path up to which its contributions are tabulated, and bytes that all tables of an ensemble may take.
+TABLE_BITS, TABLE_BYTES = 8, 128 << 20
+#: Rows that go through all leaves together.
+TOGETHER = 4096
+
+
+def contributions(values: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves with equally many features on their paths: (leaves, 2^features, features).
+
+    The second axis is a code with one bit per feature, set where a row passes the leaf's interval. All leaves and codes take
+    the steps of ``leaf_attributions`` together.
+    """
+    count, depth = share.shape
+    inside = ((np.arange(1 << depth)[:, None] >> np.arange(depth)) & 1).astype(float)
+    weights = np.array([factorial(s) * factorial(depth - 1 - s) / factorial(depth) for s in range(depth)])
+    out = np.empty((count, 1 << depth, depth))
+    for i in range(depth):
+        sums = np.zeros((count, 1 << depth, depth))
+        sums[:, :, 0] = 1.0
+        for j in range(depth):
+            if j != i:
+                taken = sums[:, :, :-1] * inside[None, :, j, None]
+                sums *= share[:, None, j, None]
+                sums[:, :, 1:] += taken
+        out[:, :, i] = values[:, None] * (inside[None, :, i] - share[:, i, None]) * (sums @ weights)
+    return out
+
+
+class Tables:
+    """Leaves as look-ups: a row's value of each feature becomes a bin, bins give each leaf's code, the code its contributions."""
+
+    def __init__(self, leaves: list[Leaf], width: int):
+        self.cuts = [np.empty(0)] * width
+        bounds: dict[int, set[float]] = {}
+        for leaf in leaves:
+            for feature, low, high in zip(leaf.features.tolist(), leaf.low.tolist(), leaf.high.tolist()):
+                bounds.setdefault(feature, set()).update((low, high))
+        for feature, found in bounds.items():
+            self.cuts[feature] = np.array(sorted(x for x in found if np.isfinite(x)))
+        self.leaves, self.others, held = [], [], 0
+        by_depth: dict[int, list[Leaf]] = {}
+        for leaf in leaves:
+            by_depth.setdefault(len(leaf.features), []).append(leaf)
+        for depth in sorted(by_depth):
+            size = (depth << depth) * 8
+            room = max(0, (TABLE_BYTES - held) // size) if depth <= TABLE_BITS else 0
+            tabled, rest = by_depth[depth][:room], by_depth[depth][room:]
+            self.others += rest
+            held += size * len(tabled)
+            for start in range(0, len(tabled), 512):
+                some = tabled[start : start + 512]
+                made = contributions(np.array([leaf.value for leaf in some]), np.stack([leaf.share for leaf in some]))
+                self.leaves += [(leaf.features.tolist(), self._bits(leaf), np.ascontiguousarray(table.T)) for leaf, table in zip(some, made)]
+
+    def _bits(self, leaf: Leaf) -> list[np.ndarray]:
+        """Per feature on the path and bin the leaf's bit of the code; the bin behind the last is that of no number."""
+        out = []
+        for place, (feature, low, high) in enumerate(zip(leaf.features.tolist(), leaf.low.tolist(), leaf.high.tolist())):
+            cuts = self.cuts[feature]
+            bins = np.arange(len(cuts) + 2)
+            first = 0 if np.isneginf(low) else np.searchsorted(cuts, low) + 1
+            last = len(cuts) if np.isposinf(high) else np.searchsorted(cuts, high)
+            out.append(((bins >= first) & (bins <= last)).astype(np.uint8) << place)
+        return out
+
+    def attributions(self, x: np.ndarray) -> np.ndarray:
+        """One column per feature for the rows of ``x``."""
+        phi = np.zeros((x.shape[1], len(x)))
+        bins = [np.where(np.isnan(x[:, f]), len(cuts) + 1, np.searchsorted(cuts, x[:, f])) for f, cuts in enumerate(self.cuts)]
+        for features, bits, table in self.leaves:
+            code = bits[0][bins[features[0]]]
+            for place in range(1, len(features)):
+                code |= bits[place][bins[features[place]]]
+            code = code.astype(np.intp)
+            for place, feature in enumerate(features):
+                phi[feature] += table[place][code]
+        for leaf in self.others:
+            phi[leaf.features] += leaf_attributions(leaf, x).T
+        return phi.T
+
+
 def tree_attributions(rows: DataFrame, model: GBTRegressionModel, names: list[str], keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns, one column per feature with its attribution, and ``base``.
 
@@ -119,12 +200,14 @@ def tree_attributions(rows: DataFrame, model: GBTRegressionModel, names: list[st
     schema = T.StructType([*[rows.schema[k] for k in keep], T.StructField("_phi", T.ArrayType(T.DoubleType()))])
 
     def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = None
         for batch in batches:
             x = np.column_stack([batch.column(f"_x_{i}").to_numpy(zero_copy_only=False) for i in range(len(names))])
             phi = np.zeros(x.shape)
             if len(x):
-                for leaf in map(Leaf._make, shared.value):
-                    phi[:, leaf.features] += leaf_attributions(leaf, x)
+                tables = tables or Tables([Leaf._make(leaf) for leaf in shared.value], len(names))
+                for start in range(0, len(x), TOGETHER):
+                    phi[start : start + TOGETHER] = tables.attributions(x[start : start + TOGETHER])
             offsets = np.arange(len(x) + 1, dtype=np.int32) * len(names)
             columns = [*[batch.column(k) for k in keep], pa.ListArray.from_arrays(offsets, phi.reshape(-1))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_phi"])
