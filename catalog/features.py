@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators import features as feature_operators
+from panelcast.operators.asof import join_asof
 from panelcast.operators.features import RESIDUAL, add_residual_target, build_features, drop_incomplete, scaling
 from panelcast.operators.ranges import in_ranges
-from panelcast.plans.ordered import add_lags
-from panelcast.spec import Derived, Exogenous, FeatureConfig, Temporal
+from panelcast.plans.ordered import Panel, add_lags
+from panelcast.plans.rolling import STATISTICS, add_rolling
+from panelcast.spec import Derived, Exogenous, FeatureConfig, Rolling, Temporal
 
 from .panels import (
     DAILY,
@@ -24,6 +26,7 @@ from .panels import (
     round_all,
     split_panel,
     stream,
+    table,
 )
 from .registry import query
 
@@ -202,3 +205,66 @@ def standardise(spark: SparkSession, sf: str) -> DataFrame:
 def drop_null_features(spark: SparkSession, sf: str) -> DataFrame:
     features = build_features(daily_panel(spark, sf), FeatureConfig(target_lags=[1, 30]))
     return drop_incomplete(features.df, features.names).select("o_orderpriority", "ds", *features.names)
+
+
+# --- rolling statistics -------------------------------------------------------------------------
+
+
+def _rolling_sql(value: str, order: str, k: int, digits: int, name: str) -> str:
+    frame = f"({order} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+    functions = {"mean": "AVG", "std": "STDDEV_SAMP", "min": "MIN", "max": "MAX"}
+    parts = [f"CASE WHEN ROW_NUMBER() OVER ({order}) > {k} THEN ROUND({f}({value}) OVER {frame}, {digits}) + 0.0 END AS {name.format(s)}" for s, f in functions.items()]
+    return ", ".join(parts)
+
+
+_BY_DAY = "PARTITION BY o_orderpriority ORDER BY ds"
+
+
+@query(f"""WITH {DAILY} SELECT o_orderpriority, ds, {_rolling_sql('y', _BY_DAY, 7, 4, 'target_{}_7')}, {_rolling_sql('y', _BY_DAY, 30, 4, 'target_{}_30')} FROM daily""")
+def rolling_week(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean, deviation, least and greatest of the 7 and 30 days before, as features."""
+    rolling = [Rolling(k, statistic) for k in (7, 30) for statistic in STATISTICS]
+    return _daily(spark, sf, FeatureConfig(target_lags=[], rolling=rolling), 4)
+
+
+@query(f"""WITH size AS (SELECT GREATEST(COUNT(*) // 4, 1) * 3 AS k FROM events), e AS (SELECT event_id, ts, value, ROW_NUMBER() OVER (ORDER BY ts, event_id) AS r FROM events),
+  w AS (SELECT event_id, ts, r, k, AVG(value) OVER f AS m, STDDEV_SAMP(value) OVER f AS s, MIN(value) OVER f AS lo, MAX(value) OVER f AS hi FROM e, size
+    WINDOW f AS (ORDER BY r RANGE BETWEEN k PRECEDING AND 1 PRECEDING))
+  SELECT event_id, ts, CASE WHEN r > k THEN ROUND(m, 4) + 0.0 END AS mean, CASE WHEN r > k THEN ROUND(s, 4) + 0.0 END AS std,
+    CASE WHEN r > k THEN lo END AS min, CASE WHEN r > k THEN hi END AS max FROM w""")
+def rolling_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as one series in blocks over many tasks, with a window as long as three of them."""
+    panel = split_panel(stream(spark, sf), STREAM_SPEC)
+    rolled = add_rolling(panel, {s: ("value", s, panel.task_rows * 3) for s in STATISTICS})
+    return round_all(rolled.select("event_id", "ts", *STATISTICS), ["mean", "std"], 4)
+
+
+# --- values of another table as of a date -------------------------------------------------------
+
+
+@query(f"""WITH {DAILY}, big AS (SELECT o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ds, MAX(o_totalprice) AS top FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1, 2)
+  SELECT d.o_orderpriority, d.ds, d.y, b.top FROM daily d ASOF LEFT JOIN big b ON d.o_orderpriority = b.o_orderpriority AND d.ds >= b.ds""")
+def asof_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Each day with the last top price of a tenth of the customers, which come on days of their own."""
+    day = F.col("o_orderdate").cast("date").cast("timestamp_ntz")
+    some = table(spark, sf, "orders").filter(F.col("o_custkey") % 10 == 0)
+    big = some.groupBy("o_orderpriority", day.alias("ds")).agg(F.max("o_totalprice").alias("top"))
+    return join_asof(daily_panel(spark, sf), big, ["top"]).select("o_orderpriority", "ds", "y", "top")
+
+
+@query("""WITH other AS (SELECT ts, MAX(value) AS last_purchase FROM events WHERE user_id % 3 = 0 GROUP BY 1)
+  SELECT e.event_id, e.user_id, e.ts, o.last_purchase FROM events e ASOF LEFT JOIN other o ON e.ts >= o.ts""")
+def asof_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as one series, each with the last value of a third of the users, carried from block to block."""
+    panel = split_panel(stream(spark, sf), STREAM_SPEC)
+    other = stream(spark, sf).filter(F.col("user_id") % 3 == 0).select(F.col("ts").alias("at"), F.col("value").alias("last_purchase"))
+    return join_asof(panel, other, ["last_purchase"], "at").select("event_id", "user_id", "ts", "last_purchase")
+
+
+@query("""WITH other AS (SELECT ts, MAX(value) AS last_purchase FROM events WHERE user_id % 3 = 0 GROUP BY 1)
+  SELECT e.event_id, e.user_id, e.ts, o.last_purchase FROM events e ASOF LEFT JOIN other o ON e.ts >= o.ts""")
+def asof_users(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``asof_stream`` for a series per user that one calendar serves."""
+    panel = Panel.of(stream(spark, sf), USER_SPEC)
+    other = stream(spark, sf).filter(F.col("user_id") % 3 == 0).select("ts", F.col("value").alias("last_purchase"))
+    return join_asof(panel, other, ["last_purchase"], keys=()).select("event_id", "user_id", "ts", "last_purchase")

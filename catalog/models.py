@@ -243,3 +243,60 @@ def run_many(spark: SparkSession, sf: str) -> DataFrame:
     ]
     results = run_models(daily_panel(spark, sf), models, RANGES).results
     return round_all(results.select("model_id", "scope", "status", *METRIC_NAMES, F.col("n").cast("double").alias("n")), METRIC_NAMES, 4)
+
+
+_AR = f"""ard AS (SELECT *, y - LAG(y) OVER {DAILY_W} AS w FROM daily WHERE {TRAIN_SQL}),
+  are AS (SELECT *, LAG(w) OVER {DAILY_W} AS w1, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY ds DESC) AS back FROM ard),
+  arf AS (SELECT o_orderpriority, SUM(w * w1) / SUM(w1 * w1) AS phi FROM are WHERE w1 IS NOT NULL GROUP BY 1),
+  ars AS (SELECT o_orderpriority, y AS level, w FROM are WHERE back = 1),
+  arp AS (SELECT o_orderpriority, ds, y, ROW_NUMBER() OVER {DAILY_W} AS h FROM daily WHERE {PREDICT_SQL})"""
+
+
+@query(f"""WITH {DAILY}, {_LAGS_1_7}, {_two_feature_sql('l1', 'l7', 'y', 'train')}, {_AR},
+  busy AS (SELECT n_orders > 1 AS busy, AVG(y) AS prediction FROM daily WHERE {TRAIN_SQL} GROUP BY 1),
+  scored AS (SELECT 'lag' AS model_id, 'predict' AS scope, o_orderpriority, y AS actual, l1 AS prediction FROM t WHERE {PREDICT_SQL} AND l1 IS NOT NULL
+    UNION ALL SELECT 'lag', 'train', o_orderpriority, y, l1 FROM t WHERE {TRAIN_SQL} AND l1 IS NOT NULL
+    UNION ALL SELECT 'ols', 'predict', o_orderpriority, y, b0 + b1 * l1 + b2 * l7 {_FORECAST}
+    UNION ALL SELECT 'arima', 'predict', o_orderpriority, y, level + w * phi * (1 - POW(phi, h)) / (1 - phi) FROM arp JOIN arf USING (o_orderpriority) JOIN ars USING (o_orderpriority)
+    UNION ALL SELECT 'trees', 'predict', o_orderpriority, y, prediction FROM daily JOIN busy ON busy.busy = (n_orders > 1) WHERE {PREDICT_SQL}
+    UNION ALL SELECT 'decomp', 'predict', o_orderpriority, y, NULL FROM t WHERE {PREDICT_SQL} AND l7 IS NOT NULL)
+  SELECT model_id, scope, 'ok' AS status, ROUND(SQRT(AVG((actual - prediction) * (actual - prediction))), 3) AS rmse, CAST(COUNT(*) AS DOUBLE) AS n,
+    CAST(COUNT(DISTINCT o_orderpriority) AS DOUBLE) AS series_scored, CAST(0 AS DOUBLE) AS series_skipped FROM scored GROUP BY 1, 2
+  UNION ALL SELECT 'far', NULL, 'error', NULL, NULL, NULL, NULL UNION ALL SELECT 'other', NULL, 'unsupported', NULL, NULL, NULL, NULL""")
+def run_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All five types in one run, and two that fail. The decomposition's errors, which have no closed form, are left out."""
+    busy = FeatureConfig(target_lags=[], exogenous=[Exogenous("busy", use_actual=True)])
+    models = [
+        ModelSpec("lag", "LAG", "Lag"),
+        ModelSpec("ols", "LINEAR_REGRESSION", "Linear"),
+        ModelSpec("arima", "ARIMA", "ARIMA", {"p": 1, "d": 1, "q": 0}),
+        ModelSpec("trees", "XGBOOST", "Trees", {"n_estimators": 1, "max_depth": 1, "feature_config": busy}),
+        ModelSpec("decomp", "PROPHET", "Decomposition"),
+        ModelSpec("far", "LAG", "Lag too far", {"lag": 1_000_000}),
+        ModelSpec("other", "NBEATS", "Other"),
+    ]
+    panel = daily_panel(spark, sf)
+    run = run_models(panel.on(panel.df.withColumn("busy", (F.col("n_orders") > 1).cast("int"))), models, RANGES)
+    known = F.when(F.col("model_id") != "decomp", F.col("rmse")).alias("rmse")
+    counts = [F.col(name).cast("double").alias(name) for name in ("n", "series_scored", "series_skipped")]
+    return round_all(run.results.select("model_id", "scope", "status", known, *counts), ["rmse"], 3)
+
+
+@query(f"""WITH {DAILY} SELECT o_orderpriority, ds, ROUND(2.5 * date_diff('day', DATE '1995-01-01', CAST(ds AS DATE)) + 40, 1) AS prediction
+  FROM daily WHERE {PREDICT_SQL}""")
+def decomp_line(spark: SparkSession, sf: str) -> DataFrame:
+    """A straight line, without seasons and lags, goes on as it is."""
+    panel = daily_panel(spark, sf)
+    line = panel.df.withColumn("y", 2.5 * F.datediff("ds", F.lit("1995-01-01").cast("date")) + 40)
+    params = {"yearly_seasonality": False, "weekly_seasonality": False, "use_lag_regressors": False}
+    forecast = fit_decomp(panel.on(line), RANGES, ModelSpec("line", "PROPHET", "Line", params)).forecast
+    return round_all(forecast.select("o_orderpriority", "ds", "prediction"), ["prediction"], 1)
+
+
+@query(f"""WITH {DAILY}, {_LAGS_1_7}, {_two_feature_sql('l1', 'l7', 'y', 'train')} SELECT model_id, o_orderpriority, {metrics_sql(digits=4)} FROM (
+    SELECT 'lag' AS model_id, o_orderpriority, y AS actual, l1 AS prediction FROM t WHERE {PREDICT_SQL} AND l1 IS NOT NULL
+    UNION ALL SELECT 'ols', o_orderpriority, y, b0 + b1 * l1 + b2 * l7 {_FORECAST}) GROUP BY 1, 2""")
+def run_by_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of each series under two models of one run."""
+    models = [ModelSpec("lag", "LAG", "Lag"), ModelSpec("ols", "LINEAR_REGRESSION", "Linear")]
+    return round_all(run_models(daily_panel(spark, sf), models, RANGES).by_series(), METRIC_NAMES, 4)

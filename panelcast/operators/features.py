@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import cycle, iso_weekday, minute_of_day
 from ..functions.numbers import over_magnitude
 from ..plans.ordered import Panel, add_lags
+from ..plans.rolling import add_rolling
 from ..spec import Derived, Exogenous, FeatureConfig, Temporal
 
 
@@ -99,6 +100,8 @@ def build_features(panel: Panel, config: FeatureConfig) -> Features:
     spec, present = panel.spec, set(panel.df.columns)
     lags = lag_columns(config, spec.target, present)
     made: dict[str, Column | None] = {f"target_lag_{k}": None for k in config.target_lags}
+    rolling = {item.name: (spec.target, item.operation, item.window_size) for item in config.rolling}
+    made |= dict.fromkeys(rolling)
     made |= temporal_columns(config.temporal, F.col(spec.date))
     source: dict[str, str] = {}
     for exog in config.exogenous:
@@ -109,7 +112,7 @@ def build_features(panel: Panel, config: FeatureConfig) -> Features:
         source |= dict.fromkeys(columns, exog.column)
         made |= columns
     helpers = [name for name in lags if name.startswith("_past_")]
-    df = add_lags(panel, lags).withColumns({n: c for n, c in made.items() if c is not None}).drop(*helpers)
+    df = add_rolling(panel.on(add_lags(panel, lags)), rolling).withColumns({n: c for n, c in made.items() if c is not None}).drop(*helpers)
     names = list(made)
     for derived in config.derived:
         if not {derived.feature_a, derived.feature_b} <= set(df.columns):

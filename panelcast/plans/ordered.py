@@ -90,7 +90,7 @@ def add_lags(panel: Panel, lags: dict[str, tuple[str, int]]) -> DataFrame:
     if not back:
         return panel.df
     reach = max(k for _, k in back.values())
-    return _look_back(panel, reach, lambda w: {name: F.lag(column, k).over(w) for name, (column, k) in back.items()})
+    return look_back(panel, reach, lambda w: {name: F.lag(column, k).over(w) for name, (column, k) in back.items()})
 
 
 def add_past(panel: Panel, name: str, column: str, reach: int) -> DataFrame:
@@ -99,18 +99,22 @@ def add_past(panel: Panel, name: str, column: str, reach: int) -> DataFrame:
     def newest_first(w: WindowSpec) -> dict[str, Column]:
         return {name: F.reverse(F.collect_list(column).over(w.rowsBetween(-reach, 0)))}
 
-    return _look_back(panel, reach, newest_first)
+    return look_back(panel, reach, newest_first)
 
 
-def _look_back(panel: Panel, reach: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
-    """Add window columns that need no more than ``reach`` rows before their own."""
+def look_back(panel: Panel, reach: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Add window columns that need no more than ``reach`` rows before their own.
+
+    Rows that already have their ``_place`` in the whole order are not put in order again.
+    """
     keys = panel.spec.keys
     if panel.fits_tasks:
         window = Window.partitionBy(*keys).orderBy(*panel.spec.order)
         return panel.df.select("*", *[c.alias(name) for name, c in columns(window).items()])
     size = max(panel.task_rows, reach)
     block, last_rows = F.floor(F.col("_place") / size), F.col("_place") % size >= size - reach
-    blocks = _placed(panel).select(
+    placed = panel.df if "_place" in panel.df.columns else placed_rows(panel)
+    blocks = placed.select(
         "*",
         block.alias("_own"),
         F.explode(F.when(last_rows, F.array(block, block + 1)).otherwise(F.array(block))).alias("_block"),
@@ -120,18 +124,40 @@ def _look_back(panel: Panel, reach: int, columns: Callable[[WindowSpec], dict[st
     return looked.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_place")
 
 
+def carry_last(panel: Panel, name: str, column: str) -> DataFrame:
+    """Add the last value of ``column`` that is not null, in this row or before it in its series.
+
+    Blocks of a long series are carried through one by one and then joined up: only the series that a block begins in the middle
+    of takes a value from before it, so there are no more of these values than blocks.
+    """
+    keys = panel.spec.keys
+    if panel.fits_tasks:
+        so_far = Window.partitionBy(*keys).orderBy(*panel.spec.order).rowsBetween(Window.unboundedPreceding, 0)
+        return panel.df.withColumn(name, F.last(column, ignorenulls=True).over(so_far))
+    blocks = placed_rows(panel).withColumn("_block", F.floor(F.col("_place") / panel.task_rows))
+    so_far = Window.partitionBy("_block", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    local = blocks.withColumn(name, F.last(column, ignorenulls=True).over(so_far))
+    lasts = blocks.groupBy("_block", *keys).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col("_place"))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).filter(F.col("_before").isNotNull())
+    carried = carried.select(F.col("_block").alias("_b"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_before")
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_block") == F.col("_b"))
+    joined = local.join(F.broadcast(carried), match, "left")
+    return joined.select(*panel.df.columns, F.coalesce(name, "_before").alias(name))
+
+
 def add_position(panel: Panel, name: str) -> DataFrame:
     """Add the row's 1-based position in its series."""
     keys = panel.spec.keys
     if panel.fits_tasks:
         window = Window.partitionBy(*keys).orderBy(*panel.spec.order)
         return panel.df.withColumn(name, F.row_number().over(window).cast("long"))
-    placed = _placed(panel)
+    placed = placed_rows(panel)
     first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
     return panel.on(placed).attach(first).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
 
 
-def _placed(panel: Panel) -> DataFrame:
+def placed_rows(panel: Panel) -> DataFrame:
     """Add ``_place``, the row's 0-based position in the order (series, date, tiebreak) of the whole table."""
     df, order = panel.df, [*panel.spec.keys, *panel.spec.order]
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-panel.rows // panel.task_rows))

@@ -36,13 +36,16 @@ TRAINERS = {
 FAILURES = (ValueError, TypeError, ArithmeticError, AnalysisException, IllegalArgumentException)
 RESULT_SCHEMA = (
     "model_id string, model_name string, status string, message string, scope string, "
-    "rmse double, mae double, mape double, r2 double, n long, seconds double"
+    "rmse double, mae double, mape double, r2 double, n long, seconds double, series_scored long, series_skipped long"
 )
 
 
 @dataclass(frozen=True)
 class Run:
-    """Results of all models: one row per model and scope, and the tables of each model that worked."""
+    """Results of all models: one row per model and scope, and the tables of each model that worked.
+
+    ``series_scored`` counts the series with scored rows, ``series_skipped`` those that could not be fitted.
+    """
 
     results: DataFrame
     spec: SeriesSpec
@@ -58,6 +61,17 @@ class Run:
             raise ValueError("No model has a forecast")
         return reduce(DataFrame.unionByName, self.forecasts.values())
 
+    def by_series(self) -> DataFrame:
+        """Metrics of the forecasts per model and series."""
+        return metrics(self.forecast(), ("model_id", *self.spec.keys))
+
+    def skipped(self) -> DataFrame:
+        """Series that a model could not be fitted to, and why."""
+        listed = [f.skipped.select(F.lit(i).alias("model_id"), *self.spec.keys, "reason") for i, f in self.fitted.items() if f.skipped is not None]
+        if not listed:
+            raise ValueError("No model is fitted series by series")
+        return reduce(DataFrame.unionByName, listed)
+
     def forecast_table(self) -> DataFrame:
         models = [(model_id, self.fitted[model_id].model.name) for model_id in self.forecasts]
         return forecast_table(self.forecast(), models, self.spec.date, self.spec.keys)
@@ -95,25 +109,31 @@ def run_models(panel: Panel, models: list[ModelSpec], ranges: Ranges) -> Run:
                 scored = [("predict", cut(fit.forecast))]
                 if fit.train_scored is not None:
                     scored.append(("train", fit.train_scored))
-                measured = _measure(scored)
+                measured = _measure(scored, panel.spec.keys)
+                skipped = fit.skipped.count() if fit.skipped is not None else 0
                 if fit.no_rows and measured["train"]["n"] == 0:
                     raise ValueError(fit.no_rows)
                 seconds = time.monotonic() - began
                 for scope, m in measured.items():
                     values = [m[name] for name in METRICS]
-                    rows.append((model.id, model.name, "ok", None, scope, *values, m["n"], seconds))
+                    rows.append((model.id, model.name, "ok", None, scope, *values, m["n"], seconds, m["series"], skipped))
                 forecasts[model.id], fitted[model.id] = scored[0][1], fit
             except FAILURES as error:  # one model's failure must not stop the others
                 rows.append((model.id, model.name, "error", str(error), None))
     finally:
         shared.unpersist()
-    padded = [(*row, *[None] * (11 - len(row))) for row in rows]
+    padded = [(*row, *[None] * (13 - len(row))) for row in rows]
     results = panel.df.sparkSession.createDataFrame(padded, RESULT_SCHEMA)
     return Run(results, panel.spec, forecasts, fitted)
 
 
-def _measure(scored: list[tuple[str, DataFrame]]) -> dict:
-    tables = [metrics(df).withColumn("scope", F.lit(scope)) for scope, df in scored]
+def _measure(scored: list[tuple[str, DataFrame]], keys: tuple[str, ...]) -> dict:
+    """Per scope the metrics, and how many series have a row."""
+    tables = []
+    for scope, df in scored:
+        series = df.select(*keys).distinct() if keys else df.limit(1)
+        count = series.agg(F.count(F.lit(1)).alias("series")).select(F.struct("series").alias("_s"))
+        tables.append(metrics(df).select("*", count.scalar()["series"].alias("series"), F.lit(scope).alias("scope")))
     return {row["scope"]: row for row in reduce(DataFrame.unionByName, tables).collect()}
 
 

@@ -78,6 +78,18 @@ class Exogenous:
     pct_change_lag: int | None = None
 
 
+@dataclass(frozen=True)
+class Rolling:
+    """A statistic (mean, std, min, max) of the target over the ``window_size`` rows before each row."""
+
+    window_size: int
+    operation: str
+
+    @property
+    def name(self) -> str:
+        return f"target_{self.operation}_{self.window_size}"
+
+
 DERIVED_OPERATIONS = ("sum", "difference", "product", "ratio")
 
 
@@ -103,6 +115,7 @@ class FeatureConfig:
     temporal: Temporal = field(default_factory=Temporal)
     exogenous: list[Exogenous] = field(default_factory=list)
     derived: list[Derived] = field(default_factory=list)
+    rolling: list[Rolling] = field(default_factory=list)
 
     @classmethod
     def from_dict(cls, raw: dict[str, Any]) -> FeatureConfig:
@@ -111,6 +124,7 @@ class FeatureConfig:
             temporal=Temporal(**raw.get("temporal", {})),
             exogenous=[Exogenous(**item) for item in raw.get("exogenous", [])],
             derived=[Derived(**item) for item in raw.get("derived", [])],
+            rolling=[Rolling(**item) for item in raw.get("rolling_features", [])],
         )
 
     @classmethod

@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.operators.asof import join_asof
 from panelcast.plans.attach import attach
 from panelcast.plans.ordered import Panel, add_lags, add_past, add_position
+from panelcast.plans.rolling import STATISTICS, add_rolling
 from panelcast.spec import SeriesSpec
 
 KEYED = SeriesSpec("ds", "y", ("key",), ("tie",))
@@ -65,7 +67,7 @@ def test_blocks_hold_bounded_rows(df):
     from panelcast.plans import ordered
 
     panel = Panel.of(df, KEYED, 50)
-    placed = ordered._placed(panel)
+    placed = ordered.placed_rows(panel)
     assert placed.agg(F.min("_place"), F.max("_place"), F.count_distinct("_place")).first()[:] == (0, 565, 566)
     sizes = placed.groupBy(F.floor(F.col("_place") / 50)).count().toPandas()["count"]
     assert sizes.max() <= 50
@@ -111,3 +113,50 @@ def test_rows_by_series_are_not_moved_again(spark, df):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # One exchange for the lags and one for the sums, none for the join.
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("task_rows", [10_000, 50])
+def test_rolling_equals_pandas(df, task_rows):
+    panel = Panel.of(df, KEYED, task_rows)
+    wanted = {f"{s}_{k}": ("y", s, k) for k in (1, 2, 7, 50, 170) for s in STATISTICS}
+    got = add_rolling(panel, wanted).toPandas()
+    order = [*panel.spec.order]
+    frame = df.toPandas().sort_values(order)
+    for name, (_, statistic, k) in wanted.items():
+        want = frame.groupby("key", dropna=False)["y"].transform(lambda y, k=k, s=statistic: getattr(y.shift(1).rolling(k), s)())
+        both = got[["tie", name]].merge(frame.assign(want=want)[["tie", "want"]], on="tie")
+        assert len(both) == len(frame)
+        assert np.allclose(both[name].astype(float), both["want"].astype(float), equal_nan=True, rtol=1e-9, atol=1e-9), name
+
+
+def test_rolling_of_unknown_statistic(df):
+    with pytest.raises(ValueError, match="median"):
+        add_rolling(Panel.of(df, KEYED), {"x": ("y", "median", 3)})
+    assert add_rolling(Panel.of(df, KEYED), {}).columns == df.columns
+
+
+@pytest.mark.parametrize("task_rows", [10_000, 40])
+@pytest.mark.parametrize("keys", [("key",), ()])
+def test_asof_equals_pandas(df, task_rows, keys):
+    panel = Panel.of(df, KEYED, task_rows)
+    date = panel.spec.date
+    other = df.filter(F.col("tie") % 9 == 0).select("key", F.col(date).alias("when"), (F.col("tie") * 2).alias("late"), F.lit(None).cast("int").alias("none"))
+    other = other.union(other.filter("late % 4 = 0")).union(other.filter("late = 0").withColumn("when", F.lit(None).cast("timestamp_ntz")))
+    got = join_asof(panel, other if keys else other.drop("key"), ["late", "none"], "when", keys).toPandas()
+    frame, right = df.toPandas(), other.toPandas().dropna(subset=["when"])
+    assert len(got) == len(frame)
+    for row in got.itertuples():
+        key = getattr(row, "key")
+        same = right if not keys else right[right["key"].isna() if key is None or key != key else right["key"] == key]
+        before = same[same["when"] <= getattr(row, date)]
+        want = before[before["when"] == before["when"].max()]["late"].max() if len(before) else None
+        assert (want is None and row.late != row.late) or row.late == want
+    assert got["none"].isna().all()
+
+
+def test_asof_refuses(df):
+    panel = Panel.of(df, KEYED)
+    with pytest.raises(ValueError, match="already"):
+        join_asof(panel, df, ["y"])
+    with pytest.raises(ValueError, match="keys or on none"):
+        join_asof(panel, df.withColumnRenamed("y", "z"), ["z"], keys=("tie",))
