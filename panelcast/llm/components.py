@@ -1,7 +1,7 @@
 """Connected components of a graph given as edges, by repeated large-star and small-star steps (Kiveris and others 2014).
 
-Both steps are group-by-minimum and a join, so a node with very many edges is summed up where its edges lie, and only
-its minimum travels. Each round is written to the shared folder, which bounds the lineage and survives lost executors.
+Both steps are group-by-minimum and a join. The minimum of a node with very many edges is summed up where its edges lie;
+for the join its edges are dealt over ``SALTS`` tasks, each of which gets the minimum. Each round is written to the shared folder, which bounds the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..plans.lineage import new_path
 
 
+#: Tasks that share the edges of one node.
+SALTS = 16
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point neighbours at the least node around: larger neighbours (large star), or smaller ones and the node itself."""
     if large:
@@ -19,7 +23,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = around.join(least, "a")
+    dealt = around.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    joined = dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["a", "salt"]).drop("salt")
     if large:
         return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))

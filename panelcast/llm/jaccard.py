@@ -159,7 +159,7 @@ def _verify(size: int, threshold: float):
 
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999,
-    rows: int = 5, tile: int = TILE, tile_words: int = TILE_WORDS,
+    rows: int = 5, tile: int = TILE, tile_words: int = TILE_WORDS, with_raw: bool = False,
 ) -> DataFrame:
     """(key, class_id, n_links, n_copies, kept): one row per row of ``df``.
 
@@ -171,9 +171,11 @@ def near_duplicates(
     all of them as its one n-gram. Null texts and texts without words link with nothing, and a row whose key is null
     takes no part: its class is null, and it is kept. Rows that repeat a key count as rows of their own and are
     kept together. Pairs with similarity ``threshold`` are found with probability ``recall``, more similar ones
-    with higher. ``tile`` and ``tile_words`` bound what a task holds; they don't change results.
+    with higher. With ``with_raw`` there is a first column ``_raw``, xxhash64 of the text, that tells apart rows which
+    repeat a key with different texts. That two groups of a band have the same members is judged by their number, sum and
+    exclusive or of 64-bit hashes. A group of n texts that share a band takes n^2 / 2 comparisons, dealt over tiles. ``tile`` and ``tile_words`` bound what a task holds; they don't change results.
     """
-    spark = df.sparkSession
+    spark, extra = df.sparkSession, []
     bands = banding(threshold, recall, rows)
     source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("raw"))
 
@@ -215,8 +217,15 @@ def near_duplicates(
     member = member.withColumn("component", F.coalesce("component", "class"))
     least = member.groupBy("component").agg(F.min("id").alias("class_id"))
     member = member.join(least, "component").select("class", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    out = signs.select("id", F.when(usable, F.col("words_key")).alias("class")).join(member, "class", "left")
+    # Written first, so that Spark can split the copies of one text over tasks; rows without a class meet nobody.
+    member = written(member, "classes-linked")
+    out = signs.where(usable).select("id", F.col("words_key").alias("class"), "raw").join(member, "class")
+    apart = signs.where(~F.coalesce(usable, F.lit(False))).select("id", "raw")
+    out = out.unionByName(apart, allowMissingColumns=True)
+    if with_raw:
+        extra = [F.col("raw").alias("_raw")]
     out = out.select(
+        *extra,
         F.col("id").cast(df.schema[key].dataType).alias(key),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),

@@ -240,7 +240,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     member = classes.join(linked, ["rep", "mark"], "left").select(
         "vector", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
-    return _answer(source.join(member, "vector", "left"), df, key)
+    # Written first, so that Spark can split the copies of one vector over tasks; rows without a usable vector meet nobody.
+    member = written(member, "vector-classes")
+    linked = source.where(values.isNotNull()).join(member, "vector").drop("vector")
+    apart = source.where(values.isNull()).select("id")
+    return _answer(linked.unionByName(apart, allowMissingColumns=True), df, key)
 
 
 def _answer(rows: DataFrame, df: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import random
 
 import oracle
 import public_tokenizers
@@ -25,7 +26,7 @@ def test_equals_sql(spark, sf, name):
 def test_registered():
     names = set(entries.queries())
     assert "pipeline" in names
-    assert [sum(name.startswith(f"op{number}_") for name in names) for number in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{number}_") for name in names) for number in range(1, 14)] == [1] * 13
 
 
 def test_contracts(spark, sf):
@@ -71,3 +72,38 @@ def test_pipeline(spark, sf):
         tokens[row.doc_id] += row.length
     assert tokens == {row.doc_id: len(tokenizer.encode(row.text, add_special_tokens=False).ids) + 1 for row in docs.collect()}
     assert len(tokens) < before
+
+
+WORDS = "the of and to in is that it for was on with as by at from this have be are or an they which you one we all there their".split()
+
+
+def prose(seed: int, count: int = 120) -> list[str]:
+    rnd = random.Random(seed)
+    return [rnd.choice(WORDS) if rnd.random() < 0.4 else "".join(rnd.choices("abcdefghilmnoprstu", k=rnd.randint(3, 9))) for _ in range(count)]
+
+
+def test_rows_that_repeat_a_key(spark):
+    """A text that has nothing to do with a group stays, though its key goes; of equal rows one stays."""
+    a, b, c = (" ".join(prose(seed)) for seed in (1, 2, 3))
+    near = " ".join([*a.split()[:-1], "end"])
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, c), (3, c), (4, a), (1, near), (5, None), (5, None), (None, a), (6, ""), (6, c)]
+    docs = spark.createDataFrame([(key, text, "en", "s", 0) for key, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    left = sorted(((row.doc_id or 0, row.text or "") for row in got.collect()))
+    first = [(1, text) for text in (a, near)]
+    assert [row for row in left if row not in first] == sorted([(0, a), (2, b), (3, c), (5, ""), (6, "")])
+    assert sum(row in first for row in left) == 1
+
+
+def test_run_over_awkward_documents(spark, tmp_path):
+    long = " ".join(prose(9, 60_000))
+    texts = [None, "", "short", " ".join(prose(1)), " ".join(prose(1)), " ".join(prose(2)), long, "x" * 200_000, "x@" + "a." * 5000 + "com " + " ".join(prose(4)), "\n".join(prose(5))]
+    rows = [(place // 2, text, "en", f"s{place % 3}", 0, place) for place, text in enumerate(texts)] + [(3, long, "en", "s0", 0, 1), (None, " ".join(prose(6)), "en", "s1", 0, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sequence_id int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(row.length for row in pieces if row.doc_id == 3) > 60_000
+    assert max(row.length + row.offset for row in pieces) <= 2048
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
