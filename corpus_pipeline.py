@@ -21,7 +21,7 @@ def documents_of(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts go; rows that repeat a doc_id are judged one by one."""
     return documents_of(quality.judge(docs, into="_quality").where("_quality.kept"))
 
 
@@ -32,19 +32,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id. Rows that repeat a doc_id go with the first."""
-    classes = jaccard.near_duplicates(docs)
-    gone = classes.where(~F.col("kept")).select("doc_id").distinct()
-    return documents_of(docs.join(gone, "doc_id", "left_anti"))
+    """One document of each group of near duplicates: the one with the least doc_id, and of several texts under that the one of
+    least hash. Rows are told apart by doc_id and text, so an unrelated text under a doc_id stays; of equal rows one stays. Documents
+    without doc_id or without words stay.
+    """
+    path = new_path(spark, "near-duplicates")
+    jaccard.near_duplicates(docs, with_raw=True).withColumnRenamed("_raw", "mark").write.parquet(path)
+    classes = spark.read.parquet(path).where(F.col("doc_id").isNotNull())
+    linked = classes.where("n_links > 0")
+    first = linked.where("kept").groupBy("doc_id").agg(F.min("mark").alias("first"))
+    beside = linked.where("kept").join(first, "doc_id").where("mark > first").select("doc_id", "mark")
+    gone = linked.where(~F.col("kept")).select("doc_id", "mark").unionByName(beside).distinct()
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    left = marked.join(gone, ["doc_id", "mark"], "left_anti")
+    repeated = classes.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
+    if not repeated.isEmpty():
+        once = left.join(repeated, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+        left = left.join(repeated, ["doc_id", "mark"], "left_anti").unionByName(once)
+    return documents_of(left)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data under pseudonyms."""
+    """Documents with personal data under pseudonyms. Every row comes back; a null text stays null."""
     return documents_of(pii.pseudonymise(docs, catalog.PII_KEY, into="_found"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in windows of 2048 tokens."""
+    """Pieces of the documents and their places in windows of 2048 tokens. A null text counts as empty; an empty table has no pieces."""
     return packing.pack(docs, catalog.BYTE_BPE, with_ids=False)
 
 
