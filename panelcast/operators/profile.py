@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import epoch_micros, iso_text
 from ..plans.lineage import cut
-from ..plans.ordered import Panel, add_lags, add_position
+from ..plans.ordered import Panel, add_lags
 from ..spec import SeriesSpec
 from .clean import type_label
 
@@ -37,21 +39,45 @@ def date_steps(panel: Panel) -> DataFrame:
     return lagged.filter(F.col("_before").isNotNull()).select(*panel.spec.keys, step.alias("step"))
 
 
+#: Parts into which a bracket around a median is divided in one pass.
+BINS = 4096
+
+
 def median_step(panel: Panel, steps: DataFrame) -> DataFrame:
     """Exact median step per series.
 
-    Series that fit a task use the median aggregate. Longer ones are put in order across partitions and
-    the middle rows picked by position, so no task holds all steps of a series.
+    Series that fit a task use the median aggregate. For longer ones a bracket around the median is narrowed: each pass counts
+    the steps in ``BINS`` parts of the bracket and goes on with the part that holds the middle, until a single value is left.
+    A pass reads the written steps and adds up counts; nothing is put in order.
     """
     keys = panel.spec.keys
     if panel.fits_tasks:
         return steps.groupBy(*keys).agg(F.median("step").alias("median_step"))
-    spec = SeriesSpec(date="step", target="step", keys=keys, tiebreak=("_tie",))
-    tied = steps.withColumn("_tie", F.monotonically_increasing_id())
-    placed = panel.on(add_position(panel.on(tied, spec), "_at"), spec)
-    sizes = placed.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    middle = F.col("_at").isin(F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2))
-    return placed.attach(sizes).filter(middle).groupBy(*keys).agg(F.avg("step").alias("median_step"))
+    ends = steps.groupBy(*keys).agg(F.min("step").alias("_low"), F.max("step").alias("_high"), F.count("step").alias("_n")).filter("_n > 0")
+    state = cut(ends.withColumns({"_below": F.lit(0).cast("long"), "_rank": F.floor((F.col("_n") + 1) / 2)}))
+    while True:
+        wide = state.filter("_high > _low")
+        if wide.isEmpty():
+            break
+        inside = panel.attach_to(steps, wide).filter((F.col("step") >= F.col("_low")) & (F.col("step") <= F.col("_high")))
+        part = F.least(F.floor((F.col("step") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BINS), F.lit(BINS - 1))
+        counts = inside.groupBy(*keys, part.alias("_part")).agg(
+            F.count("step").alias("_c"), F.min("step").alias("_from"), F.max("step").alias("_to"),
+            *[F.first(c).alias(c) for c in ("_n", "_below", "_rank")],
+        )
+        # At most BINS rows per series.
+        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("_upto", F.col("_below") + upto)
+        middle = counts.filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank")))
+        narrowed = middle.select(*keys, F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_n", (F.col("_upto") - F.col("_c")).alias("_below"), "_rank")
+        state = cut(state.filter("_high = _low").unionByName(narrowed))
+    found = panel.attach_to(steps, state.select(*keys, "_low", "_n"))
+    sides = found.groupBy(*keys).agg(
+        F.first("_low").alias("_low"), F.first("_n").alias("_n"), F.count_if(F.col("step") <= F.col("_low")).alias("_upto"),
+        F.min(F.when(F.col("step") > F.col("_low"), F.col("step"))).alias("_next"),
+    )
+    both = F.when(F.col("_upto") >= F.ceil((F.col("_n") + 1) / 2), F.col("_low")).otherwise((F.col("_low") + F.col("_next")) / 2)
+    return sides.select(*keys, both.alias("median_step"))
 
 
 def frequency(panel: Panel) -> DataFrame:
@@ -122,37 +148,64 @@ def dataset_stats(panel: Panel) -> DataFrame:
 def column_info(df: DataFrame, spec: SeriesSpec, samples: int = 5) -> DataFrame:
     """Per other column: type label, number of nulls and its first non-null values in date order, as text.
 
-    Each sample is a top-k over two or three columns, so no column passes through one task as a whole.
+    One scan at any width: a task keeps the first values of every column and counts its nulls, and what tasks kept, a few
+    rows per column, is merged.
     """
     others = [name for name in df.columns if name not in (spec.date, spec.target)]
     if not others:
         return df.sparkSession.createDataFrame([], "name string, dtype string, missing_count long, sample_values array<string>")
     order = list(dict.fromkeys((*spec.order, *spec.keys)))
-    nulls = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("name"),
-                    F.lit(type_label(df.schema[name].dataType)).alias("dtype"),
-                    F.count_if(F.col(f"`{name}`").isNull()).alias("missing_count"),
-                )
-                for name in others
-            ]
-        ).alias("c")
-    ).select(F.inline("c"))
-
-    def first_values(name: str) -> DataFrame:
-        top = df.filter(F.col(f"`{name}`").isNotNull()).orderBy(*order).limit(samples)
-        place = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-        value = F.col(f"`{name}`").cast("string").alias("value")
-        listed = F.sort_array(F.collect_list(F.struct(place.alias("at"), value)))
-        return top.agg(F.transform(listed, lambda x: x["value"]).alias("sample_values")).select(
-            F.lit(name).alias("_name"), "sample_values"
-        )
-
-    samples_by_name = reduce(DataFrame.unionByName, [first_values(name) for name in others])
+    places = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(
+        *[F.col(f"`{name}`").alias(place) for name, place in zip(order, places)],
+        *[F.col(f"`{name}`").cast("string").alias(f"_v{i}") for i, name in enumerate(others)],
+    )
+    fields = [narrow.schema[place] for place in places]
+    schema = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("nulls", T.LongType()), *fields, T.StructField("value", T.StringType())])
+    first = narrow.mapInArrow(_first_values(places, len(others), samples), schema)
+    row = F.when(F.col("value").isNotNull(), F.struct(*places, "value"))
+    merged = first.groupBy("at").agg(F.sum("nulls").alias("missing_count"), F.slice(F.array_sort(F.collect_list(row)), 1, samples).alias("_rows"))
+    labels = [F.struct(F.lit(i).alias("at"), F.lit(name).alias("name"), F.lit(type_label(df.schema[name].dataType)).alias("dtype")) for i, name in enumerate(others)]
+    named = df.sparkSession.range(1).select(F.inline(F.array(*labels)))
     # Both sides hold one row per column of the table.
-    return nulls.join(F.broadcast(samples_by_name), F.col("name") == F.col("_name"), "left").drop("_name")
+    values = F.when(F.size("_rows") > 0, F.transform("_rows", lambda r: r["value"])).otherwise(F.array().cast("array<string>"))
+    out = named.join(F.broadcast(merged), "at", "left")
+    return out.select("name", "dtype", F.coalesce("missing_count", F.lit(0)).alias("missing_count"), F.coalesce(values, F.array().cast("array<string>")).alias("sample_values"))
+
+
+def _first_values(places: list[str], width: int, samples: int):
+    """Per task and column: the number of nulls, and the first values in the order of ``places``."""
+    keys = [(place, "ascending") for place in places]
+
+    def first_of(table: pa.Table) -> pa.Table:
+        return table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start")[:samples])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nulls, held, schema = [0] * width, [None] * width, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = batch.schema
+            ordered = pc.sort_indices(pa.Table.from_batches([batch]).select(places), sort_keys=keys, null_placement="at_start")
+            for i in range(width):
+                column = batch.column(len(places) + i)
+                nulls[i] += column.null_count
+                if column.null_count == len(column):
+                    continue
+                some = ordered.filter(column.is_valid().take(ordered))[:samples]
+                part = pa.Table.from_arrays([batch.column(p).take(some) for p in range(len(places))] + [column.take(some)], [*places, "value"])
+                held[i] = part if held[i] is None else first_of(pa.concat_tables([held[i], part]))
+        for i in range(width if schema else 0):
+            count = 0 if held[i] is None else held[i].num_rows
+            # The nulls come on a row of their own.
+            at, missing = pa.array([i] * (count + 1), pa.int32()), pa.array([nulls[i]] + [0] * count, pa.int64())
+            columns = {}
+            for place, name in enumerate([*places, "value"]):
+                kept = [] if held[i] is None else held[i].column(name).chunks
+                columns[name] = pa.concat_arrays([pa.nulls(1, schema.field(place).type), *kept])
+            yield pa.RecordBatch.from_arrays([at, missing, *columns.values()], ["at", "nulls", *columns])
+
+    return run
 
 
 def normalised(df: DataFrame, spec: SeriesSpec) -> DataFrame:

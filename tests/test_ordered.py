@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.asof import join_asof
+from panelcast.operators.profile import column_info, median_step
 from panelcast.plans.attach import attach
 from panelcast.plans.ordered import Panel, add_lags, add_past, add_position
 from panelcast.plans.rolling import STATISTICS, add_rolling
@@ -160,3 +161,35 @@ def test_asof_refuses(df):
         join_asof(panel, df, ["y"])
     with pytest.raises(ValueError, match="keys or on none"):
         join_asof(panel, df.withColumnRenamed("y", "z"), ["z"], keys=("tie",))
+
+
+def test_medians_of_long_series(spark):
+    """Narrowing brackets gives the median of a sort, for even and odd counts, few and many distinct steps; nothing is sorted."""
+    rng = np.random.default_rng(3)
+    lists = {"even": rng.exponential(5, 400), "odd": rng.exponential(5, 401), "two": np.array([1.0] * 50 + [1000.0] * 50), "one": np.array([7.0]), "same": np.full(90, 3.5)}
+    lists["tiny"] = 1e-6 * rng.integers(1, 10**6, 333)
+    rows = [(key, float(step)) for key, values in lists.items() for step in values]
+    steps = spark.createDataFrame(rows, "key string, step double").repartition(5).persist()
+    panel = replace(Panel.of(steps.withColumnsRenamed({"step": "y"}).withColumn("ds", F.lit(None).cast("timestamp_ntz")).withColumn("tie", F.lit(0)), KEYED), task_rows=10)
+    got = {row["key"]: row["median_step"] for row in median_step(panel, steps).collect()}
+    assert got == {key: pytest.approx(float(np.median(values)), rel=1e-12) for key, values in lists.items()}
+    whole = replace(panel, spec=SINGLE)
+    everything = np.concatenate(list(lists.values()))
+    assert median_step(whole, steps).first()["median_step"] == pytest.approx(float(np.median(everything)), rel=1e-12)
+
+
+@pytest.mark.parametrize("width", [1, 40])
+def test_column_samples_take_one_scan(spark, tmp_path, width):
+    rows = [(datetime(2024, 1, 1) + timedelta(days=(i * 7) % 50), i, *[None if (i + j) % 3 else f"{j}-{i}" for j in range(width)]) for i in range(50)]
+    names = [f"a.b{j}" for j in range(width)]
+    path = str(tmp_path / f"t{width}")
+    schema = "ds timestamp_ntz, y int, " + ", ".join(f"`{name}` string" for name in names)
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(path)
+    info = column_info(spark.read.parquet(path), SeriesSpec("ds", "y"))
+    assert info._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = {row["name"]: row for row in info.collect()}
+    for j, name in enumerate(names):
+        values = sorted((row[0], row[2 + j]) for row in rows if row[2 + j] is not None)
+        assert got[name]["sample_values"] == [value for _, value in values[:5]] and got[name]["missing_count"] == 50 - len(values)
+    none = column_info(spark.read.parquet(path).limit(0), SeriesSpec("ds", "y")).collect()
+    assert len(none) == width and all(row["missing_count"] == 0 and row["sample_values"] == [] for row in none)
