@@ -268,3 +268,21 @@ def asof_users(spark: SparkSession, sf: str) -> DataFrame:
     panel = Panel.of(stream(spark, sf), USER_SPEC)
     other = stream(spark, sf).filter(F.col("user_id") % 3 == 0).select("ts", F.col("value").alias("last_purchase"))
     return join_asof(panel, other, ["last_purchase"], keys=()).select("event_id", "user_id", "ts", "last_purchase")
+
+
+# --- awkward names ------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DAILY}, t AS (SELECT o_orderpriority, ds, y, LAG(y, 1) OVER {DAILY_W} AS l1, LAG(top_price, 1) OVER {DAILY_W} AS p1, top_price FROM daily)
+  SELECT o_orderpriority, ds, l1 AS lag_1, p1 AS price_lag_1, ROUND(top_price - p1, 4) + 0.0 AS price_delta_1, top_price AS price_now,
+    ROUND(l1 + top_price, 4) AS both FROM t""".replace(" AS both FROM", ' AS "both" FROM'))
+def awkward_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A column with a dot in its name, and one that is called like a feature, which takes its place."""
+    panel = daily_panel(spark, sf)
+    renamed = panel.df.withColumnRenamed("top_price", "price.top").withColumn("target_lag_1", F.lit(-1.0)).withColumn("price.top_actual", F.lit(-2.0))
+    exogenous = [Exogenous("price.top", lags=[1], use_actual=True, delta_lag=1)]
+    derived = [Derived("sum", "target_lag_1", "price.top_actual", "sum.of.both")]
+    features = build_features(panel.on(renamed), FeatureConfig(target_lags=[1], exogenous=exogenous, derived=derived))
+    names = {"target_lag_1": "lag_1", "price.top_lag_1": "price_lag_1", "price.top_delta_1": "price_delta_1", "price.top_actual": "price_now", "sum.of.both": "both"}
+    out = features.df.select("o_orderpriority", "ds", *[F.col(f"`{name}`").alias(new) for name, new in names.items()])
+    return round_all(out, ["price_delta_1", "both"], 4)

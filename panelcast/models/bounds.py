@@ -83,7 +83,7 @@ def regression_spread(n: int, mean: np.ndarray, products: np.ndarray, scale: np.
 
 def regression_deviation(names: list[str], fit: str) -> Column:
     """Standard deviation of a row's forecast: noise, constant and coefficients."""
-    inside = F.array(*[F.col(name) - F.col(f"{fit}.centre")[i] for i, name in enumerate(names)]).cast("array<double>")
+    inside = F.array(*[F.col(f"`{name}`") - F.col(f"{fit}.centre")[i] for i, name in enumerate(names)]).cast("array<double>")
     width = len(names)
 
     def along(total: Column, i: Column) -> Column:

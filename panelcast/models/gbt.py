@@ -33,7 +33,7 @@ def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
 
     # Boosting passes over the training rows once per level and tree, so they are kept.
     complete = drop_incomplete(ranges.rows(features.panel, "train"), [*names, target])
-    train = complete.select(*spec.keys, spec.date, target, *names)
+    train = complete.select(*spec.keys, spec.date, target, *[F.col(f"`{name}`") for name in names])
     with kept(train) as rows:
         if rows.isEmpty():
             raise ValueError("Not enough data after creating features")
@@ -75,7 +75,7 @@ def boost(train: DataFrame, names: list[str], target: str, params: dict) -> GBTR
 
 
 def _assemble(df: DataFrame, names: list[str]) -> DataFrame:
-    doubles = df.withColumns({f"_x_{i}": F.col(name).cast("double") for i, name in enumerate(names)})
+    doubles = df.withColumns({f"_x_{i}": F.col(f"`{name}`").cast("double") for i, name in enumerate(names)})
     inputs = [f"_x_{i}" for i in range(len(names))]
     return VectorAssembler(inputCols=inputs, outputCol="_features").transform(doubles).drop(*inputs)
 

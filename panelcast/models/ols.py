@@ -37,12 +37,12 @@ def fit_ols(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     message = "Not enough data after creating features"
     plain = solve("n", "mean", "products", F.lit(True))
     if scaled:
-        with kept(train.select(*keys, *names, target)) as rows:
-            constants = fitted(scaling(rows, names, keys).filter(F.col(f"_std_{names[0]}").isNotNull()), message)
+        with kept(train.select(*keys, *[F.col(f"`{name}`") for name in names], F.col(f"`{target}`"))) as rows:
+            constants = fitted(scaling(rows, names, keys).filter(F.col(f"`_std_{names[0]}`").isNotNull()), message)
             sums = moments(standardise(panel, rows, constants, names, keys), keys, [*names, target])
             sums = panel.attach_to(sums, constants, keys)
-            scales = F.array(*[F.col(f"_std_{name}") for name in names], F.lit(1.0))
-            centres = F.array(*[F.col(f"_mean_{name}") for name in names], F.lit(0.0))
+            scales = F.array(*[F.col(f"`_std_{name}`") for name in names], F.lit(1.0))
+            centres = F.array(*[F.col(f"`_mean_{name}`") for name in names], F.lit(0.0))
             sums = _with_spread(sums, scales, centres, level)
             if standardized:
                 solved = unscaled(solved_from(sums, plain), names)
@@ -79,20 +79,20 @@ def _with_spread(sums: DataFrame, scales: Column, centres: Column, level: float
 def solved_from(sums: DataFrame, fit: Column) -> DataFrame:
     """``coef`` in feature order and ``intercept`` by ``fit``, in place of the sums of fits that have rows."""
     solved = sums.filter(F.col("n") > 0).withColumn("_fit", fit)
-    return solved.select(*[c for c in sums.columns if c not in ("mean", "products")], "_fit.coef", "_fit.intercept")
+    return solved.select(*[F.col(f"`{c}`") for c in sums.columns if c not in ("mean", "products")], "_fit.coef", "_fit.intercept")
 
 
 def unscaled(solved: DataFrame, names: list[str]) -> DataFrame:
     """Coefficients for features as they are, from those for standardised ones (kept as ``scaled_coef``)."""
-    coef = F.array(*[F.col("coef")[i] / F.col(f"_std_{name}") for i, name in enumerate(names)])
-    means = F.array(*[F.col(f"_mean_{name}") for name in names])
+    coef = F.array(*[F.col("coef")[i] / F.col(f"`_std_{name}`") for i, name in enumerate(names)])
+    means = F.array(*[F.col(f"`_mean_{name}`") for name in names])
     kept = [c for c in solved.columns if not c.startswith(("_mean_", "_std_"))]
     out = solved.withColumns({"scaled_coef": F.col("coef"), "coef": coef})
     return out.withColumn("intercept", F.col("intercept") - dot(F.col("coef"), means)).select(*kept, "scaled_coef")
 
 
 def linear_score(names: list[str]) -> Column:
-    return reduce(lambda total, at: total + F.col("coef")[at[0]] * F.col(at[1]), enumerate(names), F.col("intercept"))
+    return reduce(lambda total, at: total + F.col("coef")[at[0]] * F.col(f"`{at[1]}`"), enumerate(names), F.col("intercept"))
 
 
 def fit_keys(panel: Panel, params: dict) -> tuple[str, ...]:

@@ -212,7 +212,7 @@ def tree_attributions(rows: DataFrame, model: GBTRegressionModel, names: list[st
             columns = [*[batch.column(k) for k in keep], pa.ListArray.from_arrays(offsets, phi.reshape(-1))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_phi"])
 
-    inputs = rows.select(*keep, *[F.col(name).cast("double").alias(f"_x_{i}") for i, name in enumerate(names)])
+    inputs = rows.select(*keep, *[F.col(f"`{name}`").cast("double").alias(f"_x_{i}") for i, name in enumerate(names)])
     wide = inputs.mapInArrow(attribute, schema)
     return wide.select(*keep, *[F.col("_phi")[i].alias(name) for i, name in enumerate(names)], F.lit(base).alias("base"))
 
@@ -265,7 +265,7 @@ def pair_sums(attributions: DataFrame, date: str, groups: list[Group]) -> DataFr
         )
         for g in groups
     ]
-    return attributions.select(*attributions.columns, F.inline(F.array(*parts)))
+    return attributions.select(*[F.col(f"`{name}`") for name in attributions.columns], F.inline(F.array(*parts)))
 
 
 def by_value(pairs: DataFrame) -> DataFrame:
@@ -303,8 +303,8 @@ def by_column(attributions: DataFrame, source: dict[str, str]) -> DataFrame:
     means = []
     for column, features in related.items():
         rows = F.count(F.lit(1)) * len(features)
-        total = reduce(lambda a, b: a + b, [F.sum(f) for f in features])
-        size = reduce(lambda a, b: a + b, [F.sum(F.abs(f)) for f in features])
+        total = reduce(lambda a, b: a + b, [F.sum(F.col(f"`{f}`")) for f in features])
+        size = reduce(lambda a, b: a + b, [F.sum(F.abs(F.col(f"`{f}`"))) for f in features])
         means.append(
             F.struct(
                 F.lit(column).alias("column"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def temporal_columns(temporal: Temporal, ts: Column) -> dict[str, Column]:
 
 
 def derived_column(derived: Derived) -> Column:
-    a, b = F.col(derived.feature_a), F.col(derived.feature_b)
+    a, b = F.col(f"`{derived.feature_a}`"), F.col(f"`{derived.feature_b}`")
     if derived.operation == "sum":
         return a + b
     if derived.operation == "difference":
@@ -83,11 +84,11 @@ def exogenous_columns(exog: Exogenous) -> dict[str, Column | None]:
     """Features of one exogenous column in their fixed order; lags are made elsewhere and stand as None."""
     c, columns = exog.column, dict.fromkeys(f"{exog.column}_lag_{k}" for k in exog.lags)
     if exog.use_actual:
-        columns[f"{c}_actual"] = F.col(c)
+        columns[f"{c}_actual"] = F.col(f"`{c}`")
     if (k := exog.delta_lag) is not None:
-        columns[f"{c}_delta_{k}"] = F.col(c) - F.col(_past(c, k))
+        columns[f"{c}_delta_{k}"] = F.col(f"`{c}`") - F.col(f"`{_past(c, k)}`")
     if (k := exog.pct_change_lag) is not None:
-        columns[f"{c}_pct_{k}"] = over_magnitude(F.col(c) - F.col(_past(c, k)), F.col(_past(c, k)))
+        columns[f"{c}_pct_{k}"] = over_magnitude(F.col(f"`{c}`") - F.col(f"`{_past(c, k)}`"), F.col(f"`{_past(c, k)}`"))
     return columns
 
 
@@ -152,19 +153,24 @@ def training_features(panel: Panel, config: FeatureConfig, target_mode: str, res
 
 
 def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.dropna(subset=columns)
+    """Rows in which none of the columns is null or not a number."""
+    held = []
+    for name in columns:
+        c = F.col(f"`{name}`")
+        held.append(c.isNotNull() & ~F.isnan(c) if df.schema[name].dataType.typeName() in ("float", "double") else c.isNotNull())
+    return df.filter(reduce(lambda a, b: a & b, held)) if held else df
 
 
 def scaling(train: DataFrame, names: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean and population deviation of each feature over training rows; a deviation of 0 becomes 1."""
     return train.groupBy(*keys).agg(
-        *[F.avg(name).alias(f"_mean_{name}") for name in names],
+        *[F.avg(F.col(f"`{name}`")).alias(f"_mean_{name}") for name in names],
         *[_deviation(name).alias(f"_std_{name}") for name in names],
     )
 
 
 def _deviation(name: str) -> Column:
-    std = F.stddev_pop(name)
+    std = F.stddev_pop(F.col(f"`{name}`"))
     return F.when(std == 0, F.lit(1.0)).otherwise(std)
 
 
@@ -172,5 +178,5 @@ def standardise(
     panel: Panel, df: DataFrame, constants: DataFrame, names: list[str], keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """Replace features of the panel's rows by their distance from the training mean in training deviations."""
-    scaled = {name: (F.col(name) - F.col(f"_mean_{name}")) / F.col(f"_std_{name}") for name in names}
-    return panel.attach_to(df, constants, keys).withColumns(scaled).select(*df.columns)
+    scaled = {name: (F.col(f"`{name}`") - F.col(f"`_mean_{name}`")) / F.col(f"`_std_{name}`") for name in names}
+    return panel.attach_to(df, constants, keys).withColumns(scaled).select(*[F.col(f"`{name}`") for name in df.columns])

@@ -26,19 +26,21 @@ def attach(
     """
     added = [name for name in per_series.columns if name not in keys]
     if not keys:
-        one = per_series.select(F.struct(*added).alias("_one"))
-        return df.select("*", one.scalar().alias("_one")).select(*df.columns, *[F.col("_one")[n].alias(n) for n in added])
-    small = per_series.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *added)
+        one = per_series.select(F.struct(*[F.col(f"`{name}`") for name in added]).alias("_one"))
+        return df.select("*", one.scalar().alias("_one")).select(
+            *[F.col(f"`{name}`") for name in df.columns], *[F.col("_one")[n].alias(n) for n in added]
+        )
+    small = per_series.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"`{name}`") for name in added])
     # Null-safe equality hides that rows already lie by series, so it is used only where there are null keys.
     match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) if null_keys else F.col(k) == F.col(f"_k_{k}") for k in keys]
     if rows <= BROADCAST_ROWS:
-        return df.join(F.broadcast(small), _all(match), "left").select(*df.columns, *added)
+        return df.join(F.broadcast(small), _all(match), "left").select(*[F.col(f"`{name}`") for name in [*df.columns, *added]])
     if not salted:
-        return df.join(small, _all(match), "left").select(*df.columns, *added)
-    hashed = [field.name for field in df.schema if not isinstance(field.dataType, T.MapType)]
+        return df.join(small, _all(match), "left").select(*[F.col(f"`{name}`") for name in [*df.columns, *added]])
+    hashed = [F.col(f"`{field.name}`") for field in df.schema if not isinstance(field.dataType, T.MapType)]
     big = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
     small = small.withColumn("_ksalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.join(small, _all([*match, F.col("_salt") == F.col("_ksalt")]), "left").select(*df.columns, *added)
+    return big.join(small, _all([*match, F.col("_salt") == F.col("_ksalt")]), "left").select(*[F.col(f"`{name}`") for name in [*df.columns, *added]])
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -41,14 +41,14 @@ def moments(df: DataFrame, keys: tuple[str, ...], columns: list[str]) -> DataFra
     first; narrow sets use the covariance aggregate, which is stable at any scale.
     """
     if len(columns) <= BUILT_IN_COLUMNS:
-        c = [F.col(name).cast("double") for name in columns]
+        c = [F.col(f"`{name}`").cast("double") for name in columns]
         n = F.count(F.lit(1))
         return df.groupBy(*keys).agg(
             n.alias("n"),
             F.array(*[F.avg(x) for x in c]).alias("mean"),
             F.array(*[F.covar_pop(c[i], c[j]) * n for i, j in pairs(len(c))]).alias("products"),
         )
-    return row_moments(df, keys, F.array(*[F.col(name).cast("double") for name in columns]), len(columns))
+    return row_moments(df, keys, F.array(*[F.col(f"`{name}`").cast("double") for name in columns]), len(columns))
 
 
 def row_moments(df: DataFrame, keys: tuple[str, ...], row: Column, width: int) -> DataFrame:

@@ -84,13 +84,18 @@ def add_lags(panel: Panel, lags: dict[str, tuple[str, int]]) -> DataFrame:
     """
     there = panel.ready & set(panel.df.columns)
     lags = {name: lag for name, lag in lags.items() if name not in there}
-    now = {name: F.col(column) for name, (column, k) in lags.items() if k == 0}
+    now = {name: F.col(f"`{column}`") for name, (column, k) in lags.items() if k == 0}
     back = {name: lag for name, lag in lags.items() if lag[1] > 0}
-    panel = panel.on(panel.df.select("*", *[c.alias(name) for name, c in now.items()]))
+    panel = panel.on(with_made(panel.df, now))
     if not back:
         return panel.df
     reach = max(k for _, k in back.values())
-    return look_back(panel, reach, lambda w: {name: F.lag(column, k).over(w) for name, (column, k) in back.items()})
+    return look_back(panel, reach, lambda w: {name: F.lag(F.col(f"`{column}`"), k).over(w) for name, (column, k) in back.items()})
+
+
+def with_made(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """All columns and those made, which take the place of columns of the same name."""
+    return df.select(*[F.col(f"`{name}`") for name in df.columns if name not in made], *[c.alias(name) for name, c in made.items()])
 
 
 def add_past(panel: Panel, name: str, column: str, reach: int) -> DataFrame:
@@ -110,7 +115,7 @@ def look_back(panel: Panel, reach: int, columns: Callable[[WindowSpec], dict[str
     keys = panel.spec.keys
     if panel.fits_tasks:
         window = Window.partitionBy(*keys).orderBy(*panel.spec.order)
-        return panel.df.select("*", *[c.alias(name) for name, c in columns(window).items()])
+        return with_made(panel.df, columns(window))
     size = max(panel.task_rows, reach)
     block, last_rows = F.floor(F.col("_place") / size), F.col("_place") % size >= size - reach
     placed = panel.df if "_place" in panel.df.columns else placed_rows(panel)
@@ -120,7 +125,7 @@ def look_back(panel: Panel, reach: int, columns: Callable[[WindowSpec], dict[str
         F.explode(F.when(last_rows, F.array(block, block + 1)).otherwise(F.array(block))).alias("_block"),
     )
     window = Window.partitionBy("_block", *keys).orderBy("_place")
-    looked = blocks.select("*", *[c.alias(name) for name, c in columns(window).items()])
+    looked = with_made(blocks, columns(window))
     return looked.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_place")
 
 

@@ -128,9 +128,9 @@ def walk_linear(panel: Panel, model: ModelSpec, steps: list[Fold]) -> DataFrame:
         sums = moments(train, (*keys, "_segment"), columns)
     else:
         # Wide sets are summed around 0, where columns far from it lose digits, so each is moved and scaled first.
-        row = train.agg(F.array(*map(F.avg, columns)), F.array(*map(F.stddev_pop, columns))).first()
+        row = train.agg(F.array(*[F.avg(F.col(f"`{c}`")) for c in columns]), F.array(*[F.stddev_pop(F.col(f"`{c}`")) for c in columns])).first()
         middle, spread = [x or 0.0 for x in row[0]], [x or 1.0 for x in row[1]]
-        scaled = [(F.col(c).cast("double") - middle[i]) / spread[i] for i, c in enumerate(columns)]
+        scaled = [(F.col(f"`{c}`").cast("double") - middle[i]) / spread[i] for i, c in enumerate(columns)]
         sums = row_moments(train, (*keys, "_segment"), F.array(*scaled), len(columns))
     sums = sums.filter(F.col("n") > 0)
 

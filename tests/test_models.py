@@ -615,3 +615,19 @@ def test_run_needs_no_keys(spark):
     values = data.VALUES
     errors = np.array([values[i] - values[i - 1] for i in range(23, 30)])
     assert lag["rmse"] == pytest.approx(np.sqrt((errors**2).mean())) and lag["n"] == 7
+
+
+@pytest.mark.parametrize(("fit", "params"), [(fit_ols, {}), (fit_ols, {"standardize": True, "interval": 0.9}), (fit_gbt, {"n_estimators": 2, "max_depth": 2})])
+def test_names_with_dots_and_of_features(panel, fit, params):
+    """A fit on a column with a dot in its name equals that on the plain name; a column called like a feature changes nothing."""
+
+    def predictions(column: str, extra: bool):
+        renamed = panel.df.withColumnRenamed("x", column)
+        if extra:
+            renamed = renamed.withColumn("target_lag_1", F.lit(0.0)).withColumn(f"{column}_lag_2", F.lit(0.0))
+        config = FeatureConfig(target_lags=[1], exogenous=[Exogenous(column, lags=[2], use_actual=True)])
+        got = fit(panel.on(renamed), RANGES, ModelSpec("m", "M", "M", {**params, "feature_config": config}))
+        assert {row["feature"] for row in got.importance.collect()} == {"target_lag_1", f"{column}_lag_2", f"{column}_actual"}
+        return predicted(got).prediction
+
+    assert np.allclose(predictions("plain", False), predictions("with.dots", True))
