@@ -220,11 +220,11 @@ def _rolling_sql(value: str, order: str, k: int, digits: int, name: str) -> str:
 _BY_DAY = "PARTITION BY o_orderpriority ORDER BY ds"
 
 
-@query(f"""WITH {DAILY} SELECT o_orderpriority, ds, {_rolling_sql('y', _BY_DAY, 7, 4, 'target_{}_7')}, {_rolling_sql('y', _BY_DAY, 30, 4, 'target_{}_30')} FROM daily""")
+@query(f"""WITH {DAILY} SELECT o_orderpriority, ds, {_rolling_sql('y', _BY_DAY, 7, 2, 'target_{}_7')}, {_rolling_sql('y', _BY_DAY, 30, 2, 'target_{}_30')} FROM daily""")
 def rolling_week(spark: SparkSession, sf: str) -> DataFrame:
     """Mean, deviation, least and greatest of the 7 and 30 days before, as features."""
     rolling = [Rolling(k, statistic) for k in (7, 30) for statistic in STATISTICS]
-    return _daily(spark, sf, FeatureConfig(target_lags=[], rolling=rolling), 4)
+    return _daily(spark, sf, FeatureConfig(target_lags=[], rolling=rolling), 2)
 
 
 @query(f"""WITH size AS (SELECT GREATEST(COUNT(*) // 4, 1) * 3 AS k FROM events), e AS (SELECT event_id, ts, value, ROW_NUMBER() OVER (ORDER BY ts, event_id) AS r FROM events),
