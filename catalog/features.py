@@ -210,21 +210,24 @@ def drop_null_features(spark: SparkSession, sf: str) -> DataFrame:
 # --- rolling statistics -------------------------------------------------------------------------
 
 
-def _rolling_sql(value: str, order: str, k: int, digits: int, name: str) -> str:
+def _rolling_sql(value: str, order: str, k: int, name: str) -> str:
+    """Means of amounts in hundredths have no fourth digit that is a tie; deviations are rounded to three."""
     frame = f"({order} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
-    functions = {"mean": "AVG", "std": "STDDEV_SAMP", "min": "MIN", "max": "MAX"}
-    parts = [f"CASE WHEN ROW_NUMBER() OVER ({order}) > {k} THEN ROUND({f}({value}) OVER {frame}, {digits}) + 0.0 END AS {name.format(s)}" for s, f in functions.items()]
+    functions = {"mean": ("AVG", 4), "std": ("STDDEV_SAMP", 3), "min": ("MIN", 4), "max": ("MAX", 4)}
+    rounded = {s: f"ROUND({f}({value}) OVER {frame}, {digits}) + 0.0" for s, (f, digits) in functions.items()}
+    parts = [f"CASE WHEN ROW_NUMBER() OVER ({order}) > {k} THEN {column} END AS {name.format(s)}" for s, column in rounded.items()]
     return ", ".join(parts)
 
 
 _BY_DAY = "PARTITION BY o_orderpriority ORDER BY ds"
 
 
-@query(f"""WITH {DAILY} SELECT o_orderpriority, ds, {_rolling_sql('y', _BY_DAY, 7, 2, 'target_{}_7')}, {_rolling_sql('y', _BY_DAY, 30, 2, 'target_{}_30')} FROM daily""")
+@query(f"""WITH {DAILY} SELECT o_orderpriority, ds, {_rolling_sql('y', _BY_DAY, 7, 'target_{}_7')}, {_rolling_sql('y', _BY_DAY, 30, 'target_{}_30')} FROM daily""")
 def rolling_week(spark: SparkSession, sf: str) -> DataFrame:
     """Mean, deviation, least and greatest of the 7 and 30 days before, as features."""
     rolling = [Rolling(k, statistic) for k in (7, 30) for statistic in STATISTICS]
-    return _daily(spark, sf, FeatureConfig(target_lags=[], rolling=rolling), 2)
+    plain = _daily(spark, sf, FeatureConfig(target_lags=[], rolling=rolling), None)
+    return round_all(round_all(plain, [f"target_std_{k}" for k in (7, 30)], 3), [f"target_mean_{k}" for k in (7, 30)], 4)
 
 
 @query(f"""WITH size AS (SELECT GREATEST(COUNT(*) // 4, 1) * 3 AS k FROM events), e AS (SELECT event_id, ts, value, ROW_NUMBER() OVER (ORDER BY ts, event_id) AS r FROM events),
