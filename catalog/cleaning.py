@@ -9,6 +9,7 @@ from panelcast.functions.dates import iso_text
 from panelcast.operators.clean import (
     FORMATS,
     apply_cleaning,
+    clean_for_analysis,
     clean_for_training,
     coerce_columns,
     format_counts,
@@ -219,3 +220,27 @@ def clean_panel(spark: SparkSession, sf: str) -> DataFrame:
     TRY_CAST(trim(customer) AS DOUBLE) AS customer, TRY_CAST(status AS DOUBLE) AS status FROM raw""")
 def coerce_exog(spark: SparkSession, sf: str) -> DataFrame:
     return coerce_columns(raw_orders(spark, sf), RAW_SPEC.reserved)
+
+
+@query("""SELECT 'no date' AS case_name, 'Could not parse date column ''day''' AS message, COUNT(*) AS n FROM orders
+  UNION ALL SELECT 'no target', 'No valid data rows after cleaning', COUNT(*) FROM orders
+  UNION ALL SELECT 'no row', 'No valid data after parsing', 0""")
+def cleaning_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of which nothing is left after cleaning: the error as a row, with the rows that were read."""
+    orders = table(spark, sf, "orders")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").alias("price")
+    day, bad, blank = F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.lit("n/a").alias("day"), F.lit(None).cast("string").alias("price")
+    cases = {
+        "no date": (orders.select(key, bad, price), clean_for_training),
+        "no target": (orders.select(key, day, blank), clean_for_training),
+        "no row": (orders.filter(key.isNull()).select(key, F.col("o_orderdate").alias("day"), price), clean_for_analysis),
+    }
+    rows = []
+    for name, (df, clean) in cases.items():
+        message = None
+        try:
+            clean(df, SeriesSpec("day", "price", (), ("o_orderkey",)))
+        except ValueError as error:
+            message = str(error)
+        rows.append(df.agg(F.lit(name).alias("case_name"), F.lit(message).alias("message"), F.count(F.lit(1)).alias("n")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from panelcast.models.base import FixedRanges
 from panelcast.models.lag import fit_lag
 from panelcast.operators import evaluate
-from panelcast.sources.files import forecast_table
+from panelcast.plans.lineage import new_path
+from panelcast.sources.files import forecast_table, read_csv, write_forecast_csv
 from panelcast.spec import ModelSpec
 
 from .panels import DAILY, DAILY_W, PREDICT, PREDICT_SQL, TRAIN, daily_panel, round_all, table
@@ -87,6 +88,16 @@ def forecast_export(spark: SparkSession, sf: str) -> DataFrame:
     return forecast_table(_lag_forecasts(spark, sf), models, "ds", ("o_orderpriority",))
 
 
+@query(f"""WITH {DAILY}, {_LAGGED} SELECT o_orderpriority, strftime(ds, '%Y-%m-%dT%H:%M:%S') AS ds, y AS actual, l1 AS "Lag 1", l7 AS "Lag 7", l30 AS "Lag 30"
+  FROM t WHERE {_IN_RANGES} AND l1 IS NOT NULL""")
+def forecast_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The export written as CSV files and read back."""
+    models, path = [(f"lag{k}", f"Lag {k}") for k in _LAGS], new_path(spark, "forecasts")
+    write_forecast_csv(forecast_table(_lag_forecasts(spark, sf), models, "ds", ("o_orderpriority",)), path, "ds", ("o_orderpriority",))
+    numbers = ", ".join(f"`{name}` double" for name in ("actual", *[name for _, name in models]))
+    return read_csv(spark, path, f"o_orderpriority string, ds string, {numbers}")
+
+
 @query(f"""WITH {DAILY}, {_LAGGED}, f AS ({' UNION ALL '.join(f"SELECT 'lag{k}' AS model_id, o_orderpriority, ds, y, l{k} AS p FROM t" for k in _LAGS)}),
   r AS (SELECT *, 0 AS range_id FROM f WHERE ds BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1999-12-31'
         UNION ALL SELECT *, 1 FROM f WHERE {PREDICT_SQL})
