@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.errors import AnalysisException, IllegalArgumentException, PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,7 @@ TRAINERS = {
 }
 #: What the data or the parameters of one model can cause. Anything else, such as a lost cluster, stops the run.
 FAILURES = (ValueError, TypeError, ArithmeticError, AnalysisException, IllegalArgumentException)
+TASK_FAILURES = ("ValueError", "ArithmeticError", "ZeroDivisionError", "OverflowError", "numpy.linalg.LinAlgError")
 RESULT_SCHEMA = (
     "model_id string, model_name string, status string, message string, scope string, "
     "rmse double, mae double, mape double, r2 double, n long, seconds double, series_scored long, series_skipped long"
@@ -118,7 +119,9 @@ def run_models(panel: Panel, models: list[ModelSpec], ranges: Ranges) -> Run:
                     values = [m[name] for name in METRICS]
                     rows.append((model.id, model.name, "ok", None, scope, *values, m["n"], seconds, m["series"], skipped))
                 forecasts[model.id], fitted[model.id] = scored[0][1], fit
-            except FAILURES as error:  # one model's failure must not stop the others
+            except (*FAILURES, PythonException) as error:  # one model's failure must not stop the others
+                if not own_failure(error):
+                    raise
                 rows.append((model.id, model.name, "error", str(error), None))
     finally:
         shared.unpersist()
@@ -127,6 +130,14 @@ def run_models(panel: Panel, models: list[ModelSpec], ranges: Ranges) -> Run:
     return Run(results, panel.spec, forecasts, fitted)
 
 
+def own_failure(error: Exception) -> bool:
+    """Whether data or parameters of a model caused an error, also where a task's Python code met it."""
+    if not isinstance(error, PythonException):
+        return isinstance(error, FAILURES)
+    lines = [line for line in str(error).splitlines() if line.startswith(TASK_FAILURES)]
+    return bool(lines)
+
+
 def _measure(scored: list[tuple[str, DataFrame]], keys: tuple[str, ...]) -> dict:
     """Per scope the metrics, and how many series have a row."""
     tables = []

@@ -631,3 +631,25 @@ def test_names_with_dots_and_of_features(panel, fit, params):
         return predicted(got).prediction
 
     assert np.allclose(predictions("plain", False), predictions("with.dots", True))
+
+
+def test_errors_of_a_model_and_others(panel, monkeypatch):
+    """A matrix that can't be solved in a task is one model's failure; a missing name is nobody's and stops the run."""
+    from panelcast import run
+
+    def failing(kind: str):
+        @F.pandas_udf("double")
+        def fail(y: pd.Series) -> pd.Series:
+            if kind == "matrix":
+                raise np.linalg.LinAlgError("Singular matrix")
+            return undefined_name  # noqa: F821
+
+        return lambda ready, ranges, model: run.fit_lag(ready.on(ready.df.withColumn("y", fail("y"))), ranges, model)
+
+    models = [ModelSpec("bad", "BAD", "Bad"), ModelSpec("lag", "LAG", "Lag")]
+    monkeypatch.setitem(run.TRAINERS, "BAD", failing("matrix"))
+    status = {(row["model_id"], row["status"]) for row in run.run_models(panel, models, RANGES).results.collect()}
+    assert status == {("bad", "error"), ("lag", "ok")}
+    monkeypatch.setitem(run.TRAINERS, "BAD", failing("name"))
+    with pytest.raises(Exception, match="undefined_name"):
+        run.run_models(panel, models, RANGES)
