@@ -133,6 +133,35 @@ def arima_ar(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(fit.forecast.select("o_orderpriority", "ds", "prediction", "actual"), ["prediction"], 4)
 
 
+@query(f"""WITH {DAILY}, t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY ds DESC) AS back FROM daily WHERE {TRAIN_SQL}),
+  lasts AS (SELECT o_orderpriority, back, y FROM t WHERE back <= 8),
+  p AS (SELECT o_orderpriority, ds, y, ROW_NUMBER() OVER {DAILY_W} AS h FROM daily WHERE {PREDICT_SQL}),
+  k AS (SELECT *, (h + 6) // 7 AS seasons, 1 - (h - 7 * ((h + 6) // 7)) AS back FROM p)
+  SELECT k.o_orderpriority, ds, ROUND(l.y + seasons * (a.y - b.y), 4) AS prediction, k.y AS actual FROM k
+  JOIN lasts l ON l.o_orderpriority = k.o_orderpriority AND l.back = k.back
+  JOIN lasts a ON a.o_orderpriority = k.o_orderpriority AND a.back = 1 JOIN lasts b ON b.o_orderpriority = k.o_orderpriority AND b.back = 8""")
+def arima_seasonal_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """ARIMA(0, 1, 0)(0, 1, 0, 7): the last week again, moved each week by the last step over a week."""
+    params = {"p": 0, "d": 1, "q": 0, "seasonal_order": (0, 1, 0, 7)}
+    fit = fit_arima(daily_panel(spark, sf), RANGES, ModelSpec("walk", "ARIMA", "Seasonal walk", params))
+    return round_all(fit.forecast.select("o_orderpriority", "ds", "prediction", "actual"), ["prediction"], 4)
+
+
+@query(f"""WITH {DAILY}, m AS (SELECT o_orderpriority, AVG(y) AS centre FROM daily WHERE {TRAIN_SQL} GROUP BY 1),
+  t AS (SELECT o_orderpriority, ds, y - centre AS w, LAG(y - centre, 7) OVER {DAILY_W} AS w7, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY ds DESC) AS back
+    FROM daily JOIN m USING (o_orderpriority) WHERE {TRAIN_SQL}),
+  fit AS (SELECT o_orderpriority, regr_slope(w, w7) AS phi, regr_intercept(w, w7) AS c FROM t WHERE w7 IS NOT NULL GROUP BY 1),
+  p AS (SELECT o_orderpriority, ds, y, ROW_NUMBER() OVER {DAILY_W} AS h FROM daily WHERE {PREDICT_SQL}),
+  k AS (SELECT *, (h + 6) // 7 AS seasons, 1 - (h - 7 * ((h + 6) // 7)) AS back FROM p)
+  SELECT o_orderpriority, k.ds, ROUND(centre + POW(phi, seasons) * t.w + c * (1 - POW(phi, seasons)) / (1 - phi), 4) AS prediction, y AS actual
+  FROM k JOIN t USING (o_orderpriority, back) JOIN fit USING (o_orderpriority) JOIN m USING (o_orderpriority)""")
+def arima_seasonal_ar(spark: SparkSession, sf: str) -> DataFrame:
+    """ARIMA(0, 0, 0)(1, 0, 0, 7): each weekday decays to the mean by itself."""
+    params = {"p": 0, "d": 0, "q": 0, "seasonal_order": (1, 0, 0, 7)}
+    fit = fit_arima(daily_panel(spark, sf), RANGES, ModelSpec("season", "ARIMA", "Seasonal AR", params))
+    return round_all(fit.forecast.select("o_orderpriority", "ds", "prediction", "actual"), ["prediction"], 4)
+
+
 @query()
 def arima_model(spark: SparkSession, sf: str) -> DataFrame:
     return fit_arima(daily_panel(spark, sf), RANGES, ModelSpec("arima", "ARIMA", "ARIMA")).forecast

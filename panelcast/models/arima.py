@@ -25,25 +25,30 @@ from ..plans.ordered import Panel, add_past, add_position
 from ..spec import ModelSpec
 from .base import Fitted, Ranges, as_forecast, fitted, kept, unfitted
 from .bounds import around, interval_of
+from .seasonal import Orders, solve_tied
 
 #: Longest first-stage autoregression unless ``longest_ar`` says otherwise.
 LONGEST_AR = 20
+#: Numbers that the covariances of several steps ahead may hold at once.
+HELD_NUMBERS = 4 << 20
 
 
 def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
-    """Params: ``p``, ``d``, ``q`` (1 each), ``longest_ar`` (20): the most lags of the first regression, whose number
+    """Params: ``p``, ``d``, ``q`` (1 each), ``seasonal_order`` (none): (P, D, Q, period in rows), ``longest_ar`` (20): the most lags of the first regression, whose number
     grows with the logarithm of the series' length; ``stages`` (3; 2 leaves out the refinement of models with q > 0),
-    ``interval`` (none): bounds from the variance of the noise to come.
+    ``interval`` (none): bounds from the variance of the noise to come. Seasonal models take two stages, whatever ``stages``;
+    with Q > 0 the first regression is longer than the longest lag, so its matrix grows with the square of the period.
 
     Training rows of all ranges form one sequence in date order. Every prediction range starts at step 1
     after the end of training, whatever its dates. Series with too few training rows, or none that
     has all its lags, are left out and listed; if none is left, it is an error.
     """
-    p, d, q = (int(model.params.get(name, 1)) for name in "pdq")
+    orders = Orders.of(model.params)
+    p, d, q = orders.reach, orders.undone, orders.echo
     level, stages = interval_of(model), int(model.params.get("stages", 3))
     spec = replace(panel.spec, tiebreak=(*panel.spec.tiebreak, "range_id"))
     train = Panel.of(ranges.rows(panel, "train"), spec, panel.task_rows)
-    message = f"Not enough training data for ARIMA({p},{d},{q})"
+    message = f"Not enough training data for ARIMA{orders}"
     keys, y = spec.keys, F.col(spec.target)
 
     sizes = train.df.groupBy(*keys).agg(F.count(y).alias("_n"), F.avg(y).alias("_centre"))
@@ -56,31 +61,34 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     longest = max(p + q + 1, most) if q else 0
     recent = add_past(train, "_recent", "_y", max(p, longest + q) + d)
     levels = [F.col("_recent")]
-    for _ in range(d):
-        levels.append(_differences(levels[-1]))
+    for lag in orders.steps:
+        levels.append(_differences(levels[-1], lag))
     with kept(recent.withColumn("_w", levels[-1])) as frame:
         if q:
             frame = _with_residuals(train.on(frame), p, q, d, longest, most)
-        lags = {f"_w_{i}": F.get("_w", F.lit(i)) for i in range(p + 1)}
-        errors = {f"_e_{j}": F.get("_e", F.lit(j)) for j in range(1, q + 1)}
-        inputs = [*[f"_w_{i}" for i in range(1, p + 1)], *errors]
+        lags = {f"_w_{i}": F.get("_w", F.lit(i)) for i in (0, *orders.ar_lags)}
+        errors = {f"_e_{j}": F.get("_e", F.lit(j)) for j in orders.ma_lags}
+        inputs = [*[f"_w_{i}" for i in orders.ar_lags], *errors]
         complete = frame.withColumns(lags | errors).dropna(subset=[*inputs, "_w_0"])
         sums = moments(complete, keys, [*inputs, "_w_0"]).filter(F.col("n") > 0)
-        fits = sums.withColumn("_fit", solve_noise("n", "mean", "products", F.lit(d == 0))).select(*keys, "_fit.*")
+        solved = solve_tied(orders, _stationary)("n", "mean", "products") if orders.seasonal else solve_noise("n", "mean", "products", F.lit(d == 0))
+        fits = sums.withColumn("_fit", solved).select(*keys, "_fit.*")
 
         # The last training row holds the whole state: w and e with their lags, and the levels undone by differencing.
+        # A seasonal fit has the differences in its coefficients, so its state is of values.
+        values, slots, held = ("_recent", p + d, 0) if orders.seasonal else ("_w", p, d)
         ends = frame.groupBy(*keys).agg(
             F.max_by(
                 F.struct(
-                    F.array(*[_or_zero("_w", i) for i in range(max(p, 1))]).alias("w"),
+                    F.array(*[_or_zero(values, i) for i in range(max(slots, 1))]).alias("w"),
                     F.array(*[_or_zero("_e", j) for j in range(q)]).cast("array<double>").alias("e"),
-                    F.array(*[F.get(level, F.lit(0)) for level in levels[:d]]).cast("array<double>").alias("levels"),
+                    F.array(*[F.get(level, F.lit(0)) for level in levels[:held]]).cast("array<double>").alias("levels"),
                     F.col("_centre").alias("centre"),
                 ),
                 F.struct(*spec.order),
             ).alias("_end")
         )
-        if q and stages > 2:
+        if q and stages > 2 and not orders.seasonal:
             fits = refined(train.on(frame), cut(fits), p, q, constant=d == 0)
             errors_now = F.coalesce("errors", "_end.e")
         else:
@@ -92,16 +100,16 @@ def fit_arima(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     steps = replace(panel, series=panel.series * ranges.most, spec=replace(panel.spec, keys=(*keys, "range_id")))
     predict = add_position(steps.on(ranges.rows(panel, "predict")), "_step")
     scored = panel.attach_to(predict, fits).filter(F.col("_fit").isNotNull())
-    scored = scored.withColumn("_ahead", forecasts(p, d, q, level is not None)(F.col("_fit"), F.col("_step")))
+    scored = scored.withColumn("_ahead", forecasts(slots, held, q, level is not None, reflect=not orders.seasonal)(F.col("_fit"), F.col("_step")))
     skipped = unfitted(sizes, fits, keys, message) if keys else None
     value = F.col("_ahead.value") + F.col("centre")
     return Fitted(model, as_forecast(scored, panel, model, value, around(value, F.col("_ahead.deviation"), level)), skipped=skipped)
 
 
-def _differences(values: Column) -> Column:
-    """Each value of a newest-first array minus the one before it in time."""
-    n = F.greatest(F.size(values) - 1, F.lit(0))
-    return F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), lambda now, before: now - before)
+def _differences(values: Column, lag: int) -> Column:
+    """Each value of a newest-first array minus the one ``lag`` before it in time."""
+    n = F.greatest(F.size(values) - lag, F.lit(0))
+    return F.zip_with(F.slice(values, 1, n), F.slice(values, 1 + lag, n), lambda now, before: now - before)
 
 
 def _or_zero(array: str, i: int) -> Column:
@@ -129,9 +137,9 @@ def _with_residuals(train: Panel, p: int, q: int, d: int, longest: int, most: in
     return train.attach(fits).withColumn("_e", F.array(*[residual(j) for j in range(q + 1)])).drop("_ar")
 
 
-def transition(coef: np.ndarray, constant: float, p: int, d: int, q: int) -> np.ndarray:
-    """One step of the state (w and lags, e and lags, levels, 1)."""
-    ar, ma = _stationary(coef[:p]), coef[p:]
+def transition(coef: np.ndarray, constant: float, p: int, d: int, q: int, reflect: bool = True) -> np.ndarray:
+    """One step of the state (w and lags, e and lags, levels, 1); ``reflect`` makes it stationary."""
+    ar, ma = _stationary(coef[:p]) if reflect else coef[:p], coef[p:]
     slots = max(p, 1)
     size = slots + q + d + 1
     step = np.zeros((size, size))
@@ -193,7 +201,7 @@ def packed(coef: pd.Series, intercept: pd.Series, noise: pd.Series, state: pd.Se
 AHEAD = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("deviation", T.DoubleType())])
 
 
-def forecasts(p: int, d: int, q: int, bounds: bool):
+def forecasts(p: int, d: int, q: int, bounds: bool, reflect: bool = True):
     """(packed fit, steps ahead) -> value and standard deviation. Each distinct step of a fit is computed once per batch."""
     slots = max(p, 1)
     at = 0 if d == 0 else slots + q
@@ -206,7 +214,7 @@ def forecasts(p: int, d: int, q: int, bounds: bool):
         order = np.argsort(codes, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else ():
             numbers = np.frombuffer(coded.dictionary[int(codes[rows[0]])].as_py(), "<f8")
-            step = transition(numbers[2 : 2 + p + q], numbers[0], p, d, q)
+            step = transition(numbers[2 : 2 + p + q], numbers[0], p, d, q, reflect)
             each, back = np.unique(steps[rows], return_inverse=True)
             value[rows] = powers_applied(step, np.append(numbers[2 + p + q :], 1.0), each)[back, at]
             if bounds:
@@ -214,7 +222,10 @@ def forecasts(p: int, d: int, q: int, bounds: bool):
                 impulse[0] = 1.0
                 impulse[slots : slots + min(q, 1)] = 1.0
                 impulse[slots + q : -1] = 1.0
-                deviation[rows] = np.sqrt(variances(step, impulse, each)[back, at, at] * numbers[1])
+                # Long states are taken a few steps ahead at a time.
+                parts = np.array_split(each, -(-len(each) * len(step) ** 2 // HELD_NUMBERS))
+                spread = np.concatenate([variances(step, impulse, part)[:, at, at] for part in parts])
+                deviation[rows] = np.sqrt(spread[back] * numbers[1])
         columns = [pa.array(numbers, pa.float64(), from_pandas=True) for numbers in (value, deviation)]
         return pa.StructArray.from_arrays(columns, ["value", "deviation"])
 

@@ -231,6 +231,92 @@ def test_arima_equals_numpy(panel, series, order, stages):
         assert np.allclose(part[part.range_id == 1].prediction, want[:10], rtol=1e-6)
 
 
+def numpy_seasonal(y, order, season, steps):
+    """Free search for the tied coefficients, then one step after another."""
+    (p, d, _), (big_p, big_d, _, s) = order, season
+    centre = y.mean()
+    w = y - centre
+    for lag in [1] * d + [s] * big_d:
+        w = w[lag:] - w[:-lag]
+    constant = d + big_d == 0
+
+    def polynomials(beta):
+        ar, big = np.zeros(p + 1), np.zeros(big_p * s + 1)
+        ar[0] = big[0] = 1.0
+        ar[1:], big[s::s] = -beta[:p], -beta[p : p + big_p]
+        return ar, big
+
+    def residuals(beta):
+        return np.convolve(w, np.convolve(*polynomials(beta)), "valid") - (beta[-1] if constant else 0.0)
+
+    beta = np.zeros(p + big_p + constant)
+    for _ in range(200 if len(beta) else 0):
+        slopes = np.column_stack([(residuals(beta + h) - residuals(beta - h)) / 2e-4 for h in np.eye(len(beta)) * 1e-4])
+        step = np.linalg.lstsq(slopes, -residuals(beta), rcond=None)[0]
+        beta = beta + step
+        if np.abs(step).max() < 1e-12:
+            break
+    # Explosive roots are reflected, and the constant goes with them.
+    beta[:p], beta[p : p + big_p] = arima._stationary(beta[:p]), arima._stationary(beta[p : p + big_p])
+    if constant:
+        beta[-1] += residuals(beta).mean()
+    full = np.convolve(*polynomials(beta))
+    for lag in [1] * d + [s] * big_d:
+        full = np.convolve(full, np.r_[1.0, np.zeros(lag - 1), -1.0])
+    out = list(y - centre)
+    for _ in range(steps):
+        out.append((beta[-1] if constant else 0.0) - sum(c * out[-k] for k, c in enumerate(full[1:], 1)))
+    return np.array(out[len(y) :]) + centre
+
+
+SEASONAL = [((1, 0, 0), (1, 0, 0, 7)), ((0, 1, 0), (0, 1, 0, 7)), ((2, 1, 0), (1, 0, 0, 7)), ((1, 0, 0), (2, 1, 0, 5)), ((7, 0, 0), (1, 0, 0, 7))]
+
+
+@pytest.mark.parametrize("order, season", SEASONAL)
+def test_seasonal_arima_equals_numpy(panel, series, order, season):
+    model = ModelSpec("m", "ARIMA", "M", {**dict(zip("pdq", order)), "seasonal_order": season})
+    got = predicted(arima.fit_arima(panel, RANGES, model))
+    for key, values in series.items():
+        want = numpy_seasonal(values[:731], order, season, 91)
+        part = got[got.key == (key or "-")]
+        assert np.allclose(part[part.range_id == 0].prediction, want, rtol=1e-6)
+        assert np.allclose(part[part.range_id == 1].prediction, want[:10], rtol=1e-6)
+
+
+def test_seasonal_arima_on_long_series(panel):
+    params = {"p": 1, "d": 0, "q": 1, "seasonal_order": [0, 1, 1, 7], "interval": 0.9}
+    model = ModelSpec("m", "ARIMA", "M", params)
+    short, long = (predicted(arima.fit_arima(replace(panel, task_rows=k), RANGES, model)) for k in (10_000, 300))
+    names = ["prediction", "lower", "upper"]
+    assert np.allclose(short[names], long[names], rtol=1e-9) and (short.lower < short.upper).all()
+
+
+def test_seasonal_moving_average_is_recovered(spark):
+    """(1 + 0.4 B)(1 + 0.5 B^4) with a seasonal difference: the forecasts and their bounds know the season."""
+    e = np.random.default_rng(5).normal(size=6000)
+    w = np.convolve(e, np.convolve([1, 0.4], [1, 0, 0, 0, 0.5]), "valid")
+    y = np.zeros(len(w))
+    for t in range(len(w)):
+        y[t] = w[t] + (y[t - 4] if t >= 4 else 0.0)
+    df = spark.createDataFrame(data.panel_rows({"a": y}), data.SCHEMA)
+    days = [r["ds"] for r in df.orderBy("ds").collect()]
+    ranges = FixedRanges([DateRange(str(days[0]), str(days[-21]))], [DateRange(str(days[-20]), str(days[-1]))])
+    params = {"p": 0, "d": 0, "q": 1, "seasonal_order": (0, 1, 1, 4), "interval": 0.9}
+    got = predicted(arima.fit_arima(Panel.of(df, SPEC), ranges, ModelSpec("m", "ARIMA", "M", params)))
+    train = np.convolve([1, 0.4], [1, 0, 0, 0, 0.5])
+    psi = np.convolve(train, np.tile([1, 0, 0, 0], 5))[:20]
+    reach = (got.upper - got.lower) / 2
+    assert np.allclose(reach, 1.6448536 * np.sqrt(np.cumsum(psi**2)), rtol=0.08)
+    # Beyond the moving average's reach a forecast repeats the season before.
+    assert np.allclose(got.prediction[9:20], got.prediction[5:16])
+
+
+@pytest.mark.parametrize("season", [(1, 0, 0), (1, 0, 0, 1), (-1, 0, 0, 7)])
+def test_seasonal_orders_that_make_no_sense(panel, season):
+    with pytest.raises(ValueError, match="seasonal_order"):
+        arima.fit_arima(panel, RANGES, ModelSpec("m", "ARIMA", "M", {"seasonal_order": season}))
+
+
 def test_arima_on_long_series(panel):
     model = ModelSpec("m", "ARIMA", "M", {"p": 2, "d": 1, "q": 1})
     short, long = (predicted(arima.fit_arima(replace(panel, task_rows=k), RANGES, model)) for k in (10_000, 300))
