@@ -311,6 +311,19 @@ def run_all(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(run.results.select("model_id", "scope", "status", known, *counts), ["rmse"], 3)
 
 
+@query(f"""WITH {DAILY}, t AS (SELECT *, EXTRACT(day FROM ds) = 1 AS first_day FROM daily WHERE {TRAIN_SQL})
+  SELECT o_orderpriority, COUNT(*) AS n, ROUND(AVG(y), 2) AS mean_actual, TRUE AS holds FROM t WHERE first_day GROUP BY 1""")
+def decomp_holidays(spark: SparkSession, sf: str) -> DataFrame:
+    """First days of months as a holiday: its effect is what makes their mean forecast the mean of their group, to the prior's pull."""
+    panel = daily_panel(spark, sf)
+    calendar = panel.df.filter(F.dayofmonth("ds") == 1).select(F.lit("first").alias("holiday"), F.col("ds").cast("date").alias("date")).distinct()
+    params = {"use_lag_regressors": False, "holidays": calendar}
+    rows = fit_decomp(panel, FixedRanges([TRAIN], [TRAIN]), ModelSpec("first", "PROPHET", "Holidays", params)).forecast
+    near = F.abs(F.avg("prediction") - F.avg("actual")) <= 0.001 * F.abs(F.avg("actual"))
+    days = rows.filter(F.dayofmonth("ds") == 1).groupBy("o_orderpriority")
+    return days.agg(F.count("*").alias("n"), F.round(F.avg("actual"), 2).alias("mean_actual"), near.alias("holds"))
+
+
 @query(f"""WITH {DAILY} SELECT o_orderpriority, ds, ROUND(2.5 * date_diff('day', DATE '1995-01-01', CAST(ds AS DATE)) + 40, 1) AS prediction
   FROM daily WHERE {PREDICT_SQL}""")
 def decomp_line(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,7 +44,8 @@ class Fitted:
     """A model's tables: forecast, scored training rows, importances and attributions where it has any.
 
     ``no_rows`` is the error of a model whose ``train_scored`` turns out empty; ``skipped`` lists series
-    that could not be fitted, with the reason; ``fits`` says per series how an iterative fit ended.
+    that could not be fitted, with the reason; ``fits`` says per series how an iterative fit ended, ``effects`` what each
+    holiday adds.
     """
 
     model: ModelSpec
@@ -55,6 +56,7 @@ class Fitted:
     attribution: dict[str, DataFrame] | None = None
     skipped: DataFrame | None = None
     fits: DataFrame | None = None
+    effects: DataFrame | None = None
 
 
 def as_forecast(

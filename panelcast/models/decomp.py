@@ -23,6 +23,7 @@ from ..plans.ordered import Panel, add_lags, add_position
 from ..spec import ModelSpec, parse_lags
 from .base import Fitted, Ranges, as_forecast, fitted, importance_rows, kept, unfitted
 from .bounds import around, interval_of
+from .holidays import MARKS, Calendar, effect, set_sums, widened
 
 # Fixed values of the published model: number of trend changes and the share of rows they lie in, prior
 # scales of changes, slope and other terms, and per season its period in days and number of waves.
@@ -42,6 +43,9 @@ def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     alternation of a multiplicative model. A series whose trend and terms no longer move leaves the alternation; ``Fitted.fits`` says which
     series ``converged``, and after how many ``rounds``.
 
+    ``holidays`` (none) is a table as ``Calendar.of`` reads it. ``Fitted.effects`` gives what each adds to the target, or in a
+    multiplicative model the share of the trend; a holiday without training rows adds nothing.
+
     Importance is the size of the standardised lag coefficients as shares of their sum.
     """
     params, spec, keys = model.params, panel.spec, panel.spec.keys
@@ -53,8 +57,11 @@ def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     lags = parse_lags(params.get("lag_regressors", [1, 7])) if params.get("use_lag_regressors", True) else []
     names = [f"target_lag_{k}" for k in lags]
 
+    calendar = Calendar.of(params["holidays"]) if params.get("holidays") is not None else None
+    holidays = calendar.names if calendar else []
     lagged = panel.on(add_lags(panel, {f"target_lag_{k}": (spec.target, k) for k in lags}))
-    columns = [*keys, *spec.order, spec.target, *names, "range_id"]
+    lagged = lagged.on(calendar.marked(lagged)) if calendar else lagged
+    columns = [*keys, *spec.order, spec.target, *names, "range_id", *([MARKS] if calendar else [])]
     complete = drop_incomplete(ranges.rows(lagged, "train"), names).select(*dict.fromkeys(columns))
     terms, width = _terms(F.col(spec.date), seasons, names), _width(seasons, names)
     message = "No training data after filtering by date ranges"
@@ -66,38 +73,48 @@ def fit_decomp(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
         rows = panel.attach_to(train, scales)
         y = F.col(spec.target) / F.col("_scale")
         if mode == "additive":
-            fits = _solve(rows, keys, F.concat(_trend(spec.date), terms, F.array(y)), width)
+            fits = _solve(panel, rows, F.concat(_trend(spec.date), terms, F.array(y)), width, len(holidays))
             fits = fits.withColumns({"rounds": F.lit(1), "converged": F.col("solved")})
         else:
             rounds, tolerance = int(params.get("rounds", ROUNDS)), float(params.get("tolerance", TOLERANCE))
-            fits = _alternated(panel, rows, terms, y, width, rounds, tolerance)
+            fits = _alternated(panel, rows, terms, y, width, len(holidays), rounds, tolerance)
         fits = fitted(panel.attach_to(fits, scales), message)
 
     predict = drop_incomplete(ranges.rows(lagged, "predict"), names)
     scored = panel.attach_to(predict, fits).filter(F.col("coef").isNotNull())
     trend = _trend_value(spec.date)
     rest = dot(terms, F.slice("coef", CHANGES + 2, width - CHANGES - 2))
+    rest = rest + effect(F.col("coef"), width - 1) if calendar else rest
     value = trend + rest if mode == "additive" else trend * (1 + rest)
     importance = None
     if names:
-        sizes = F.transform(F.slice("coef", -len(names), len(names)), F.abs)
+        sizes = F.transform(F.slice("coef", width - len(names), len(names)), F.abs)
         total = F.aggregate(sizes, F.lit(0.0), lambda a, b: a + b)
         shares = fits.withColumn("_share", F.transform(sizes, lambda s: F.try_divide(s, total)))
         importance = importance_rows(shares, keys, model, names, "_share")
     skipped = unfitted(panel.df.select(*keys).distinct(), fits, keys, message) if keys else None
     bounds = around(value * F.col("_scale"), F.sqrt("noise") * F.col("_scale"), interval_of(model))
     forecast = as_forecast(scored, panel, model, value * F.col("_scale"), bounds)
-    return Fitted(model, forecast, importance=importance, skipped=skipped, fits=fits.select(*keys, "rounds", "converged"))
-
-
-def _alternated(panel: Panel, rows: DataFrame, terms: Column, y: Column, width: int, rounds: int, tolerance: float) -> DataFrame:
+    effects = None
+    if calendar:
+        unit = F.col("_scale") if mode == "additive" else F.lit(1.0)
+        found = F.arrays_zip(F.array(*map(F.lit, holidays)).cast("array<string>").alias("holiday"), F.slice("coef", width, max(len(holidays), 1)).alias("effect"))
+        listed = fits.select(*keys, unit.alias("_unit"), F.explode(found).alias("_h"))
+        effects = listed.select(*keys, F.col("_h.holiday").alias("holiday"), (F.col("_h.effect") * F.col("_unit")).alias("effect"))
+    states = fits.select(*keys, "rounds", "converged")
+    return Fitted(model, forecast, importance=importance, skipped=skipped, fits=states, effects=effects)
+
+
+def _alternated(
+    panel: Panel, rows: DataFrame, terms: Column, y: Column, width: int, holidays: int, rounds: int, tolerance: float
+) -> DataFrame:
     """Fits of a multiplicative model: the terms times the last round's trend are fitted beside a new trend, until nothing moves.
 
     Series that have settled keep their coefficients and take no part in later rounds.
     """
     keys, date = panel.spec.keys, panel.spec.date
-    first = _solve(rows, keys, F.concat(_trend(date), F.array(y)), CHANGES + 2)
-    padded = F.concat("coef", F.array_repeat(F.lit(0.0), width - CHANGES - 2))
+    first = _solve(panel, rows, F.concat(_trend(date), F.array(y)), CHANGES + 2)
+    padded = F.concat("coef", F.array_repeat(F.lit(0.0), width - CHANGES - 2 + holidays))
     state = cut(first.withColumns({"coef": padded, "rounds": F.lit(0), "converged": F.lit(False)}))
     for number in range(1, rounds + 1):
         going = state.filter(~F.col("converged"))
@@ -105,7 +122,7 @@ def _alternated(panel: Panel, rows: DataFrame, terms: Column, y: Column, width:
             break
         by_trend = panel.attach_to(rows, going).filter(F.col("coef").isNotNull()).withColumn("_g", _trend_value(date))
         scaled = F.transform(terms, lambda x: x * F.col("_g"))
-        fresh = _solve(by_trend, keys, F.concat(_trend(date), scaled, F.array(y)), width)
+        fresh = _solve(panel, by_trend, F.concat(_trend(date), scaled, F.array(y)), width, holidays, F.col("_g"))
         last = going.select(*keys, F.col("coef").alias("_last"), F.col("intercept").alias("_at"))
         moved = F.array_max(F.zip_with("coef", "_last", lambda a, b: F.abs(a - b)))
         settled = (F.greatest(moved, F.abs(F.col("intercept") - F.col("_at"))) <= tolerance) & F.col("solved")
@@ -175,9 +192,15 @@ def _width(seasons: list[tuple[float, int]], names: list[str]) -> int:
     return 1 + CHANGES + sum(2 * count for _, count in seasons) + len(names) + 1
 
 
-def _solve(rows: DataFrame, keys: tuple[str, ...], row: Column, width: int) -> DataFrame:
+def _solve(panel: Panel, rows: DataFrame, row: Column, width: int, holidays: int = 0, size: Column | None = None) -> DataFrame:
+    """Fits of rows of features and target, and of holidays that are worth ``size`` (1) on their days."""
+    keys = panel.spec.keys
     sums = row_moments(rows, keys, row, width).filter(F.col("n") > 0)
-    return sums.withColumn("_fit", _mode("n", "mean", "products")).select(*keys, "_fit.*")
+    if not holidays:
+        return sums.withColumn("_fit", _mode("n", "mean", "products")).select(*keys, "_fit.*")
+    sets = set_sums(rows, keys, row, width, F.lit(1.0) if size is None else size)
+    wide = panel.attach_to(sums, sets)
+    return wide.withColumn("_fit", _mode_with(holidays)("n", "mean", "products", "_sets")).select(*keys, "_fit.*")
 
 
 MODE = T.StructType([*FIT.fields, T.StructField("noise", T.DoubleType()), T.StructField("solved", T.BooleanType())])
@@ -219,3 +242,14 @@ def solved_mode(n: int, mean: np.ndarray, products: np.ndarray) -> tuple[np.ndar
 def _mode(n: pd.Series, mean: pd.Series, products: pd.Series) -> pd.DataFrame:
     rows = zip(n, map(np.asarray, mean), map(np.asarray, products))
     return pd.DataFrame([solved_mode(*row) for row in rows], columns=["coef", "intercept", "noise", "solved"])
+
+
+def _mode_with(holidays: int):
+    @F.pandas_udf(MODE)
+    def mode(n: pd.Series, mean: pd.Series, products: pd.Series, sets: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for count, m, cells, marks, sums in zip(n, map(np.asarray, mean), map(np.asarray, products), sets["marks"], sets["sums"]):
+            rows.append(solved_mode(count, *widened(count, m, cells, marks, sums, holidays)))
+        return pd.DataFrame(rows, columns=["coef", "intercept", "noise", "solved"])
+
+    return mode

@@ -391,7 +391,7 @@ def test_explosive_roots_are_reflected():
 # --- decomposition ------------------------------------------------------------------------------
 
 
-def numpy_decomp(values, names_on, predict_rows):
+def numpy_decomp(values, names_on, predict_rows, marks=None):
     """The additive model on one series, with the solver of the library but a design of its own."""
     df = pd.DataFrame({"y": values})
     df["day"] = (datetime(2020, 1, 1) - datetime(1970, 1, 1)).days + np.arange(len(df))
@@ -411,6 +411,7 @@ def numpy_decomp(values, names_on, predict_rows):
             for k in range(1, count + 1):
                 columns += [np.sin(2 * np.pi * k * rows.day / period), np.cos(2 * np.pi * k * rows.day / period)]
         columns += [(rows[n] - train[n].mean()) / train[n].std() for n in names]
+        columns += [np.isin(rows.day, days).astype(float) for days in marks or ()]
         return np.column_stack(columns)
 
     z = np.column_stack([design(train), train.y / scale])
@@ -420,6 +421,59 @@ def numpy_decomp(values, names_on, predict_rows):
     return (design(df.iloc[predict_rows]) @ coef + intercept) * scale
 
 
+# Holidays of the tests, two of them on one day, one never in training.
+FEASTS = [("fair", "2020-05-04", -1, 1), ("fair", "2021-05-04", -1, 1), ("sale", "2020-11-27", 0, 0), ("sale", "2021-05-04", None, None),
+          ("sale", "2021-05-04", None, None), ("sale", "2022-01-20", 0, 0), ("new", "2022-02-02", 0, 0), (None, "2021-01-01", 0, 0)]
+
+
+def feasts(spark):
+    return spark.createDataFrame(FEASTS, "holiday string, date string, lower_window int, upper_window int")
+
+
+def epoch(*days):
+    return [(datetime.fromisoformat(day) - datetime(1970, 1, 1)).days for day in days]
+
+
+@pytest.mark.parametrize("task_rows", [10_000, 300])
+def test_holidays_equal_columns_of_their_own(spark, panel, series, task_rows):
+    params = {"use_lag_regressors": False, "holidays": feasts(spark)}
+    fit = decomp.fit_decomp(replace(panel, task_rows=task_rows), RANGES, ModelSpec("m", "PROPHET", "M", params))
+    got = predicted(fit)
+    fair = epoch("2020-05-04", "2021-05-04")
+    days = [fair, [d + 1 for d in fair], [d - 1 for d in fair], epoch("2022-02-02"), epoch("2020-11-27", "2021-05-04", "2022-01-20")]
+    for key, values in series.items():
+        part = got[(got.key == (key or "-")) & (got.range_id == 0)]
+        assert np.allclose(part.prediction, numpy_decomp(values, [], slice(730, 821), days), rtol=1e-5)
+    effects = {(r["key"], r["holiday"]): r["effect"] for r in fit.effects.collect()}
+    assert sorted(name for key, name in effects if key == "a") == ["fair", "fair_+1", "fair_-1", "new", "sale"]
+    assert all(value == 0 for (_, name), value in effects.items() if name == "new")
+
+
+@pytest.mark.parametrize("mode", ["additive", "multiplicative"])
+def test_holiday_effect_is_found(spark, mode):
+    """Without noise the effect planted comes back, and goes into the forecast."""
+    days = pd.date_range("2020-01-01", periods=830)
+    off = days.strftime("%m-%d").isin(["03-03", "06-06", "09-09", "01-15"])
+    trend = 100 + 0.05 * np.arange(830)
+    y = trend + 20 * off if mode == "additive" else trend * (1 + 0.2 * off)
+    panel = Panel.of(spark.createDataFrame(data.panel_rows({"a": y}), data.SCHEMA), SPEC)
+    table = spark.createDataFrame([("feast", d.date()) for d in days[off]], "holiday string, date date")
+    off_params = {"yearly_seasonality": False, "weekly_seasonality": False, "use_lag_regressors": False}
+    fit = decomp.fit_decomp(panel, RANGES, ModelSpec("m", "PROPHET", "M", {**off_params, "seasonality_mode": mode, "holidays": table}))
+    assert fit.effects.first()["effect"] == pytest.approx(20.0 if mode == "additive" else 0.2, rel=0.01)
+    part = predicted(fit)
+    assert np.allclose(part[part.range_id == 0].prediction, y[730:821], rtol=5e-3)
+
+
+def test_calendar_without_days(spark, panel):
+    params = {"use_lag_regressors": False, "yearly_seasonality": False}
+    plain = predicted(decomp.fit_decomp(panel, RANGES, ModelSpec("m", "PROPHET", "M", params)))
+    none = decomp.fit_decomp(panel, RANGES, ModelSpec("m", "PROPHET", "M", {**params, "holidays": feasts(spark).limit(0)}))
+    assert np.allclose(plain.prediction, predicted(none).prediction) and none.effects.count() == 0
+    with pytest.raises(ValueError, match="no column date"):
+        decomp.fit_decomp(panel, RANGES, ModelSpec("m", "PROPHET", "M", {"holidays": feasts(spark).drop("date")}))
+
+
 @pytest.mark.parametrize("lag_list", ["1, 7", None])
 def test_decomposition_equals_numpy(panel, series, lag_list):
     params = {"lag_regressors": lag_list} if lag_list else {"use_lag_regressors": False}
