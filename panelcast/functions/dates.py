@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The date formats tried for day-first text and for all other text, in order of preference.
@@ -64,6 +66,69 @@ def parse_date(c: Column, fmt: str) -> Column:
     return once(stripped(c), read)
 
 
+@dataclass(frozen=True)
+class DateTokens:
+    """A text column cut once into its separator and three numbers, from which every format is judged without another pattern.
+
+    The columns are plain, not fields of a struct, so that the optimizer keeps them apart from their uses and computes them once.
+    """
+
+    prefix: str
+
+    @classmethod
+    def add(cls, df: DataFrame, c: Column) -> tuple[DataFrame, DateTokens]:
+        """The frame with the text and its parts added, under names that it does not have."""
+        prefix = "_date"
+        while any(name.startswith(prefix) for name in df.columns):
+            prefix += "_"
+        made = cls(prefix)
+        text, parts = made.text, F.col(f"{prefix}parts")
+        # Only digits and separators are cut, so a part is a number or empty.
+        plain = F.when(F.btrim(text, F.lit("0123456789/.-")) == "", F.split(F.translate(text, "/.", "--"), "-", 4))
+        part, width, number = ([F.get(parts, F.lit(i)) for i in range(3)], *([F.col(f"{prefix}{name}{i}") for i in range(3)] for name in ("width", "number")))
+        first, second = (F.substring(text, start, F.lit(1)) for start in (F.length(part[0]) + 1, F.length(part[0]) + F.length(part[1]) + 2))
+        short, year = [w <= 2 for w in width], [w == 4 for w in width]
+        flags = {
+            "dMy": year[2] & short[0] & short[1] & _on_calendar(number[2], number[1], number[0]),
+            "Mdy": year[2] & short[0] & short[1] & _on_calendar(number[2], number[0], number[1]),
+            "yMd": year[0] & short[1] & short[2] & _on_calendar(number[0], number[1], number[2]),
+        }
+        cut = df.select("*", stripped(c).alias(f"{prefix}text")).select("*", plain.alias(f"{prefix}parts"))
+        cut = cut.select(
+            *[F.col(f"`{name}`") for name in df.columns],
+            f"{prefix}text",
+            F.when((F.size(parts) == 3) & (first == second), first).alias(f"{prefix}separator"),
+            *[F.length(part[i]).alias(f"{prefix}width{i}") for i in range(3)],
+            *[part[i].try_cast("int").alias(f"{prefix}number{i}") for i in range(3)],
+        )
+        return cut.select("*", *[F.coalesce(flag, F.lit(False)).alias(prefix + order) for order, flag in flags.items()]), made
+
+    @property
+    def text(self) -> Column:
+        return F.col(f"{self.prefix}text")
+
+    @property
+    def separator(self) -> Column:
+        return F.col(f"{self.prefix}separator")
+
+    def number(self, i: int) -> Column:
+        return F.col(f"{self.prefix}number{i}")
+
+    def reads(self, fmt: str) -> Column:
+        """Whether ``parse_date`` reads the text under the format; never null."""
+        if fmt == AUTO:
+            plain = F.col(f"{self.prefix}yMd") & F.coalesce(self.separator.isin("-", "/"), F.lit(False))
+            return F.when(self.text.contains(":"), parse_date(self.text, AUTO).isNotNull()).otherwise(F.coalesce(plain, F.lit(False)))
+        order, separator = "".join(part[0] for part in re.split(r"[/.-]", fmt)), re.search(r"[/.-]", fmt).group()
+        return F.col(self.prefix + order) & F.coalesce(self.separator == separator, F.lit(False))
+
+
+def _on_calendar(year: Column, month: Column, day: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return month.between(1, 12) & (day >= 1) & (day <= days)
+
+
 def cycle(part: Column, period: int) -> tuple[Column, Column]:
     """Sine and cosine of a calendar part on a circle of the given period."""
     angle = 2 * F.pi() * part / period

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import AUTO, DAY_FIRST_FORMATS, MONTH_FIRST_FORMATS, parse_date, stripped
+from ..functions.dates import AUTO, DAY_FIRST_FORMATS, MONTH_FIRST_FORMATS, DateTokens, parse_date, stripped
 from ..functions.numbers import marked_number, number
 from ..spec import SeriesSpec
 
@@ -94,6 +94,14 @@ def date_parts(c: Column) -> tuple[Column, Column]:
     return first, F.when(first.isNotNull(), F.trim(F.get(parts, F.lit(1))).try_cast("int"))
 
 
+def token_parts(tokens: DateTokens) -> tuple[Column, Column]:
+    """``date_parts`` of a text that is cut already; only texts of another shape are split again."""
+    plain = tokens.separator.isNotNull()
+    first, second = date_parts(tokens.text)
+    number = tokens.number(0)
+    return F.when(plain, number).otherwise(first), F.when(plain, F.when(number.isNotNull(), tokens.number(1))).otherwise(second)
+
+
 def date_order(max_first: Column, max_second: Column) -> Column:
     """DMY or MDY from the greatest first and second parts, null when nothing could be read."""
     unread = max_first.isNull() | max_second.isNull()
@@ -102,10 +110,11 @@ def date_order(max_first: Column, max_second: Column) -> Column:
 
 def format_counts(df: DataFrame, date: str) -> DataFrame:
     """One row: the day/month order of a text column and how many rows each format reads."""
-    first, second = date_parts(F.col(date))
-    return df.agg(
+    cut, tokens = DateTokens.add(df.select(F.col(f"`{date}`").alias("d")), F.col("d"))
+    first, second = token_parts(tokens)
+    return cut.agg(
         date_order(F.max(first), F.max(second)).alias("order"),
-        *[F.count(parse_date(F.col(date), fmt)).alias(fmt) for fmt in FORMATS],
+        *[F.count_if(tokens.reads(fmt)).alias(fmt) for fmt in FORMATS],
     )
 
 
@@ -156,18 +165,23 @@ def plan_cleaning(df: DataFrame, spec: SeriesSpec) -> Cleaning:
     date, target = F.col(spec.date), F.col(spec.target)
     text_target = not isinstance(df.schema[spec.target].dataType, T.NumericType)
     cleaned, plain = _target(target, text_target), _plain(target, text_target)
-    failed = (target.isNotNull() & cleaned.isNull()) if text_target else F.lit(False)
 
-    # Each text is read once per row, into flags; the aggregate then only counts.
+    # Each text is cut once per row, and from its parts come the flags; the aggregate then only counts.
     formats = FORMATS if date_is_text else ("typed",)
-    first, second = date_parts(date) if date_is_text else (F.lit(None), F.lit(None))
-    flags = df.select(
+    there = target.isNotNull() if text_target else F.lit(False)
+    flags = df.select(date.alias("_d"), there.alias("_there"), cleaned.isNotNull().alias("_cleaned"), plain.isNotNull().alias("_plain"))
+    if date_is_text:
+        flags, tokens = DateTokens.add(flags, F.col("_d"))
+        (first, second), read = token_parts(tokens), [tokens.reads(fmt) for fmt in formats]
+    else:
+        first, second, read = F.lit(None), F.lit(None), [F.col("_d").isNotNull()]
+    flags = flags.select(
         first.cast("int").alias("_first"),
         second.cast("int").alias("_second"),
-        failed.alias("_failed"),
-        cleaned.isNotNull().alias("_cleaned"),
-        plain.isNotNull().alias("_plain"),
-        *[(parse_date(date, fmt) if date_is_text else date).isNotNull().alias(fmt) for fmt in formats],
+        (F.col("_there") & ~F.col("_cleaned")).alias("_failed"),
+        "_cleaned",
+        "_plain",
+        *[flag.alias(fmt) for flag, fmt in zip(read, formats)],
     )
     counts = [
         F.struct(

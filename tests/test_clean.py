@@ -1,19 +1,23 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.functions.dates import AUTO, iso_text, parse_date
+from panelcast.functions.dates import AUTO, DateTokens, iso_text, parse_date
 from panelcast.operators.clean import (
+    FORMATS,
     best_format,
     clean_for_analysis,
     clean_for_training,
+    date_parts,
     format_counts,
     guess_roles,
     plan_cleaning,
     role_profile,
+    token_parts,
 )
 from panelcast.sources.files import from_records, preview, read_csv, read_records, with_date_cell
 from panelcast.spec import SeriesSpec
@@ -43,6 +47,48 @@ def test_format_choice(spark, values, order, fmt):
     assert best_format(counts["order"], counts, "d") == fmt
 
 
+def date_texts():
+    """Texts of all lengths and separators, right, wrong and odd."""
+    rng = random.Random(3)
+    texts = ["", " ", "/", "//", "--", "1//2020", "1/2/", "/1/2020", "2020-02-29", "2021-02-29", "29/02/1900", "29/02/2000", "0000-01-01", "01/01/0000",
+             "2020/1/5", "2020/01/05 10:00", "2020-01-05T10:00:00.5", "5-6-2020 7:30", "5/6/2020 25:00", "2020-13-01", "99999999999/1/2020", "1 / 2 / 2020",
+             "+1/2/2020", "-1-2-2020", "1/2-2020", "1.2/2020", "1.2.2020.", "1/2/2020/", "٣/٤/٢٠٢٠", "1/2/2020:", "2020-1-5:", "1\n/2/2020", "2020-01-05\n", "31.04.2021"]
+    for _ in range(12000):
+        parts = [rng.choice([str(rng.randint(0, 33)), f"{rng.randint(0, 13):02d}", str(rng.randint(1890, 2110)), f"{rng.randint(0, 120):04d}"]) for _ in range(3)]
+        if rng.random() < 0.7:
+            parts = rng.choice([[parts[0], parts[1], "2024"], ["1999", parts[1], parts[0]]])
+        a = rng.choice("/.-")
+        texts.append(a.join(parts) if rng.random() < 0.8 else parts[0] + a + parts[1] + rng.choice("/.- ") + parts[2])
+        if rng.random() < 0.2:
+            texts[-1] += rng.choice([" 10:15", "T1:00", " ", "x", " 10:15:61", "  10:15"])
+    return [*texts, None]
+
+
+def test_tokens_read_what_patterns_read(spark):
+    cut, tokens = DateTokens.add(texts(spark, date_texts(), "_dated").repartition(4), F.col("_dated"))
+    wrong = F.lit(False)
+    for fmt in FORMATS:
+        want = parse_date(F.col("_dated"), fmt)
+        wrong = wrong | ~tokens.reads(fmt).eqNullSafe(want.isNotNull())
+    for got, want in zip(token_parts(tokens), date_parts(F.col("_dated"))):
+        wrong = wrong | ~got.eqNullSafe(want)
+    assert [r["_dated"] for r in cut.filter(wrong).collect()] == []
+    assert cut.filter(tokens.reads("d/M/yyyy")).count() > 100
+
+
+def test_a_text_is_cut_once(spark):
+    """The optimizer keeps the cut apart from the formats that use it."""
+    cut, tokens = DateTokens.add(texts(spark, ["1/2/2020"]), F.col("d"))
+    plan = cut.select(*[tokens.reads(fmt).alias(fmt) for fmt in FORMATS if fmt != AUTO])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("btrim(") <= 2 and "rlike" not in plan.lower()
+
+
+def test_columns_named_like_tokens(spark):
+    df = spark.createDataFrame([("13/01/2020", 1.0, 5, "6")], "d string, y double, _datetext int, `_date_number0` string")
+    row = clean_for_training(df, SPEC).first()
+    assert row["d"] == datetime(2020, 1, 13) and row["_datetext"] == 5 and row["_date_number0"] == 6.0
+
+
 def test_late_rows_decide_the_order(spark):
     """All rows are read, not only the first hundred."""
     values = ["01/02/2020"] * 500 + ["25/12/2020"]
