@@ -74,6 +74,15 @@ def test_blocks_hold_bounded_rows(df):
     assert sizes.max() <= 50
 
 
+def test_short_blocks_need_no_more_partitions(spark, df):
+    """Many short series cut into blocks of a few rows don't put the whole table in order in partitions of a few rows."""
+    from panelcast.plans import ordered
+
+    placed = ordered.placed_rows(Panel.of(df, KEYED, 2))
+    assert placed.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert placed.agg(F.min("_place"), F.max("_place"), F.count_distinct("_place")).first()[:] == (0, 565, 566)
+
+
 def test_ready_lags_are_not_made_again(df):
     panel = Panel.of(df, KEYED)
     first = add_lags(panel, {"lag": ("y", 2)})
