@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..operators.attribution import summarise_attributions, tree_attributions
 from ..operators.features import drop_incomplete, training_features
 from ..plans.lineage import shared_dir
-from ..plans.ordered import Panel
+from ..plans.ordered import Panel, rows_per_task
 from ..spec import FeatureConfig, ModelSpec
 from .base import Fitted, Ranges, as_forecast, kept
 from .bounds import interval_of, residual_quantiles
 
 SEED = 42
+#: Training rows of a task. A fit runs one job per tree and level, so tasks of few rows cost more than their work.
+FIT_ROWS = 50_000
 
 
 def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
@@ -35,9 +37,10 @@ def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     complete = drop_incomplete(ranges.rows(features.panel, "train"), [*names, target])
     train = complete.select(*spec.keys, spec.date, target, *[F.col(f"`{name}`") for name in names])
     with kept(train) as rows:
-        if rows.isEmpty():
+        count = rows.count()
+        if not count:
             raise ValueError("Not enough data after creating features")
-        booster = boost(rows, names, target, params)
+        booster = boost(spread(rows, count, (*spec.keys, spec.date, target)), names, target, params)
 
     predict = drop_incomplete(ranges.rows(features.panel, "predict"), names)
     scored = booster.transform(_assemble(predict, names))
@@ -58,6 +61,14 @@ def fit_gbt(panel: Panel, ranges: Ranges, model: ModelSpec) -> Fitted:
     )
 
 
+def spread(rows: DataFrame, count: int, order: tuple[str, ...]) -> DataFrame:
+    """The rows over as many tasks as their number asks for, in a fixed order, however many tasks made them."""
+    spark = rows.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // rows_per_task(spark)))
+    columns = [F.col(f"`{name}`") for name in order]
+    return rows.repartition(min(-(-count // FIT_ROWS), most), *columns).sortWithinPartitions(*columns)
+
+
 def boost(train: DataFrame, names: list[str], target: str, params: dict) -> GBTRegressionModel:
     shared_dir(train.sparkSession)
     booster = GBTRegressor(

@@ -538,6 +538,16 @@ def test_boosted_trees(boosted, series):
     assert metrics(boosted.forecast).first()["r2"] > 0.9
 
 
+def test_boosting_takes_tasks_by_rows(spark):
+    """However many tasks made the training rows, a few rows are one task, in a fixed order."""
+    from panelcast.models.gbt import FIT_ROWS, spread
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("key"), F.col("id").alias("ds")).repartition(50)
+    few = spread(rows, 1000, ("key", "ds"))
+    assert few.rdd.getNumPartitions() == 1 and few.collect() == rows.orderBy("key", "ds").collect()
+    assert spread(rows, 2 * FIT_ROWS + 1, ("key", "ds")).rdd.getNumPartitions() == 3
+
+
 def test_attributions_add_up(panel, boosted):
     """Base and attributions of a training row sum to the model's prediction for it."""
     same = FixedRanges(RANGES._ranges["train"], RANGES._ranges["train"])
