@@ -13,7 +13,7 @@ from panelcast.operators.asof import join_asof
 from panelcast.operators.profile import column_info, median_step
 from panelcast.plans.attach import attach
 from panelcast.plans.ordered import Panel, add_lags, add_past, add_position
-from panelcast.plans.rolling import STATISTICS, add_rolling
+from panelcast.plans.rolling import STATISTICS, add_rolling, blocks
 from panelcast.spec import SeriesSpec
 
 KEYED = SeriesSpec("ds", "y", ("key",), ("tie",))
@@ -139,6 +139,15 @@ def test_rolling_equals_pandas(df, task_rows):
         assert np.allclose(both[name].astype(float), both["want"].astype(float), equal_nan=True, rtol=1e-9, atol=1e-9), name
 
 
+def test_rolling_blocks_hold_bounded_rows(df):
+    """A window longer than a task is cut into blocks that a task holds."""
+    from panelcast.plans import ordered
+
+    placed = ordered.placed_rows(Panel.of(df, SINGLE, 20)).withColumn("_at", F.col("_place") + 1)
+    sizes = blocks(placed, "y", 170, 20).groupBy("_chunk", "_block").count().toPandas()
+    assert sizes["count"].max() <= 20 and sizes["count"].sum() == 566 and sizes["_chunk"].nunique() == 4
+
+
 def test_rolling_of_unknown_statistic(df):
     with pytest.raises(ValueError, match="median"):
         add_rolling(Panel.of(df, KEYED), {"x": ("y", "median", 3)})
