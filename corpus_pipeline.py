@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from panelcast.llm import catalog, jaccard, lines, packing, pii, quality
 from panelcast.plans.lineage import new_path
 
+#: Words whose ids a worker holds per generation: it goes on to hold them while other stages, or another run's, work beside it.
+REMEMBERED = 100_000
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -59,7 +62,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in windows of 2048 tokens. A null text counts as empty; an empty table has no pieces."""
-    return packing.pack(docs, catalog.BYTE_BPE, with_ids=False)
+    return packing.pack(docs, catalog.BYTE_BPE, with_ids=False, remembered=REMEMBERED)
 
 
 STAGES = [

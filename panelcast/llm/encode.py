@@ -43,9 +43,9 @@ class Memory(dict):
 
     MARKS = frozenset(",.;:!?")
 
-    def __init__(self, encode, stands_alone, letters=None):
+    def __init__(self, encode, stands_alone, letters=None, remembered: int = REMEMBERED):
         super().__init__()
-        self.encode, self.stands_alone, self.older = encode, stands_alone, {}
+        self.encode, self.stands_alone, self.older, self.remembered = encode, stands_alone, {}, remembered
         self.letters = letters or encode
         self.line_break = encode("\n")
 
@@ -57,7 +57,7 @@ class Memory(dict):
                 ids = self.letters(word)
             else:
                 ids = self.parts(word)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.older = dict(self)
             self.clear()
         if len(word) <= LONGEST:
@@ -82,7 +82,7 @@ class Memory(dict):
 class Encoder:
     """``encode(text)`` gives the ids of the library's ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -94,9 +94,9 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             self.kind = _kind(json.load(file))
         if self.kind == "spaced":
-            self.memory = Memory(self.whole, stands_alone, self.word)
+            self.memory = Memory(self.whole, stands_alone, self.word, remembered)
         elif self.kind == "dropped":
-            self.memory = Memory(self.whole, lambda word: True, self.word)
+            self.memory = Memory(self.whole, lambda word: True, self.word, remembered)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -160,6 +160,6 @@ def _kind(rules: dict) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder per worker process, file and bound of words held."""
+    return Encoder(path, remembered)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import encoder
+from .encode import REMEMBERED, encoder
 
 #: Windows a task can number before ids of two tasks would meet.
 PER_TASK = 1 << 36
@@ -99,7 +99,7 @@ def slices(tokens: int, size: int, slice_size: int) -> Iterator[tuple[int, int]]
 
 def pack(
     df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1, size: int = 2048,
-    slice_size: int = 512, batch: int = 2048, with_ids: bool = True,
+    slice_size: int = 512, batch: int = 2048, with_ids: bool = True, remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Pieces of all documents and their places in windows.
 
@@ -108,7 +108,8 @@ def pack(
     gapless from 0), and with ``with_ids`` the ``ids`` themselves. ``end_id`` is appended to each document.
 
     Null texts count as empty; a document without any token (empty, no ``end_id``) has no piece. Keys may be null or
-    repeat: each row is packed as a document of its own. Columns of ``df`` other than these two are not read.
+    repeat: each row is packed as a document of its own. Columns of ``df`` other than these two are not read. A worker
+    holds the ids of up to twice ``remembered`` words; this bounds its memory and changes no result.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -116,7 +117,7 @@ def pack(
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tool = encoder(tokenizer)
+        tool = encoder(tokenizer, remembered)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) * PER_TASK
 

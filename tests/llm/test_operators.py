@@ -54,6 +54,18 @@ def plain_ids(path):
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_few_words_remembered(spark):
+    """A bound on the words that a worker holds changes no ids."""
+    texts = [" ".join(f"word{place * number % 211}," for place in range(60)) for number in range(1, 40)]
+    plain, tool = plain_ids(BYTE_BPE), Encoder(BYTE_BPE, remembered=20)
+    for text in texts:
+        assert tool.encode(text) == unsigned(plain(text))
+        assert len(tool.memory) <= 20 and len(tool.memory.older) <= 20
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id")
+    few, all_ = (packing.pack(frame, BYTE_BPE, with_ids=False, **kwargs) for kwargs in ({"remembered": 20}, {}))
+    assert sorted(few.collect()) == sorted(all_.collect())
+
+
 def unsigned(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
