@@ -1,18 +1,15 @@
-"""Near-duplicate vectors by a subspace pigeonhole join: every pair at the cosine threshold or above, none below.
+"""Near-duplicate vectors: every pair at the cosine threshold or above, none below, by tiles of vectors that meet each other.
 
-Unit vectors at cosine c or more are at squared distance 2 - 2c or less. Rotated by a fixed random rotation and split into
-blocks of coordinates, such a pair keeps to its share of that budget in one block at least. Each block is range-joined on
-its own: leading coordinates of the block are split at their means into cells, and a vector goes to its own cell and to the
-cells it could reach. If a pair lies in two cells, the squared distances of the two vectors to the walls between them sum up
-to no more than the block's budget, so one of the two reaches the other's cell with half of it: that is as far as
-vectors are sent. A task gets one tile of the vectors of a cell and one of those sent there.
+Unit vectors at cosine c or more are at squared distance 2 - 2c or less. Vectors are put in the order of the cells of a fixed random
+rotation, whose leading coordinates are split at their means, and cut into tiles. Each two tiles meet once, in one of the
+tasks that read a part of the tiles each on both sides: the vectors are shuffled twice, to join equal ones and to order them, however many
+tiles meet. Within two tiles a vector goes no further if it is too far from the ball around the other tile to be near any vector there;
+the products of all others are taken in single precision.
 
-Pairs are verified on the original numbers in double precision. A pair counts in the first block whose budget it keeps,
-and once there, so no pair is counted twice and pairs needn't be listed: tasks return the number of links per vector and
-a forest of links. Equal vectors are joined to one before all this.
+Pairs near the threshold are verified on the original numbers in double precision. Pairs needn't be listed: tasks return the number of
+links per vector and a forest of links. Equal vectors are joined to one before all this.
 
-The number of cells follows the number of vectors, see ``cell_bits``. How much it prunes depends on the data: against
-directions without structure, a threshold of 0.9 in 64 dimensions leaves a good part of all pairs to be multiplied out.
+How much the balls prune depends on the data: vectors without structure meet all others, which takes n^2 / 2 products.
 """
 
 from __future__ import annotations
@@ -20,8 +17,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,28 +26,21 @@ from ..plans.lineage import new_path
 from .components import components
 from .jaccard import forest
 
-#: Coordinates per block, vectors per cell aimed at, and rows of the two sides of a tile.
-BLOCK, PER_CELL, OWN_TILE, SENT_TILE = 16, 2048, 2048, 16384
-#: Fixed point in which costs are added, so that both sides of a pair agree on what is within reach.
-FIXED = 1 << 40
+#: Vectors per cell aimed at, vectors of a tile, and those of them that are multiplied with the other tile at a time.
+PER_CELL, OWN_TILE, SENT_TILE = 2048, 4096, 1024
+#: Bytes of the numbers of a tile, and of the tiles that a task writes.
+TILE_BYTES, PART_BYTES = 1 << 20, 1 << 24
 
 
 @lru_cache(maxsize=2)
-def rotation(size: int) -> np.ndarray:
-    """A fixed random rotation."""
-    square, corner = np.linalg.qr(np.random.default_rng(20240607).standard_normal((size, size)))
+def rotation(size: int, bits: int) -> np.ndarray:
+    """Leading coordinates of a fixed random rotation."""
+    square, corner = np.linalg.qr(np.random.default_rng(20240607).standard_normal((size, max(1, min(size, bits)))))
     return square * np.sign(np.diag(corner))
 
 
-def blocks_of(size: int) -> list[tuple[int, int]]:
-    """Ranges of coordinates of nearly equal length."""
-    count = max(1, round(size / BLOCK))
-    ends = [size * part // count for part in range(count + 1)]
-    return list(zip(ends[:-1], ends[1:], strict=True))
-
-
 def cell_bits(vectors: int) -> int:
-    """Coordinates of a block that are split: cells of about ``PER_CELL`` vectors, at most 16 coordinates."""
+    """Coordinates that are split: cells of about ``PER_CELL`` vectors, at most 16 coordinates."""
     return max(0, min(16, round(np.log2(max(1, vectors) / PER_CELL))))
 
 
@@ -60,117 +50,140 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-class Space:
-    """The blocks, walls and budgets of one join."""
+def _stored(kind: str):
+    """The numbers of each vector without the zeros at its end, or null if it links with nothing."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # A null becomes not a number, and a zero below zero one above.
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)
+            stops = np.cumsum(lengths)
+            starts = stops - lengths
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            last = np.concatenate([[0], np.maximum.accumulate(np.where(flat != 0, np.arange(1, len(flat) + 1), 0))])[stops] if len(flat) else stops
+            usable = (bad[stops] == bad[starts]) & (last > starts) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            data, wide = flat.tobytes(), np.dtype(kind).itemsize
+            rows = zip(usable.tolist(), (starts * wide).tolist(), (last * wide).tolist(), strict=True)
+            numbers = [data[start:stop] if use else None for use, start, stop in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.binary())], ["id", "numbers"])
+
+    return run, "id bigint, numbers binary"
+
+
+def matrix(numbers, size: int, kind: str) -> np.ndarray:
+    """Rows of one length; shorter ones are filled with zeros."""
+    width = size * np.dtype(kind).itemsize
+    return np.frombuffer(b"".join([row.ljust(width, b"\0") for row in numbers]), kind).reshape(-1, size)
 
-    def __init__(self, size: int, mean: list[float], threshold: float, bits: int):
-        self.size, self.threshold, self.blocks = size, threshold, blocks_of(size)
-        self.walls = np.asarray(mean) @ rotation(size)
-        budget = 2 - 2 * threshold + 1e-9
-        self.budgets = [budget * (stop - start) / size for start, stop in self.blocks]
-        self.bits = [min(bits, stop - start) for start, stop in self.blocks]
-        self.halves = [int(np.ceil(budget / 2 * FIXED)) + 64 for budget in self.budgets]
 
-    def costs(self, rotated: np.ndarray, block: int) -> np.ndarray:
-        """Squared distances to the walls of a block's cells, in fixed point, rounded down."""
-        start, bits = self.blocks[block][0], self.bits[block]
-        return np.floor((rotated[:, start : start + bits] - self.walls[start : start + bits]) ** 2 * FIXED).astype(np.int64)
+def _sums(size: int, kind: str):
+    """Sums of the unit vectors of a task."""
 
-    def cells(self, rotated: np.ndarray, block: int) -> np.ndarray:
-        start, bits = self.blocks[block][0], self.bits[block]
-        above = rotated[:, start : start + bits] > self.walls[start : start + bits]
-        return (above.astype(np.int64) << np.arange(bits)).sum(axis=1)
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                total += unit(matrix(batch.column(0).slice(start, 2048).to_pylist(), size, kind).astype(float)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    def reached(self, rotated: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, walls crossed as bits) of all cells within half the budget; no walls is a vector's own cell."""
-        costs, half = self.costs(rotated, block), self.halves[block]
-        rows, masks, spent = np.arange(len(rotated)), np.zeros(len(rotated), np.int64), np.zeros(len(rotated), np.int64)
-        for bit in range(self.bits[block]):
-            total = spent + costs[rows, bit]
-            near = total <= half
-            rows, masks, spent = np.concatenate([rows, rows[near]]), np.concatenate([masks, masks[near] | 1 << bit]), np.concatenate([spent, total[near]])
-        return rows, masks
+    return run, "total binary"
 
 
-def _sent(space: Space, payload: bool, kind: str):
-    """Rows of all cells a vector is sent to: block, cell, own, and with ``payload`` its name, copies and numbers."""
-    schema = "block int, cell bigint, own boolean" + ", name binary, copies bigint, numbers binary" * payload
-    names = ["block", "cell", "own"] + ["name", "copies", "numbers"] * payload
+def _cells(size: int, kind: str, mean: np.ndarray, bits: int):
+    """The cell of each vector: on which side of the walls it lies."""
+    names = ["rep", "mark", "copies", "numbers"]
 
     def run(batches):
+        turn = rotation(size, bits)[:, :bits]
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                stored = matrix(part.column(2).to_pylist(), space.size)
-                rotated = unit(stored) @ rotation(space.size)
-                if payload:
-                    marks = zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)
-                    name = pa.array([((rep + (1 << 63)) << 64 | (mark + (1 << 63))).to_bytes(16, "big") for rep, mark in marks], pa.binary())
-                    numbers = pa.array([row.tobytes() for row in stored.astype(kind)], pa.binary())
-                for block in range(len(space.blocks)):
-                    rows, masks = space.reached(rotated, block)
-                    columns = [pa.array(np.full(len(rows), block, np.int32)), pa.array(space.cells(rotated, block)[rows] ^ masks), pa.array(masks == 0)]
-                    if payload:
-                        pick = pa.array(rows)
-                        columns += [name.take(pick), part.column(1).take(pick), numbers.take(pick)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                above = unit(matrix(part.column(3).to_pylist(), size, kind).astype(float)) @ turn > mean @ turn
+                cells = (above.astype(np.int64) << np.arange(turn.shape[1] - 1, -1, -1)).sum(axis=1) if bits else np.zeros(part.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), *part.columns], ["cell", *names])
 
-    return run, schema
+    return run, "cell bigint, rep bigint, mark bigint, copies bigint, numbers binary"
 
 
-def matrix(lists: list[list[float]], size: int) -> np.ndarray:
-    """Rows of one length; shorter ones are filled with zeros."""
-    out = np.zeros((len(lists), size))
-    for row, values in enumerate(lists):
-        out[row, : len(values)] = values
-    return out
-
-
-def _verify(space: Space, kind: str):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        block, own_tile, sent_tile = (int(group[name].iloc[0]) for name in ("block", "own_tile", "sent_tile"))
-        group = group.sort_values("name", kind="stable")
-        names, weights, here = group["name"].to_numpy(), group["copies"].to_numpy(), group["own"].to_numpy()
-        stored = np.frombuffer(b"".join(group["numbers"]), kind).reshape(len(group), space.size).astype(np.float64)
-        units = unit(stored)
-        rotated = units @ rotation(space.size)
-        own = np.flatnonzero(here & (group["tile_own"].to_numpy() == own_tile))
-        sent = np.flatnonzero(group["tile_sent"].to_numpy() == sent_tile)
-        small = units.astype(np.float32)
-        found_a, found_b = [], []
-        for start in range(0, len(sent), 1024):
-            rows = sent[start : start + 1024]
-            a, b = np.nonzero(small[rows] @ small[own].T >= space.threshold - 1e-3)
-            found_a.append(rows[a])
-            found_b.append(own[b])
-        a, b = (np.concatenate(found) if found else np.empty(0, np.int64) for found in (found_a, found_b))
-        linked = np.zeros(len(a), bool)
-        for start in range(0, len(a), 1 << 14):
-            part = slice(start, start + (1 << 14))
-            linked[part] = due(space, block, units, rotated, names, a[part], b[part])
-        a, b = a[linked], b[linked]
-        links = np.bincount(a, weights[b], len(names)) + np.bincount(b, weights[a], len(names))
-        heads = np.array(forest(len(names), a.tolist(), b.tolist()), np.int64)
-        met = np.flatnonzero(links > 0)
-        return pd.DataFrame({"name": names[met], "other": names[heads[met]], "links": links[met].astype("int64")})
+def _tiles(size: int, kind: str, rows: int):
+    """Tiles of so many vectors one after another: their names, copies and numbers."""
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                part = batch.slice(start, rows - count)
+                held.append(part)
+                count, start = count + part.num_rows, start + part.num_rows
+                if count == rows:
+                    yield table(held)
+                    held, count = [], 0
+        if held:
+            yield table(held)
+
+    def table(parts):
+        whole = lambda name: np.concatenate([part.column(part.schema.get_field_index(name)).to_numpy() for part in parts])
+        names = np.stack([whole("rep"), whole("mark")], axis=1)
+        numbers = [matrix(part.column(part.schema.get_field_index("numbers")).to_pylist(), size, kind).tobytes() for part in parts]
+        columns = [names.tobytes(), whole("copies").astype(np.int64).tobytes(), b"".join(numbers)]
+        return pa.RecordBatch.from_arrays([pa.array([column], pa.binary()) for column in columns], ["names", "copies", "numbers"])
+
+    return run, "names binary, copies binary, numbers binary"
+
+
+def _linked(size: int, kind: str, threshold: float):
+    """Links and a forest of links of the vectors of two tiles, or of a tile with itself."""
+    schema = "name binary, other binary, links bigint"
+    fields = ["tile", "names", "copies", "numbers", "tile_b", "names_b", "copies_b", "numbers_b"]
 
-    return run
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(name)) for name in fields]
+            for row in range(batch.num_rows):
+                first, second = (tuple(column[row].as_py() for column in columns[side : side + 4]) for side in (0, 4))
+                sides = [first] if first[0] == second[0] else [first, second]
+                yield pa.RecordBatch.from_arrays(list(pair(sides)), ["name", "other", "links"])
+
+    def pair(sides):
+        names = np.frombuffer(b"".join(side[1] for side in sides), np.int64).reshape(-1, 2)
+        weights = np.frombuffer(b"".join(side[2] for side in sides), np.int64)
+        units = unit(np.frombuffer(b"".join(side[3] for side in sides), kind).reshape(-1, size).astype(np.float64))
+        here = np.arange(len(sides[0][2]) // 8)
+        there = np.arange(len(here), len(names)) if len(sides) > 1 else here
+        if len(sides) > 1:
+            here, there = near(units, here, there), near(units, there, here)
+        small, links, heads = units.astype(np.float32), np.zeros(len(names)), np.arange(len(names))
+        other = small[there].T
+        for start in range(0, len(here), SENT_TILE):
+            rows = here[start : start + SENT_TILE]
+            close = small[rows] @ other >= threshold - 1e-3
+            if len(sides) == 1:
+                close &= rows[:, None] < there[None, :]
+            a, b = np.nonzero(close)
+            for part in range(0, len(a), 1 << 14):
+                x, y = rows[a[part : part + (1 << 14)]], there[b[part : part + (1 << 14)]]
+                keep = (units[x] * units[y]).sum(axis=1) >= threshold
+                x, y = x[keep], y[keep]
+                links += np.bincount(x, weights[y], len(names)) + np.bincount(y, weights[x], len(names))
+                apart = np.unique(np.stack([heads[x], heads[y]])[:, heads[x] != heads[y]], axis=1)
+                if apart.size:
+                    heads = np.array(forest(len(names), *apart.tolist()), np.int64)[heads]
+        met = np.flatnonzero(links > 0)
+        # Names whose order as bytes is that of their numbers.
+        ordered = (names.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")
+        text = lambda rows: pa.array([row.tobytes() for row in ordered[rows]], pa.binary())
+        return text(met), text(heads[met]), pa.array(links[met].astype(np.int64))
 
+    def near(units, rows, others):
+        """The rows that can be near a vector of ``others``: not further from their ball than the threshold allows."""
+        middle = units[others].mean(axis=0)
+        radius = np.sqrt(((units[others] - middle) ** 2).sum(axis=1).max())
+        return rows[np.sqrt(((units[rows] - middle) ** 2).sum(axis=1)) <= radius + np.sqrt(max(2 - 2 * threshold, 0)) + 1e-6]
 
-def due(space: Space, block: int, units, rotated, names, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the pairs (a sent to the cell of b) are linked, and are to be counted in this block and in this direction."""
-    keep = (units[a] * units[b]).sum(axis=1) >= space.threshold
-    for other in range(block + 1):
-        start, stop = space.blocks[other]
-        distance = np.zeros(len(a))
-        for column in range(start, stop):
-            distance += (rotated[a, column] - rotated[b, column]) ** 2
-        within = distance <= space.budgets[other]
-        keep &= within if other == block else ~within
-    crossed = space.cells(rotated[a], block) ^ space.cells(rotated[b], block)
-    bits = (crossed[:, None] >> np.arange(space.bits[block])) & 1
-    back = (space.costs(rotated[b], block) * bits).sum(axis=1) <= space.halves[block]
-    return keep & (~back | (names[a] < names[b]))
+    return run, schema
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -191,42 +204,28 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         rows.write.parquet(path)
         return spark.read.parquet(path)
 
-    values = F.col("vector")
-    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = F.col("id").isNotNull() & values.isNotNull() & finite & F.exists(values, lambda x: x != 0)
-    source = source.select("id", F.when(F.coalesce(usable, F.lit(False)), values).alias("vector"))
-    classes = source.where(values.isNotNull()).groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes.select("rep", "copies", "vector", F.xxhash64("vector").alias("mark")), "vectors")
-    count, size = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
+    wanted = F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")
+    source = df.select(F.col(key).cast("bigint").alias("id"), wanted.alias("vector")).mapInArrow(*_stored(kind))
+    marks = {"mark": F.xxhash64("numbers"), "second": F.xxhash64(F.lit(1), F.col("numbers"))}
+    classes = source.where(F.col("numbers").isNotNull()).groupBy("numbers").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes.select("rep", F.xxhash64("numbers").alias("mark"), "copies", "numbers"), "vectors")
+    count, width = classes.agg(F.count("*"), F.max(F.octet_length("numbers"))).first()
     if not count:
         return _answer(source.select("id", F.lit(None).cast("bigint").alias("component"), F.lit(0).cast("bigint").alias("links")), df, key)
 
-    # Walls at the means of unit vectors: one number per coordinate.
-    most = F.array_max(F.transform(values, lambda x: F.abs(x)))
-    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda total, x: total + (x / F.col("most")) * (x / F.col("most")))) * F.col("most")
-    scaled = classes.withColumn("most", most).withColumn("length", length).select("length", F.posexplode("vector").alias("place", "x"))
-    sums = dict(scaled.groupBy("place").agg(F.sum(F.col("x") / F.col("length"))).collect())
-    mean = [(sums.get(place) or 0.0) / count for place in range(size)]
-    space = Space(size, [x if np.isfinite(x) else 0.0 for x in mean], threshold, cell_bits(count))
-
-    sizes = classes.mapInArrow(*_sent(space, False, kind)).groupBy("block", "cell").agg(F.sum(F.col("own").cast("bigint")).alias("n_own"), F.count("*").alias("n_sent"))
-    sizes = written(
-        sizes.where("n_own > 0").select(
-            "block", "cell", F.ceil(F.col("n_own") / OWN_TILE).alias("own_tiles"), F.ceil(F.col("n_sent") / SENT_TILE).alias("sent_tiles")
-        ),
-        "cells",
-    )
-    sent = classes.mapInArrow(*_sent(space, True, kind)).join(sizes, ["block", "cell"])
-    sent = sent.withColumn("tile_own", F.pmod(F.xxhash64("name"), F.col("own_tiles"))).withColumn("tile_sent", F.pmod(F.xxhash64("name", F.lit(1)), F.col("sent_tiles")))
-    # Each tile of own vectors meets each tile of sent ones; a vector that is both goes along on both sides.
-    every = lambda tiles: F.sequence(F.lit(0).cast("bigint"), F.col(tiles) - 1)
-    goes_own = F.transform(every("sent_tiles"), lambda tile: F.struct(F.col("tile_own").alias("own_tile"), tile.alias("sent_tile")))
-    goes_sent = F.transform(every("own_tiles"), lambda tile: F.struct(tile.alias("own_tile"), F.col("tile_sent").alias("sent_tile")))
-    pairs = F.when(F.col("own"), F.array_union(goes_own, goes_sent)).otherwise(goes_sent)
-    placed = sent.select("*", F.inline(pairs)).drop("own_tiles", "sent_tiles")
-    found = placed.groupBy("block", "cell", "own_tile", "sent_tile").applyInPandas(_verify(space, kind), "name binary, other binary, links bigint")
-    found = written(found, "vector-links")
+    # Walls at the means of unit vectors.
+    size = width // np.dtype(kind).itemsize
+    mean = sum(np.frombuffer(row["total"]) for row in classes.select("numbers").mapInArrow(*_sums(size, kind)).collect()) / count
+    rows = max(1, min(OWN_TILE, TILE_BYTES // width))
+    parts = max(-(-count * width // PART_BYTES), min(8, -(-count // rows)))
+    # Cells are cut where they have too many vectors for a part.
+    ordered = classes.mapInArrow(*_cells(size, kind, mean, cell_bits(count))).repartitionByRange(parts, "cell", "mark", "rep").sortWithinPartitions("cell", "mark", "rep")
+    tiles = written(ordered.mapInArrow(*_tiles(size, kind, rows)).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    others = tiles.withColumnsRenamed({name: f"{name}_b" for name in tiles.columns})
+    # Each two tiles meet in one order, of which either is as likely.
+    drawn = F.pmod(F.xxhash64(F.least("tile", "tile_b"), F.greatest("tile", "tile_b")), F.lit(2)) == 0
+    pairs = tiles.join(others, (F.col("tile") == F.col("tile_b")) | ((F.col("tile") < F.col("tile_b")) == drawn))
+    found = written(pairs.mapInArrow(*_linked(size, kind, threshold)), "vector-links")
 
     links = found.groupBy("name").agg(F.sum("links").alias("links"))
     heads = components(found, "name", "other").select(F.col("node").alias("name"), "component")
@@ -237,13 +236,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     linked = linked.join(least, "component").select(
         half("name", 1).cast("bigint").alias("rep"), half("name", 9).cast("bigint").alias("mark"), half("least", 1).cast("bigint").alias("component"), "links"
     )
-    member = classes.join(linked, ["rep", "mark"], "left").select(
-        "vector", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    # Rows find their class by two hashes of its numbers, which don't travel again; rows alone in a class that has no links need none.
+    member = classes.select("rep", "copies", *[column.alias(name) for name, column in marks.items()]).join(linked, ["rep", "mark"], "left")
+    member = member.where((F.col("copies") > 1) | F.col("links").isNotNull()).select(
+        "mark", "second", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
     # Written first, so that Spark can split the copies of one vector over tasks; rows without a usable vector meet nobody.
     member = written(member, "vector-classes")
-    linked = source.where(values.isNotNull()).join(member, "vector").drop("vector")
-    apart = source.where(values.isNull()).select("id")
+    marked = source.where(F.col("numbers").isNotNull()).select("id", *[column.alias(name) for name, column in marks.items()])
+    linked = marked.join(member, list(marks), "left").drop(*marks)
+    apart = source.where(F.col("numbers").isNull()).select("id")
     return _answer(linked.unionByName(apart, allowMissingColumns=True), df, key)
 
 

@@ -333,6 +333,30 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_vectors_are_kept_once(spark, monkeypatch):
+    """However many tiles meet, a vector is in one of them; what is written doesn't grow with their number."""
+    random = np.random.default_rng(3)
+    every = random.standard_normal((3000, 32)).astype(np.float32)
+    every[:500] = every[500:1000] + 0.1 * random.standard_normal((500, 32))
+    odd = [[1.0], [1.0, 0.0], [-0.0, 2.0], [0.0, 2.0], [0.0, 3.0, 0.0]]
+    rows = [(place, [float(x) for x in vector]) for place, vector in enumerate([*every, *odd])] + [(5000 + place, [float(x) for x in every[7]]) for place in range(40)]
+    paths = {}
+    monkeypatch.setattr(vectors, "new_path", lambda spark, label, make=vectors.new_path: paths.setdefault(label, make(spark, label)))
+    monkeypatch.setattr(vectors, "OWN_TILE", 100)
+    monkeypatch.setattr(vectors, "PER_CELL", 50)
+    got = {row.vec_id: row for row in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect()}
+    tiles = spark.read.parquet(paths["tiles"]).collect()
+    names = [bytes(tile.names[at : at + 16]) for tile in tiles for at in range(0, len(tile.names), 16)]
+    assert len(names) == len(set(names)) == 3003 and len(tiles) >= 30
+    assert sum(len(tile.numbers) for tile in tiles) == 3003 * 32 * 4
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    links += 40 * (unit @ unit[7] >= 0.9)
+    assert [got[place].n_links for place in range(3000)] == links.tolist() and links.sum() > 500
+    assert [got[5000 + place].n_links for place in range(40)] == [links[7]] * 40
+    assert [(got[3000 + place].n_links, got[3000 + place].component_id) for place in range(5)] == [(1, 3000)] * 2 + [(2, 3002)] * 3
+
+
 def test_lines(spark, awkward):
     rows = [(place, f"own line {place}\n  shared line \n\nrare {place // 4}\nshared line", f"site{place % 12}") for place in range(24)]
     rows += [(100, None, "a"), (101, "", "b"), (None, "shared line", "c"), (102, "shared line", None)]
